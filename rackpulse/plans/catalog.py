@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("correlation",)
+GROUPS = ("correlation", "kpi", "forecasting", "rootcause", "star")
 
 
 def _merge(attribute: str) -> dict:

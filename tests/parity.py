@@ -67,7 +67,7 @@ def compare(spark, con, sf_dir, name):
 def main(argv):
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or list(entry.queries())
-    spark = build_session("local[8]", 8)
+    spark = build_session("local[8]", 8, **{"spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = []
