@@ -36,7 +36,7 @@ def forecast_by_node(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def short_series_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders per clerk-sized customer group and month: series too short to decompose take the flat path."""
+    """Orders per priority and year: series too short to decompose take the flat path."""
     monthly = A.table(spark, sf, "orders").groupBy(
         F.col("o_orderpriority").alias("series"), F.expr("cast(year(o_orderdate) as bigint)").alias("tick")
     ).agg(F.count("*").cast("double").alias("value"))

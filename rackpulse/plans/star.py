@@ -12,6 +12,7 @@ from rackpulse.plans.correlation import enriched_of, incidents_of
 from rackpulse.plans.ctes import ENRICHED, EVENTS, FLEET, INCIDENTS, UTIL, sql
 from rackpulse.plans.kpi import POWER, rounded
 from rackpulse.plans.rootcause import FAMILIES, clustered_of
+from rackpulse.schemas import STAR
 from rackpulse.session import materialise
 from rackpulse.sources import star_files
 
@@ -29,6 +30,10 @@ def dim_time(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def fact_events(spark: SparkSession, sf: str) -> DataFrame:
+    return enriched_of(spark, sf).select(*STAR["fact_events"].names)
+
+
 def fact_hourly_kpi(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(hourly_kpi(A.utilization(spark, sf)), 6, "fleet_kw", "gpu_hours")
 
@@ -82,8 +87,8 @@ def energy_measures_by_weekday(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "dim_time": dim_time,
     "dim_fleet": A.fleet,
-    "fact_events": lambda spark, sf: star_tables(spark, sf)["fact_events"],
-    "fact_incidents": lambda spark, sf: star_tables(spark, sf)["fact_incidents"],
+    "fact_events": fact_events,
+    "fact_incidents": clustered_of,
     "fact_hourly_kpi": fact_hourly_kpi,
     "fact_clusters": fact_clusters,
     "star_orphans": star_orphans,
