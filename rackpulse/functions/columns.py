@@ -46,10 +46,8 @@ def day_bucket(tick: Column, ticks_per_hour: int = TICKS_PER_HOUR) -> Column:
 
 
 def floor_div(value: Column, divisor: int) -> Column:
-    """Exact integer floor division, also right for negative values."""
-    value = value.cast("long")
-    whole = value - F.pmod(value, F.lit(divisor).cast("long"))
-    return (whole / F.lit(divisor)).cast("long")
+    """Integer floor division, also right for negative values; exact below 2**52."""
+    return F.floor(value / F.lit(divisor))
 
 
 def cyclical(hour: Column) -> tuple[Column, Column]:
