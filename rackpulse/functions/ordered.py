@@ -7,22 +7,30 @@ whatever the edges are; the edges only decide how even the tasks are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BUCKETS = 32
+from rackpulse.session import cut_lineage
+
+MIN_BUCKETS, MAX_BUCKETS = 8, 1024
 SAMPLES_PER_BUCKET = 32
 
 
-def bucket_edges(keys: DataFrame, order: Sequence[str], buckets: int = BUCKETS) -> list[tuple]:
+def bucket_count(df: DataFrame) -> int:
+    """As many buckets as the session has shuffle partitions, within bounds."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(wanted, MIN_BUCKETS), MAX_BUCKETS)
+
+
+def bucket_edges(keys: DataFrame, order: Sequence[str], buckets: int) -> list[tuple]:
     """Upper bounds of evenly filled buckets, from the rows with the smallest key hashes.
 
-    The driver receives at most ``buckets * SAMPLES_PER_BUCKET`` keys, independent of the table.
+    The driver receives at most ``MAX_BUCKETS * SAMPLES_PER_BUCKET`` keys, however long the table is.
     """
     sample = (
         keys.select(*order)
@@ -36,20 +44,37 @@ def bucket_edges(keys: DataFrame, order: Sequence[str], buckets: int = BUCKETS)
     ordered = sorted(tuple(row) for row in sample)
     if not ordered:
         return []
-    picks = (ordered[len(ordered) * i // buckets] for i in range(1, buckets))
-    return sorted(set(picks))
+    return sorted({ordered[len(ordered) * i // buckets] for i in range(1, buckets)})
 
 
-def bucket_of(order: Sequence[str], edges: list[tuple], schema) -> Column:
-    """Number of edges at or below the key; the mapping preserves the order."""
-    if not edges:
-        return F.lit(0)
+def with_bucket(df: DataFrame, order: Sequence[str], edges: list[tuple]) -> DataFrame:
+    """Add ``_bucket``, the number of edges at or below the key; the mapping preserves the order.
 
-    def reached(edge: tuple) -> Column:
-        bound = F.struct(*[F.lit(v).cast(schema[c].dataType).alias(c) for c, v in zip(order, edge, strict=True)])
-        return (F.struct(*order) >= bound).cast("int")
+    The edges come as one scalar subquery in two levels, so a row is compared with about 2 * sqrt(edges) of them.
+    """
+    if not edges:
+        return df.withColumn("_bucket", F.lit(0))
+    width = math.isqrt(len(edges) - 1) + 1
+    blocks = [edges[i : i + width] for i in range(0, len(edges), width)]
+    key = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
+    table = df.sparkSession.createDataFrame(
+        [([b[0] for b in blocks], blocks)],
+        T.StructType([T.StructField("heads", T.ArrayType(key)), T.StructField("blocks", T.ArrayType(T.ArrayType(key)))]),
+    )
 
-    return reduce(add, map(reached, edges))
+    def reached(bounds: Column) -> Column:
+        return F.size(F.filter(bounds, lambda bound: bound <= F.col("_key")))
+
+    block = F.col("_block")
+    return (
+        df.withColumns({"_edges": table.select(F.struct("heads", "blocks")).scalar(), "_key": F.struct(*order)})
+        .withColumn("_block", reached(F.col("_edges.heads")))
+        .withColumn(
+            "_bucket",
+            F.when(block > 0, (block - 1) * width + reached(F.element_at("_edges.blocks", block))).otherwise(0),
+        )
+        .drop("_edges", "_key", "_block")
+    )
 
 
 def running_totals(
@@ -57,14 +82,16 @@ def running_totals(
     order: Sequence[str],
     measures: Sequence[str],
     by: Sequence[str] = (),
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums ``cum_<measure>`` in the order (``by``, ``order``), restarting for each ``by``.
 
-    The keys (``by``, ``order``) must be unique: group equal keys first. A busy ``by`` value covers many buckets.
+    The keys (``by``, ``order``) must be unique: group equal keys first. A busy ``by`` value covers many buckets. The
+    input is read three times (sample, totals, ranks) and therefore checkpointed.
     """
     keys = [*by, *order]
-    bucketed = df.withColumn("_bucket", bucket_of(keys, bucket_edges(df, keys, buckets), df.schema))
+    df = cut_lineage(df)
+    bucketed = with_bucket(df, keys, bucket_edges(df, keys, buckets or bucket_count(df)))
     totals = bucketed.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     # At most `buckets` rows per group.
     earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rackpulse.functions.ordered import running_totals
+from rackpulse.session import cut_lineage
 
 TOP_K = (10, 25, 50)
 RATE_FLOOR = 1e-6
@@ -172,17 +173,19 @@ def concordance(df: DataFrame, duration: str = "duration", event: str = "event",
     half. Instead of forming pairs, "all later rows" is written as at most log2 blocks of a binary tree over time, and
     inside each block the rows with lower risk are counted by running totals.
     """
-    times = df.groupBy(F.col(duration).cast("double").alias("t")).agg(F.lit(1).cast("long").alias("_one"))
-    places = running_totals(times, ["t"], ["_one"]).select("t", F.col("cum__one").alias("place"))
-    cells = (
+    rows = cut_lineage(
         df.groupBy(
             F.col(duration).cast("double").alias("t"),
             (F.col(event) == 1).alias("failed"),
             F.col(risk).cast("double").alias("risk"),
+        ).agg(F.count("*").alias("n"))
+    )
+    times = rows.groupBy("t").agg(F.lit(1).cast("long").alias("_one"))
+    places = running_totals(times, ["t"], ["_one"]).select("t", F.col("cum__one").alias("place"))
+    cells = cut_lineage(
+        rows.join(places, "t").select(
+            "risk", "n", "failed", (F.col("place") * 2 + F.when(F.col("failed"), 0).otherwise(1)).alias("u")
         )
-        .agg(F.count("*").alias("n"))
-        .join(places, "t")
-        .select("risk", "n", "failed", (F.col("place") * 2 + F.when(F.col("failed"), 0).otherwise(1)).alias("u"))
     )
     top = cells.agg(F.max("u")).first()[0] or 0
     levels = F.explode(F.sequence(F.lit(0), F.lit(max(int(top).bit_length(), 1))))
@@ -197,9 +200,15 @@ def concordance(df: DataFrame, duration: str = "duration", event: str = "event",
     )
     counted = running_totals(merged, ["risk"], ["later"], by=["level", "block"])
     lower = F.col("cum_later") - F.col("later")
-    sizes = merged.groupBy("level", "block").agg(F.sum("later").alias("later"), F.sum("asking").alias("asking"))
-    pairs = sizes.agg(F.sum(F.col("later") * F.col("asking"))).scalar()
-    return counted.agg(F.sum(F.col("asking") * (lower + F.col("later") * 0.5)).alias("concordant")).select(
-        F.try_divide(F.col("concordant"), pairs.cast("double")).alias("concordance"),
-        pairs.alias("comparable_pairs"),
+    per_block = counted.groupBy("level", "block").agg(
+        F.sum("later").alias("later"),
+        F.sum("asking").alias("asking"),
+        F.sum(F.col("asking") * (lower + F.col("later") * 0.5)).alias("concordant"),
+    )
+    return per_block.agg(
+        F.sum("concordant").alias("concordant"),
+        F.sum(F.col("later") * F.col("asking")).alias("comparable_pairs"),
+    ).select(
+        F.try_divide(F.col("concordant"), F.col("comparable_pairs").cast("double")).alias("concordance"),
+        "comparable_pairs",
     )
