@@ -35,10 +35,10 @@ def bucket_edges(keys: DataFrame, order: Sequence[str], buckets: int) -> list[tu
     sample = (
         keys.select(*order)
         .na.drop()
-        .withColumn("_h", F.xxhash64(*order))
-        .orderBy("_h", *order)
+        .withColumn("_sample_hash", F.xxhash64(*order))
+        .orderBy("_sample_hash", *order)
         .limit(buckets * SAMPLES_PER_BUCKET)
-        .drop("_h")
+        .drop("_sample_hash")
         .collect()
     )
     ordered = sorted(tuple(row) for row in sample)
