@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("correlation", "kpi", "forecasting", "rootcause", "star", "features", "evaluation", "ingest", "models")
+GROUPS = ("correlation", "kpi", "forecasting", "rootcause", "star", "features", "evaluation", "ingest", "models", "streams")
 
 
 def _merge(attribute: str) -> dict:
