@@ -19,6 +19,7 @@ from rackpulse.session import cut_lineage
 
 MIN_BUCKETS, MAX_BUCKETS = 8, 1024
 SAMPLES_PER_BUCKET = 32
+HASH_RANGE = 2**40
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -28,17 +29,16 @@ def bucket_count(df: DataFrame) -> int:
 
 
 def bucket_edges(keys: DataFrame, order: Sequence[str], buckets: int) -> list[tuple]:
-    """Upper bounds of evenly filled buckets, from the rows with the smallest key hashes.
+    """Upper bounds of evenly filled buckets, from the keys whose hash falls below a threshold.
 
-    The driver receives at most ``MAX_BUCKETS * SAMPLES_PER_BUCKET`` keys, however long the table is.
+    Keys are distinct, so their hashes are even: the driver receives about ``buckets * SAMPLES_PER_BUCKET`` of them,
+    however long the table is.
     """
+    share = min(1.0, buckets * SAMPLES_PER_BUCKET / max(keys.count(), 1))
     sample = (
         keys.select(*order)
         .na.drop()
-        .withColumn("_sample_hash", F.xxhash64(*order))
-        .orderBy("_sample_hash", *order)
-        .limit(buckets * SAMPLES_PER_BUCKET)
-        .drop("_sample_hash")
+        .filter(F.pmod(F.xxhash64(*order), F.lit(HASH_RANGE)) < max(1, int(share * HASH_RANGE)))
         .collect()
     )
     ordered = sorted(tuple(row) for row in sample)

@@ -10,14 +10,14 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rackpulse.functions.ordered import running_totals
 from rackpulse.operators import evaluation as E
 from rackpulse.operators.window_features import LABEL
-from rackpulse.session import cut_lineage
+from rackpulse.session import cut_lineage, use_checkpoints
 
 KEYS = ("window_end_tick", "node_id")
 
@@ -26,6 +26,7 @@ BOOSTING = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "seed": 42}
 CALIBRATION_DECIMALS = 4
 CALIBRATION_SHARE = 0.2
 CALIBRATION_ROWS = 10
+SHUFFLE_BLOCK = 1000
 
 
 @dataclass
@@ -78,6 +79,7 @@ def forest(**overrides) -> RandomForestClassifier:
 
 def fit(train: DataFrame, features: Sequence[str], estimator=None) -> RiskModel:
     """Classifier on class-balanced rows."""
+    use_checkpoints(train.sparkSession)
     packed = VectorAssembler(inputCols=list(features), outputCol="features").transform(E.class_weights(train, LABEL))
     chosen = estimator if estimator is not None else boosted_trees()
     return RiskModel(chosen.fit(packed.select("features", LABEL, "weight")), list(features))
@@ -197,51 +199,45 @@ def top_at_risk(model: RiskModel, window: DataFrame, n: int = 10) -> DataFrame:
 
 
 def permutation_importance(
-    model: RiskModel, test: DataFrame, repeats: int = 3, seed: int = 42, order: Sequence[str] = KEYS
+    model: RiskModel, test: DataFrame, repeats: int = 3, seed: int = 42, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Drop in accuracy and in ROC AUC when one feature is shuffled, averaged over the repeats.
 
-    Rows get one random global order; a shuffle takes the feature from the row a random distance further on (around
-    the end), which is a join on the row number instead of a sort per feature. All shuffles are scored in one batch.
+    Rows are dealt by hash into random blocks of about a thousand, which is the only exchange of feature values; a
+    shuffle rotates the feature inside its block by a random distance. All shuffles are scored in one batch.
     """
-    hashed = test.withColumn("_h", F.xxhash64(F.lit(seed), *order)).withColumn("_one", F.lit(1).cast("long"))
-    ranked = running_totals(hashed.select("_h", *order, "_one"), ["_h", *order], ["_one"])
-    placed = cut_lineage(
-        test.join(ranked.select(*order, F.col("cum__one").alias("_rank")), list(order)).select(
-            F.col(LABEL).alias("label"), "_rank", F.array(*[F.col(c).cast("double") for c in model.features]).alias("x")
-        )
-    )
-    size = placed.agg(F.count("*")).scalar()
-    shuffles = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"))
-                for f in range(len(model.features))
-                for r in range(repeats)
-            ]
-        )
-    )
-    shift = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("s.f"), F.col("s.r")), F.col("_n") - 1) + 1
-    asks = (
-        placed.withColumn("_n", size)
-        .filter("_n > 1")
-        .withColumn("s", shuffles)
-        .withColumn("_from", F.pmod(F.col("_rank") - 1 + shift, F.col("_n")) + 1)
-    )
-    donors = placed.select(F.col("_rank").alias("_from"), F.col("x").alias("donor"))
-    swapped = asks.join(donors, "_from").select(
-        "label", F.col("s.f").alias("f"), F.col("s.r").alias("r"),
-        F.transform("x", lambda v, i: F.when(i == F.col("s.f"), F.get("donor", i)).otherwise(v)).alias("x"),
+    blocks = max(1, test.count() // SHUFFLE_BLOCK)
+    deal = F.xxhash64(F.lit(seed), *keys)
+    dealt = test.select(
+        F.pmod(deal, F.lit(blocks)).alias("block"),
+        F.struct(
+            deal.alias("h"), *keys, F.col(LABEL).alias("label"),
+            F.array(*[F.col(c).cast("double") for c in model.features]).alias("x"),
+        ).alias("row"),
     )
-    plain = placed.select("label", F.lit(-1).alias("f"), F.lit(0).alias("r"), "x")
-    scored = cut_lineage(
-        model.raw_of_vector(plain.unionByName(swapped).withColumn("features", array_to_vector("x")), "score")
-        .select("f", "r", "label", "score")
+    shuffles = [F.struct(F.lit(-1).alias("f"), F.lit(0).alias("r"))] + [
+        F.struct(F.lit(f).alias("f"), F.lit(r).alias("r")) for f in range(len(model.features)) for r in range(repeats)
+    ]
+    shift = F.pmod(F.xxhash64(F.lit(seed + 1), "block", "s.f", "s.r"), F.greatest(F.size("rows") - 1, F.lit(1))) + 1
+
+    def rotated(row: Column, place: Column) -> Column:
+        donor = F.get("rows", F.pmod(place + F.col("shift"), F.size("rows")))["x"]
+        x = F.transform(row["x"], lambda v, i: F.when(i == F.col("s.f"), F.get(donor, i)).otherwise(v))
+        return F.struct(row["label"].alias("label"), x.alias("x"))
+
+    swapped = (
+        dealt.groupBy("block")
+        .agg(F.array_sort(F.collect_list("row")).alias("rows"))
+        .withColumn("s", F.explode(F.array(*shuffles)))
+        .withColumn("shift", shift.cast("int"))
+        .select(F.col("s.f").alias("f"), F.col("s.r").alias("r"), F.inline(F.transform("rows", rotated)))
+        .withColumn("features", array_to_vector("x"))
     )
+    scored = cut_lineage(model.raw_of_vector(swapped, "score").select("f", "r", "label", "score"))
     hits = scored.groupBy("f", "r").agg(
         F.avg(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("double")).alias("accuracy")
     )
-    quality = E.ranking_metrics(scored, by=["f", "r"]).select("f", "r", "roc_auc").join(hits, ["f", "r"])
+    quality = cut_lineage(E.ranking_metrics(scored, by=["f", "r"]).select("f", "r", "roc_auc").join(hits, ["f", "r"]))
     base = quality.filter("f < 0").select(F.struct("accuracy", "roc_auc")).scalar()
     names = F.array(*map(F.lit, model.features))
     return (
@@ -257,25 +253,27 @@ def permutation_importance(
 
 
 def contributions(model: RiskModel, rows: DataFrame, background: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Per row and feature: how much the score falls when the feature is reset to its background mean."""
+    """Per row and feature: how much the score falls when the feature is reset to its background mean.
+
+    Rows are widened and scored where they are, without an exchange.
+    """
     means = background.agg(F.array(*[F.avg(F.col(c).cast("double")) for c in model.features]).alias("m")).scalar()
     names = F.array(*map(F.lit, model.features))
-    base = rows.select(*keys, F.array(*[F.col(c).cast("double") for c in model.features]).alias("x"))
-    variants = (
-        base.withColumn("m", means)
-        .withColumn("f", F.explode(F.sequence(F.lit(-1), F.lit(len(model.features) - 1))))
+    packed = rows.select(*keys, F.array(*[F.col(c).cast("double") for c in model.features]).alias("x"))
+    whole = model.raw_of_vector(packed.withColumn("features", array_to_vector("x")), "whole").drop("features")
+    reset = (
+        whole.withColumn("m", means)
+        .withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(len(model.features) - 1))))
         .withColumn(
             "features",
             array_to_vector(F.transform("x", lambda v, i: F.when(i == F.col("f"), F.get("m", i)).otherwise(v))),
         )
     )
-    scored = model.raw_of_vector(variants, "score").select(*keys, "f", F.get("x", F.col("f")).alias("value"), "score")
-    # One group per row: as many entries as the model has features, plus the unchanged score.
-    whole = F.max(F.when(F.col("f") < 0, F.col("score"))).over(W.partitionBy(*keys))
-    return (
-        scored.withColumn("contribution", whole - F.col("score"))
-        .filter("f >= 0")
-        .select(*keys, F.get(names, F.col("f")).alias("feature"), "value", "contribution")
+    return model.raw_of_vector(reset, "score").select(
+        *keys,
+        F.get(names, F.col("f")).alias("feature"),
+        F.get("x", F.col("f")).alias("value"),
+        (F.col("whole") - F.col("score")).alias("contribution"),
     )
 
 

@@ -20,6 +20,7 @@ from rackpulse.session import cut_lineage
 # Ridge penalty and the deviation below which a feature is dropped.
 PENALTY = 0.1
 LEAST_SPREAD = 1e-6
+NARROW = 10
 
 
 @dataclass
@@ -66,15 +67,48 @@ def survival_dataset(
     return dataset.select(*keep, *features, duration.alias("duration"), F.col(LABEL).cast("int").alias("event"))
 
 
-def _risk_sums(rows: DataFrame, beta: np.ndarray) -> pd.DataFrame:
-    """Per distinct duration: sums over its rows of w, w x and w x x' (w = exp(beta x)), events and sum of event x.
+def _layout(p: int) -> list[tuple[str, int, int]]:
+    """Entries of the sums in order: w, w x, w x x' (full square), events, event x."""
+    return (
+        [("w", 0, 0)]
+        + [("wx", i, 0) for i in range(p)]
+        + [("wxx", i, j) for i in range(p) for j in range(p)]
+        + [("e", 0, 0)]
+        + [("ex", i, 0) for i in range(p)]
+    )
+
+
+def _risk_sums(rows: DataFrame, beta: np.ndarray) -> np.ndarray:
+    """Per distinct duration, longest first: sums over its rows of w, w x, w x x' (w = exp(beta x)), events, event x.
 
-    Each batch is reduced to one matrix per duration with a matrix product, the entries are then summed by a grouped
-    aggregate. The driver receives (durations x features^2) numbers. Durations lie on the tick, hour or day grid, so
-    time bounds how many there are.
+    A few features are summed by plain aggregate columns. Many features would make that aggregate too wide, so each
+    batch is reduced by matrix products first. The driver receives (durations x features^2) numbers; durations lie on
+    the tick, hour or day grid, so time bounds how many there are.
     """
+    sums = _narrow_sums(rows, beta) if len(beta) <= NARROW else _wide_sums(rows, beta)
+    return sums.sort_values("duration", ascending=False).drop(columns="duration").to_numpy(dtype=float)
+
+
+def _narrow_sums(rows: DataFrame, beta: np.ndarray) -> pd.DataFrame:
+    p = len(beta)
+    x = [F.get("x", F.lit(i)) for i in range(p)]
+    score = sum((x[i] * float(beta[i]) for i in range(1, p)), x[0] * float(beta[0]))
+    weighted = rows.select("duration", "event", F.exp(score).alias("w"), *[x[i].alias(f"x{i}") for i in range(p)])
+    w, e = F.col("w"), F.col("event")
+
+    def entry(kind: str, i: int, j: int) -> Column:
+        return {
+            "w": w, "wx": w * F.col(f"x{i}"), "wxx": w * F.col(f"x{i}") * F.col(f"x{j}"), "e": e, "ex": e * F.col(f"x{i}"),
+        }[kind]
+
+    names = [f"{kind}_{i}_{j}" for kind, i, j in _layout(p)]
+    sums = [F.sum(entry(*part)).alias(name) for part, name in zip(_layout(p), names, strict=True)]
+    return weighted.groupBy("duration").agg(*sums).select("duration", *names).toPandas()
+
+
+def _wide_sums(rows: DataFrame, beta: np.ndarray) -> pd.DataFrame:
     p = len(beta)
-    width = 1 + p + p * p + 1 + p
+    width = len(_layout(p))
     shared = beta.tolist()
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,20 +122,18 @@ def _risk_sums(rows: DataFrame, beta: np.ndarray) -> pd.DataFrame:
             for duration, at in pdf.groupby("duration").indices.items():
                 xs, ws, es = x[at], w[at], event[at]
                 wx = xs * ws[:, None]
-                entry = np.concatenate(
-                    [[ws.sum()], wx.sum(axis=0), (xs.T @ wx).ravel(), [es.sum()], (xs * es[:, None]).sum(axis=0)]
-                )
+                entry = np.concatenate([[ws.sum()], wx.sum(axis=0), (xs.T @ wx).ravel(), [es.sum()], es @ xs])
                 sums[duration] = sums.get(duration, 0.0) + entry
         for duration, entry in sums.items():
             yield pd.DataFrame({"duration": duration, "pos": np.arange(width), "v": entry})
 
     cells = rows.mapInPandas(partial, "duration double, pos int, v double")
-    return cells.groupBy("duration", "pos").agg(F.sum("v").alias("v")).toPandas()
+    summed = cells.groupBy("duration", "pos").agg(F.sum("v").alias("v")).toPandas()
+    return summed.pivot(index="duration", columns="pos", values="v").reset_index()
 
 
-def _derivatives(sums: pd.DataFrame, p: int):
+def _derivatives(table: np.ndarray, p: int):
     """Breslow log likelihood pieces: gradient and information, risk sets cumulated from the longest duration."""
-    table = sums.pivot(index="duration", columns="pos", values="v").sort_index(ascending=False).to_numpy()
     at_risk = np.cumsum(table[:, : 1 + p + p * p], axis=0)
     s0, s1 = at_risk[:, 0], at_risk[:, 1 : 1 + p]
     s2 = at_risk[:, 1 + p :].reshape(-1, p, p)

@@ -15,8 +15,14 @@ SPINES = 2
 NULL_KEY_SALTS = 512
 
 
+def padded(number: Column, width: int) -> Column:
+    """Zero-padded to ``width`` digits; longer numbers keep all their digits."""
+    text = number.cast("string")
+    return F.when(number < 10**width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def node_name(ordinal: Column) -> Column:
-    return F.format_string("node-%04d", ordinal)
+    return F.concat(F.lit("node-"), padded(ordinal, 4))
 
 
 def zone_name(ordinal: Column, nodes_per_rack: int = NODES_PER_RACK, racks_per_zone: int = RACKS_PER_ZONE) -> Column:
@@ -38,7 +44,7 @@ def place_nodes(
     return ids.select(
         ordinal,
         node_name(F.col(ordinal)).alias("node_id"),
-        F.format_string("rack-%03d", rack).alias("rack_id"),
+        F.concat(F.lit("rack-"), padded(rack, 3)).alias("rack_id"),
         zone.alias("zone_id"),
         F.concat(zone, F.lit("/feed-"), feed.cast("string")).alias("feed_id"),
         F.concat(F.lit("spine-"), (rack % spines).cast("string")).alias("spine_id"),

@@ -15,7 +15,7 @@ from rackpulse.operators.topology import node_name, place_nodes, zone_name
 from rackpulse.schemas import SECONDS_PER_TICK
 
 EVENT_ORIGIN = "timestamp_ntz'2024-01-01'"
-UTIL_ORIGIN = "timestamp_ntz'1995-01-01'"
+UTIL_ORIGIN = "1995-01-01"
 DEDUPE_WINDOW = 36
 BURST_WINDOW = 15
 
@@ -81,7 +81,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One utilisation sample per (day, GPU); quantities are whole numbers, so the mean is exact."""
     rows = table(spark, sf_dir, "lineitem").select(
-        (F.lit(12) * F.expr(f"timestampdiff(DAY, {UTIL_ORIGIN}, l_shipdate)")).cast("long").alias("tick"),
+        (F.lit(12) * F.datediff(F.to_date("l_shipdate"), F.lit(UTIL_ORIGIN).cast("date"))).cast("long").alias("tick"),
         F.concat(node_name(F.col("l_suppkey")), F.lit("/gpu"), F.col("l_linenumber") % 8).alias("gpu_id"),
         (F.col("l_quantity") - 1).alias("q"),
     )

@@ -50,11 +50,15 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/rackpulse/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably (replicated storage, not executor disks) and truncate its plan."""
-    spark = df.sparkSession
+def use_checkpoints(spark: SparkSession) -> None:
+    """Point reliable checkpoints, also those that boosted trees take between rounds, at the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` reliably (replicated storage, not executor disks) and truncate its plan."""
+    use_checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
