@@ -57,14 +57,17 @@ def export_to_work_dir(spark: SparkSession, tables: dict[str, DataFrame]) -> str
     return export(spark, tables, work_path(spark, "star"))
 
 
-def read_csv_star(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The six tables with their declared types; a value that does not fit its type fails the read."""
-    return {
-        name: spark.read.schema(schema)
+def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """One CSV table with its declared types; a value that does not fit its type fails the read."""
+    return (
+        spark.read.schema(STAR[table])
         .option("header", True)
         .option("nullValue", "\\N")
         .option("escape", '"')
         .option("mode", "FAILFAST")
-        .csv(f"{root}/{name}.csv")
-        for name, schema in STAR.items()
-    }
+        .csv(path)
+    )
+
+
+def read_csv_star(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    return {name: read_csv(spark, f"{root}/{name}.csv", name) for name in STAR}
