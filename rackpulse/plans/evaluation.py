@@ -169,7 +169,9 @@ best as (
   select g, score as thr, prec, rec, round(2 * prec * rec / (prec + rec + 1e-12::double), 12) as f1 from pts
   qualify row_number() over (partition by g order by round(2 * prec * rec / (prec + rec + 1e-12::double), 12) desc, score) = 1),
 area as (
-  select g, sum(pos * (nn - cn + neg * 0.5)) / max(p * nn) as auc, sum(pos / p * prec) as ap from pts group by g),
+  -- Undefined for a single class.
+  select g, case when max(p) > 0 and max(nn) > 0 then sum(pos * (nn - cn + neg * 0.5)) / max(p * nn) end as auc,
+    case when max(p) > 0 and max(nn) > 0 then sum(pos / p * prec) end as ap from pts group by g),
 br as (select {grp} as g, count(*) as n, avg((score - label) ** 2) as brier from scored group by 1),
 m as (
   select g, n, p::bigint as positives, round(auc, 6) as roc_auc, round(ap, 6) as pr_auc, round(brier, 6) as brier,
@@ -247,7 +249,7 @@ from r, (values (10), (25), (50)) t(k) where rn <= k and k <= n group by k""",
     "fold_summary": sql(
         _DOCS + _curve("grp"),
         """, l as (select 'roc_auc' as metric, auc as v from m union all select 'pr_auc', ap from m union all select 'brier', raw_brier from m)
-select metric, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, count(*) as folds from l group by metric""",
+select metric, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, count(v) as folds from l group by metric""",
     ),
     "score_by_label": sql(
         _DOCS + _curve(_ALL),
