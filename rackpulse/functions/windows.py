@@ -78,10 +78,10 @@ def all_windows(df: DataFrame, hops: Hops, max_tick: Column) -> DataFrame:
     )
 
 
-def to_windows_by(
+def to_chunks(
     df: DataFrame, hops: Hops, max_tick: Column, key: str, windows_per_chunk: int | None = None
 ) -> DataFrame:
-    """Like :func:`to_windows`, hash-partitioned by ``key`` and a run of consecutive windows (``_chunk``).
+    """Rows hash-partitioned by ``key`` and a run of consecutive windows (``_chunk``), ready for :func:`open_chunks`.
 
     Copying a row to every window before the shuffle would multiply the shuffled data by lookback / step. Here a row
     moves once per chunk it overlaps (1.25 times on average with the default length) and is copied to its windows on
@@ -91,13 +91,20 @@ def to_windows_by(
     size = windows_per_chunk or 4 * max(1, -(-hops.lookback // hops.step))
     lo, hi = hops.lookback_span(F.col("tick"), hops.last(max_tick))
     chunks = F.sequence(floor_div(F.col("_lo"), size), floor_div(F.col("_hi"), size))
-    first, final = F.greatest("_lo", F.col("_chunk") * size), F.least("_hi", F.col("_chunk") * size + size - 1)
     return (
         df.withColumns({"_lo": lo, "_hi": hi})
         .filter("_lo <= _hi")
         .withColumn("_chunk", F.explode(chunks))
+        .withColumn("_lo", F.greatest("_lo", F.col("_chunk") * size))
+        .withColumn("_hi", F.least("_hi", F.col("_chunk") * size + size - 1))
         .repartition(key, "_chunk")
-        .withColumn("window_end_tick", F.explode(F.sequence(first, final)))
+    )
+
+
+def open_chunks(chunked: DataFrame, hops: Hops) -> DataFrame:
+    """Copy each row to the windows of its chunk that contain it."""
+    return (
+        chunked.withColumn("window_end_tick", F.explode(F.sequence("_lo", "_hi")))
         .withColumn("window_end_tick", hops.end(F.col("window_end_tick")))
         .drop("_lo", "_hi")
     )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rackpulse.functions.columns import node_of_gpu
-from rackpulse.functions.windows import Hops, all_windows, last_tick, to_windows, to_windows_by
+from rackpulse.functions.windows import Hops, all_windows, last_tick, open_chunks, to_chunks, to_windows
 from rackpulse.schemas import (
     COMPONENT_KINDS,
     COUNTERS,
@@ -25,6 +28,7 @@ LABEL = "failed_next_24h"
 IDS = ("node_id", "rack_id", "zone_id", "window_end_tick")
 SERIES = ("gpu_id", "_chunk", "window_end_tick")
 TOLERANCE = 1e-9
+ROLLING_MIN = 6
 
 # Feature columns of the count-based data set.
 PRECURSORS = ("ecc_uncorrectable_info", "nvlink_fault_warn", "pcie_error_warn")
@@ -57,67 +61,117 @@ def counter_rates(metrics: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def rolling_peaks(*signals: pd.Series) -> pd.Series:
+    """Per row and signal: largest sample deviation over max(3, n / 6) consecutive values; null for short series.
+
+    The frame length differs per row, which SQL frames cannot express. Prefix sums find the peak, whose deviation is
+    then taken directly.
+    """
+
+    def peaks(values: np.ndarray) -> list[float | None]:
+        n = values.shape[1]
+        if n < ROLLING_MIN:
+            return [None] * len(values)
+        w = max(3, n // 6)
+        centred = values - values.mean(axis=1, keepdims=True)
+        zero = np.zeros((len(values), 1))
+        first = np.hstack([zero, centred.cumsum(axis=1)])
+        second = np.hstack([zero, (centred**2).cumsum(axis=1)])
+        scatter = second[:, w:] - second[:, :-w] - (first[:, w:] - first[:, :-w]) ** 2 / w
+        start = scatter.argmax(axis=1)
+        return [float(v[at : at + w].std(ddof=1)) for v, at in zip(values, start, strict=True)]
+
+    return pd.Series([peaks(np.stack(row)) for row in zip(*signals, strict=True)])
+
+
 def gpu_window_stats(
-    metrics: DataFrame, hops: Hops, max_tick: Column | None = None, signals: tuple[str, ...] = SIGNALS
+    metrics: DataFrame,
+    hops: Hops,
+    max_tick: Column | None = None,
+    signals: tuple[str, ...] = SIGNALS,
+    windows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Ten statistics of every signal per (GPU, window), as columns ``signal__stat``.
 
-    All built-in window and aggregate functions over one exchange. Counters become rates inside each window, so its
-    first sample has rate 0. The rolling deviation needs a frame of max(3, n / 6) rows, which differs per window:
-    ordering by index / width turns that into a constant range frame just under 1.
+    One exchange and one sort of the samples: predecessors are looked up before the rows are copied to their windows,
+    and a row knows from the ticks of its two predecessors whether it opens a window. Counters become rates inside each
+    window, so its first sample has rate 0. All other statistics are built-in aggregates; the slope may use the sample
+    number of the whole chunk because it does not depend on where counting starts.
     """
     ends = max_tick if max_tick is not None else last_tick(metrics)
-    rows = to_windows_by(metrics.select("tick", "gpu_id", *LEVELS, *COUNTERS), hops, ends, "gpu_id")
-    ordered = W.partitionBy(*SERIES).orderBy("tick", *COUNTERS, *LEVELS)
-    whole = W.partitionBy(*SERIES)
-    rated = rows.withColumns(
+    chunked = to_chunks(metrics.select("tick", "gpu_id", *LEVELS, *COUNTERS), hops, ends, "gpu_id", windows_per_chunk)
+    order = W.partitionBy("gpu_id", "_chunk").orderBy("tick", *COUNTERS, *LEVELS)
+    rated = chunked.withColumns(
         {
-            "_i": F.row_number().over(ordered),
-            **{r: _increase(F.col(c), F.lag(c).over(ordered)) for c, r in zip(COUNTERS, RATES, strict=True)},
+            "_i": F.row_number().over(order),
+            "_t1": F.lag("tick", 1).over(order),
+            "_t2": F.lag("tick", 2).over(order),
+            **{r: _increase(F.col(c), F.lag(c).over(order)) for c, r in zip(COUNTERS, RATES, strict=True)},
+        }
+    )
+    linked = rated.withColumns({f"_prev_{s}": F.lag(s).over(order) for s in signals}).drop(*COUNTERS)
+    start = F.col("window_end_tick") - hops.lookback
+    opened = open_chunks(linked, hops).withColumns(
+        {
+            "_first": F.coalesce(F.col("_t1") < start, F.lit(True)),
+            "_second": F.coalesce(F.col("_t2") < start, F.lit(True)),
         }
-    ).select(*SERIES, "tick", "_i", *[F.col(s).cast("double").alias(s) for s in signals])
-    width = F.greatest(F.lit(3).cast("long"), F.expr("_n div 6"))
-    spread = (
-        rated.withColumns(
-            {
-                "_n": F.count("*").over(whole),
-                **{f"_mean_{s}": F.avg(s).over(whole) for s in signals},
-                **{f"_std_{s}": F.stddev_pop(s).over(whole) for s in signals},
-                **{f"_prev_{s}": F.lag(s).over(W.partitionBy(*SERIES).orderBy("_i")) for s in signals},
-            }
-        )
-        .withColumn("_w", width)
-        .withColumn("_p", F.col("_i") / F.col("_w"))
     )
-    frame = f"(partition by {', '.join(SERIES)} order by _p range between 0.99999 preceding and current row)"
-    rolled = spread.withColumns({f"_roll_{s}": F.expr(f"stddev_samp({s}) over {frame}") for s in signals})
-    grouped = rolled.groupBy(*SERIES).agg(*[expr for s in signals for expr in _summary(s)])
-    return grouped.withColumn("node_id", node_of_gpu(F.col("gpu_id"))).select(
-        "node_id", "gpu_id", "window_end_tick", *[f"{s}__{stat}" for s in signals for stat in STATS]
+
+    def here(s: str) -> Column:
+        return (F.when(F.col("_first"), 0).otherwise(F.col(s)) if s in RATES else F.col(s)).cast("double")
+
+    def before(s: str) -> Column:
+        known = F.when(~F.col("_first"), F.col(f"_prev_{s}"))
+        return (F.when(~F.col("_first") & F.col("_second"), 0).otherwise(known) if s in RATES else known).cast("double")
+
+    values = opened.select(
+        *SERIES, "_i", *[here(s).alias(s) for s in signals], *[before(s).alias(f"_prev_{s}") for s in signals]
+    )
+    grouped = values.groupBy(*SERIES).agg(
+        F.array_sort(F.collect_list(F.struct("_i", *signals))).alias("rows"),
+        *[expr for s in signals for expr in _aggregates(s)],
+    )
+    peaked = grouped.withColumn("_peaks", rolling_peaks(*[F.col(f"rows.{s}") for s in signals]))
+    return peaked.select(
+        node_of_gpu(F.col("gpu_id")).alias("node_id"),
+        "gpu_id",
+        "window_end_tick",
+        *[stat for place, s in enumerate(signals) for stat in _statistics(s, place)],
     )
 
 
-def _summary(s: str) -> list[Column]:
-    x, i, n = F.col(s), F.col("_i"), F.max("_n")
-    before = F.col(f"_prev_{s}")
+def _aggregates(s: str) -> list[Column]:
+    x, before = F.col(s), F.col(f"_prev_{s}")
     later = F.when(before.isNotNull(), x)
     pairs = F.count(before)
-    std = F.max(f"_std_{s}")
     scatter = F.sqrt(F.var_pop(before) * pairs) * F.sqrt(F.var_pop(later) * pairs)
-    limit = F.col(f"_mean_{s}") + 2 * F.col(f"_std_{s}") + TOLERANCE
     stats = {
-        "mean": F.max(f"_mean_{s}"),
-        "std": std,
+        "mean": F.avg(x),
+        "std": F.stddev_pop(x),
         "min": F.min(x),
         "max": F.max(x),
-        "range": F.max(x) - F.min(x),
-        "slope": F.coalesce(F.regr_slope(x, i), F.lit(0.0)),
+        "slope": F.coalesce(F.regr_slope(x, F.col("_i")), F.lit(0.0)),
         "ac1": F.coalesce(F.covar_pop(before, x) * pairs / (scatter + 1e-12), F.lit(0.0)),
-        "spike_count": F.count(F.when(x > limit, 1)).cast("double"),
-        "last": F.max(F.when(i == F.col("_n"), x)),
-        "vol_max": F.when(n >= 6, F.max(F.when(i >= F.col("_w"), F.col(f"_roll_{s}")))).otherwise(std),
+        "last": F.max_by(x, F.col("_i")),
+    }
+    return [expr.alias(f"{s}__{name}") for name, expr in stats.items()]
+
+
+def _statistics(s: str, place: int) -> list[Column]:
+    """The ten statistics in their published order."""
+
+    def known(name: str) -> Column:
+        return F.col(f"{s}__{name}")
+
+    limit = known("mean") + 2 * known("std") + TOLERANCE
+    derived = {
+        "range": known("max") - known("min"),
+        "spike_count": F.size(F.filter(f"rows.{s}", lambda v: v > limit)).cast("double"),
+        "vol_max": F.coalesce(F.get("_peaks", F.lit(place)), known("std")),
     }
-    return [stats[name].alias(f"{s}__{name}") for name in STATS]
+    return [derived.get(name, known(name)).alias(f"{s}__{name}") for name in STATS]
 
 
 def node_window_stats(metrics: DataFrame, hops: Hops, max_tick: Column | None = None) -> DataFrame:
@@ -258,7 +312,7 @@ def build_sequences(
     """
     hops = hops or Hops.hours()
     top = last_tick(metrics, enriched)
-    windows = to_windows_by(node_series(metrics), hops, top, "node_id")
+    windows = open_chunks(to_chunks(node_series(metrics), hops, top, "node_id"), hops)
     collected = (
         windows.groupBy("node_id", "_chunk", "window_end_tick")
         .agg(F.array_sort(F.collect_list(F.struct("tick", *SIGNALS))).alias("rows"))

@@ -70,13 +70,14 @@ def test_gpu_statistics_equal_direct_computation(spark, samples):
 
 
 def test_chunk_length_does_not_change_the_result(spark, samples):
-    from rackpulse.functions.windows import to_windows_by
-
     metrics = spark.createDataFrame(samples, METRICS)
     plain = to_windows(metrics, HOPS, last_tick(metrics)).groupBy("gpu_id", "window_end_tick").count()
+    stats = sorted(map(tuple, WF.gpu_window_stats(metrics, HOPS).collect()))
+    assert len(stats) == plain.count()
     for size in (1, 2, 100):
-        parts = to_windows_by(metrics, HOPS, last_tick(metrics), "gpu_id", size).groupBy("gpu_id", "window_end_tick").count()
-        assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, plain.collect()))
+        again = sorted(map(tuple, WF.gpu_window_stats(metrics, HOPS, windows_per_chunk=size).collect()))
+        assert [r[:3] for r in again] == [r[:3] for r in stats]
+        assert np.allclose([r[3:] for r in again], [r[3:] for r in stats])
 
 
 def test_node_takes_the_worst_gpu(spark, samples):
