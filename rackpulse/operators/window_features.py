@@ -29,6 +29,7 @@ IDS = ("node_id", "rack_id", "zone_id", "window_end_tick")
 SERIES = ("gpu_id", "_chunk", "window_end_tick")
 TOLERANCE = 1e-9
 ROLLING_MIN = 6
+BLOCK = 256
 
 # Feature columns of the count-based data set.
 PRECURSORS = ("ecc_uncorrectable_info", "nvlink_fault_warn", "pcie_error_warn")
@@ -61,28 +62,50 @@ def counter_rates(metrics: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def rolling_peaks(*signals: pd.Series) -> pd.Series:
-    """Per row and signal: largest sample deviation over max(3, n / 6) consecutive values; null for short series.
-
-    The frame length differs per row, which SQL frames cannot express. Prefix sums find the peak, whose deviation is
-    then taken directly.
-    """
+def _describe(values: np.ndarray) -> np.ndarray:
+    """The ten statistics along the last axis, stacked behind it in their published order."""
+    n = values.shape[-1]
+    mean = values.mean(axis=-1, keepdims=True)
+    centred = values - mean
+    std = values.std(axis=-1, keepdims=True)
+    low, high = values.min(axis=-1), values.max(axis=-1)
+    slope = correlation = np.zeros(values.shape[:-1])
+    if n >= 2:
+        place = np.arange(n) - (n - 1) / 2
+        slope = centred @ place / (place @ place)
+        a, b = values[..., :-1], values[..., 1:]
+        a, b = a - a.mean(axis=-1, keepdims=True), b - b.mean(axis=-1, keepdims=True)
+        scatter = np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1))
+        correlation = (a * b).sum(axis=-1) / (scatter + 1e-12)
+    spikes = (values > mean + 2 * std + TOLERANCE).sum(axis=-1)
+    peak = _rolling_peak(centred) if n >= ROLLING_MIN else std[..., 0]
+    columns = (mean[..., 0], std[..., 0], low, high, high - low, slope, correlation, spikes, values[..., -1], peak)
+    return np.stack(columns, axis=-1)
+
+
+def _rolling_peak(centred: np.ndarray) -> np.ndarray:
+    """Largest sample deviation over max(3, n / 6) consecutive values: found by prefix sums, then taken directly."""
+    n = centred.shape[-1]
+    w = max(3, n // 6)
+    zero = np.zeros((*centred.shape[:-1], 1))
+    first = np.concatenate([zero, centred.cumsum(axis=-1)], axis=-1)
+    second = np.concatenate([zero, (centred**2).cumsum(axis=-1)], axis=-1)
+    scatter = second[..., w:] - second[..., :-w] - (first[..., w:] - first[..., :-w]) ** 2 / w
+    start = scatter.argmax(axis=-1)[..., None]
+    return np.take_along_axis(centred, start + np.arange(w), axis=-1).std(axis=-1, ddof=1)
 
-    def peaks(values: np.ndarray) -> list[float | None]:
-        n = values.shape[1]
-        if n < ROLLING_MIN:
-            return [None] * len(values)
-        w = max(3, n // 6)
-        centred = values - values.mean(axis=1, keepdims=True)
-        zero = np.zeros((len(values), 1))
-        first = np.hstack([zero, centred.cumsum(axis=1)])
-        second = np.hstack([zero, (centred**2).cumsum(axis=1)])
-        scatter = second[:, w:] - second[:, :-w] - (first[:, w:] - first[:, :-w]) ** 2 / w
-        start = scatter.argmax(axis=1)
-        return [float(v[at : at + w].std(ddof=1)) for v, at in zip(values, start, strict=True)]
 
-    return pd.Series([peaks(np.stack(row)) for row in zip(*signals, strict=True)])
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def series_statistics(*signals: pd.Series) -> pd.Series:
+    """All statistics of all signals of a window in one flat array; windows of equal length are computed together."""
+    lengths = signals[0].map(len).to_numpy()
+    result = np.empty((len(lengths), len(signals) * len(STATS)))
+    for n in np.unique(lengths):
+        same = np.flatnonzero(lengths == n)
+        for at in np.array_split(same, -(-len(same) // BLOCK)):
+            block = np.stack([np.stack(s.iloc[at].to_numpy()) for s in signals], axis=1)
+            result[at] = _describe(block).reshape(len(at), -1)
+    return pd.Series(list(result))
 
 
 def gpu_window_stats(
@@ -94,84 +117,37 @@ def gpu_window_stats(
 ) -> DataFrame:
     """Ten statistics of every signal per (GPU, window), as columns ``signal__stat``.
 
-    One exchange and one sort of the samples: predecessors are looked up before the rows are copied to their windows,
-    and a row knows from the ticks of its two predecessors whether it opens a window. Counters become rates inside each
-    window, so its first sample has rate 0. All other statistics are built-in aggregates; the slope may use the sample
-    number of the whole chunk because it does not depend on where counting starts.
+    The samples are exchanged once, then gathered per window as one array in time order: a window holds at most the
+    samples of its look-back. Counters become rates inside each window, so its first sample has rate 0. The arrays go
+    through one Arrow function: as grouped aggregates the statistics are some 150 buffer columns plus a frame whose
+    length differs per window, as array expressions a dozen interpreted passes; both took many times longer.
     """
     ends = max_tick if max_tick is not None else last_tick(metrics)
     chunked = to_chunks(metrics.select("tick", "gpu_id", *LEVELS, *COUNTERS), hops, ends, "gpu_id", windows_per_chunk)
-    order = W.partitionBy("gpu_id", "_chunk").orderBy("tick", *COUNTERS, *LEVELS)
-    rated = chunked.withColumns(
-        {
-            "_i": F.row_number().over(order),
-            "_t1": F.lag("tick", 1).over(order),
-            "_t2": F.lag("tick", 2).over(order),
-            **{r: _increase(F.col(c), F.lag(c).over(order)) for c, r in zip(COUNTERS, RATES, strict=True)},
-        }
-    )
-    linked = rated.withColumns({f"_prev_{s}": F.lag(s).over(order) for s in signals}).drop(*COUNTERS)
-    start = F.col("window_end_tick") - hops.lookback
-    opened = open_chunks(linked, hops).withColumns(
-        {
-            "_first": F.coalesce(F.col("_t1") < start, F.lit(True)),
-            "_second": F.coalesce(F.col("_t2") < start, F.lit(True)),
-        }
-    )
-
-    def here(s: str) -> Column:
-        return (F.when(F.col("_first"), 0).otherwise(F.col(s)) if s in RATES else F.col(s)).cast("double")
-
-    def before(s: str) -> Column:
-        known = F.when(~F.col("_first"), F.col(f"_prev_{s}"))
-        return (F.when(~F.col("_first") & F.col("_second"), 0).otherwise(known) if s in RATES else known).cast("double")
-
-    values = opened.select(
-        *SERIES, "_i", *[here(s).alias(s) for s in signals], *[before(s).alias(f"_prev_{s}") for s in signals]
-    )
-    grouped = values.groupBy(*SERIES).agg(
-        F.array_sort(F.collect_list(F.struct("_i", *signals))).alias("rows"),
-        *[expr for s in signals for expr in _aggregates(s)],
-    )
-    peaked = grouped.withColumn("_peaks", rolling_peaks(*[F.col(f"rows.{s}") for s in signals]))
-    return peaked.select(
+    rows = F.array_sort(F.collect_list(F.struct("tick", *COUNTERS, *LEVELS)))
+    gathered = open_chunks(chunked, hops).groupBy(*SERIES).agg(rows.alias("rows"))
+    described = gathered.withColumn("stats", series_statistics(*[_values(s) for s in signals]))
+    return described.select(
         node_of_gpu(F.col("gpu_id")).alias("node_id"),
         "gpu_id",
         "window_end_tick",
-        *[stat for place, s in enumerate(signals) for stat in _statistics(s, place)],
+        *[
+            F.get("stats", F.lit(place)).alias(name)
+            for place, name in enumerate(f"{s}__{stat}" for s in signals for stat in STATS)
+        ],
     )
 
 
-def _aggregates(s: str) -> list[Column]:
-    x, before = F.col(s), F.col(f"_prev_{s}")
-    later = F.when(before.isNotNull(), x)
-    pairs = F.count(before)
-    scatter = F.sqrt(F.var_pop(before) * pairs) * F.sqrt(F.var_pop(later) * pairs)
-    stats = {
-        "mean": F.avg(x),
-        "std": F.stddev_pop(x),
-        "min": F.min(x),
-        "max": F.max(x),
-        "slope": F.coalesce(F.regr_slope(x, F.col("_i")), F.lit(0.0)),
-        "ac1": F.coalesce(F.covar_pop(before, x) * pairs / (scatter + 1e-12), F.lit(0.0)),
-        "last": F.max_by(x, F.col("_i")),
-    }
-    return [expr.alias(f"{s}__{name}") for name, expr in stats.items()]
-
-
-def _statistics(s: str, place: int) -> list[Column]:
-    """The ten statistics in their published order."""
-
-    def known(name: str) -> Column:
-        return F.col(f"{s}__{name}")
-
-    limit = known("mean") + 2 * known("std") + TOLERANCE
-    derived = {
-        "range": known("max") - known("min"),
-        "spike_count": F.size(F.filter(f"rows.{s}", lambda v: v > limit)).cast("double"),
-        "vol_max": F.coalesce(F.get("_peaks", F.lit(place)), known("std")),
-    }
-    return [derived.get(name, known(name)).alias(f"{s}__{name}") for name in STATS]
+def _values(signal: str) -> Column:
+    """Values of a signal in time order; a rate is the growth of its counter since the previous sample."""
+    if signal in LEVELS:
+        return F.col(f"rows.{signal}")
+    counter = COUNTERS[RATES.index(signal)]
+
+    def rate(row: Column, i: Column) -> Column:
+        return F.when(i == 0, 0).otherwise(F.greatest(row[counter] - F.get("rows", i - 1)[counter], F.lit(0)))
+
+    return F.transform("rows", lambda row, i: F.coalesce(rate(row, i), F.lit(0)).cast("double"))
 
 
 def node_window_stats(metrics: DataFrame, hops: Hops, max_tick: Column | None = None) -> DataFrame:
