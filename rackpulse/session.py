@@ -31,18 +31,17 @@ def build_session(master: str, shuffle_partitions: int, app: str = "rackpulse",
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the checkpoint folder the session already has.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without either gets a folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="rackpulse-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rackpulse-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def work_path(spark: SparkSession, label: str) -> str:
