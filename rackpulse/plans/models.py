@@ -13,9 +13,9 @@ from rackpulse.functions.ordered import exact_quantiles
 from rackpulse.operators import anomaly, risk, survival
 from rackpulse.operators.evaluation import rolling_folds, time_based_split
 from rackpulse.operators.window_features import LABEL, V1_FEATURES
-from rackpulse.plans.ctes import sql
+from rackpulse.plans.ctes import ENRICHED, METRICS, sql
 from rackpulse.plans.evaluation import survival_rows
-from rackpulse.plans.features import _V1, dataset_v1, dataset_v2
+from rackpulse.plans.features import _AHEAD, _BACK, _BOTH_TOP, _V1, _ends, dataset_v1, dataset_v2
 from rackpulse.plans.kpi import rounded
 from rackpulse.session import materialise, work_path
 from rackpulse.sources import registry, tables
@@ -233,6 +233,16 @@ d as (select duration, sum(w) as w, cast(sum(ev) as bigint) as events from s gro
 r as (select duration, events, events / sum(w) over (order by duration desc) as h from d),
 c as (select duration, events, sum(h) over (order by duration) as ch from r)
 select cast(duration as bigint) as duration, events, round(ch, 9) as cumulative_hazard, round(exp(-ch), 9) as survival from c""",
+    "survival_dataset": sql(
+        f"{METRICS},{ENRICHED},\n{_ends(_BOTH_TOP)}",
+        f""", seen as (select distinct node_id, e from metrics join ends on {_BACK}),
+hit as (select node_id, e, min(tick) as t from enriched join ends on {_AHEAD} group by 1, 2),
+s as (select e, t, (t is not null)::int as event from seen left join hit using (node_id, e))
+select 120.0::double as duration, event, count(*) as windows, 'constant' as form from s group by event
+union all
+select round(case when event = 1 then least((t - e) / 12, 120) else 120 end, 6) as duration, event, count(*), 'observed'
+from s group by 1, 2""",
+    ),
     "scoring_input": sql(_V1, f"select node_id, window_end_tick, {_FILLED} from v1"),
     "latest_window": sql(
         _V1,
