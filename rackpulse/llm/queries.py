@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rackpulse.llm import packing_ga, token_counts, token_orc
+from rackpulse.llm import packing_ga, perspectives, pseudonyms, token_counts, token_orc
 from rackpulse.session import work_path
 
 SEQUENCE_LENGTH = 4096
+#: Key of the registered runs; a real corpus takes its own from the outside.
+PSEUDONYM_KEY = "corpus-pseudonyms"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +31,21 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_ga.pack(pieces, SEQUENCE_LENGTH, ["doc_id", "piece"])
 
 
+def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = perspectives.render_perspectives(table(spark, sf_dir, "conversations"))
+    return rendered.withColumn("mask", perspectives.mask_text(rendered["mask"]))
+
+
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_token_orc": op5_token_orc,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_chat_perspectives": op8_chat_perspectives,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_chat_perspectives": perspectives.ORACLE}
