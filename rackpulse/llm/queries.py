@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rackpulse.llm import packing_ga, perspectives, pseudonyms, token_counts, token_orc
-from rackpulse.session import work_path
+from rackpulse.llm import decontamination, packing_ga, perspectives, pseudonyms, token_counts, token_orc
+from rackpulse.session import materialise, work_path
 
 SEQUENCE_LENGTH = 4096
 #: Key of the registered runs; a real corpus takes its own from the outside.
@@ -36,6 +37,15 @@ def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered.withColumn("mask", perspectives.mask_text(rendered["mask"]))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = decontamination.benchmark_windows(table(spark, sf_dir, "benchmark"))
+    windows = materialise(windows, "windows")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_passages(docs, windows, with_text=False)
+    hits = decontamination.items_found(found.drop("spans"), windows)
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
@@ -45,7 +55,8 @@ QUERIES = {
     "op5_token_orc": op5_token_orc,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_chat_perspectives": op8_chat_perspectives,
+    "op9_decontamination": op9_decontamination,
     "op10_pseudonyms": op10_pseudonyms,
 }
 
-ORACLES = {"op8_chat_perspectives": perspectives.ORACLE}
+ORACLES = {"op8_chat_perspectives": perspectives.ORACLE, "op9_decontamination": decontamination.ORACLE}
