@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackpulse.llm import decontamination, packing_ga, perspectives, pseudonyms, token_counts, token_orc
+from rackpulse.llm import (
+    decontamination,
+    packing_ga,
+    perspectives,
+    pseudonyms,
+    quality_gam,
+    token_counts,
+    token_orc,
+    toxicity,
+    vp_search,
+)
 from rackpulse.session import materialise, work_path
 
 SEQUENCE_LENGTH = 4096
+#: One is exact search.
+SEARCH_FACTOR = 1.0
 #: Key of the registered runs; a real corpus takes its own from the outside.
 PSEUDONYM_KEY = "corpus-pseudonyms"
 
@@ -17,16 +29,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def not_held_out(parts: int, held: int) -> Column:
+    """Rows that a fit may learn from: crc32 of the id as text, modulo ``parts``, is not ``held``."""
+    return ~held_out(parts, held)
+
+
+def held_out(parts: int, held: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == held
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"), "toxic", not_held_out(3, 1))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = vp_search.build_index(vectors)
+    return vp_search.search(index, vectors.filter(F.col("vec_id") % 20 == 0), k=20, factor=SEARCH_FACTOR)
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_path(spark, "token-orc")
     token_orc.write_tokens(table(spark, sf_dir, "documents"), out, end_id=2)
     return token_orc.digest_tokens(spark, out)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = materialise(quality_gam.document_features(table(spark, sf_dir, "documents")), "features")
+    model = quality_gam.fit_on(features, table(spark, sf_dir, "labels"), "quality", not_held_out(5, 0))
+    return quality_gam.score_features(features, model).select(
+        "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing_ga.token_pieces(table(spark, sf_dir, "documents"), SEQUENCE_LENGTH, end_id=1)
     return packing_ga.pack(pieces, SEQUENCE_LENGTH, ["doc_id", "piece"])
@@ -51,12 +94,15 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_vantage_search": op4_vantage_search,
     "op5_token_orc": op5_token_orc,
+    "op6_quality": op6_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_chat_perspectives": op8_chat_perspectives,
     "op9_decontamination": op9_decontamination,
     "op10_pseudonyms": op10_pseudonyms,
 }
 
-ORACLES = {"op8_chat_perspectives": perspectives.ORACLE, "op9_decontamination": decontamination.ORACLE}
+ORACLES = {"op4_vantage_search": vp_search.ORACLE, "op8_chat_perspectives": perspectives.ORACLE, "op9_decontamination": decontamination.ORACLE}
