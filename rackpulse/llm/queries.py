@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rackpulse.llm import (
     decontamination,
+    ngram_join,
     packing_ga,
     perspectives,
     pseudonyms,
@@ -46,6 +47,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.shingle_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -95,6 +101,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_token_counts": op3_token_counts,
     "op4_vantage_search": op4_vantage_search,
     "op5_token_orc": op5_token_orc,
@@ -105,4 +112,4 @@ QUERIES = {
     "op10_pseudonyms": op10_pseudonyms,
 }
 
-ORACLES = {"op4_vantage_search": vp_search.ORACLE, "op8_chat_perspectives": perspectives.ORACLE, "op9_decontamination": decontamination.ORACLE}
+ORACLES = {"op2_ngram_jaccard": ngram_join.ORACLE, "op4_vantage_search": vp_search.ORACLE, "op8_chat_perspectives": perspectives.ORACLE, "op9_decontamination": decontamination.ORACLE}
