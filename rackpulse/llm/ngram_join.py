@@ -21,7 +21,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +32,17 @@ WORDS, PERCENT = 5, 75
 #: Counters of word frequencies and bits of the filter of wanted nodes; both are broadcast and never larger.
 COUNTERS, FILTER_BITS = 1 << 18, 1 << 25
 BLOCK_ENTRIES = 1_000_000
+#: Bytes of text that are hashed at a time.
+SLICE = 3 << 20
 STAR_ROUNDS = 2
 ENTRY = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("size", "<u4")])
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
+#: Base of the word hashes: odd, and one less than it is not divisible by 4.
+_BASE = np.uint64(0x9FB21C651E98DF27)
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -53,21 +57,11 @@ class Shingler:
         self.words = words
         # Fixed odd numbers, one per place in a shingle.
         self.places = np.array([_MULTIPLIERS[i % 5] + np.uint64(2 * (i // 5)) for i in range(words)], np.uint64)
-        self.known: dict[bytes, int] = {}
-
-    def _hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) + len(words) > 500_000:
-            self.known = {}
-        known, out = self.known, []
-        for word in words:
-            h = known.get(word)
-            if h is None:
-                h = known[word] = xxhash.xxh3_64_intdigest(word)
-            out.append(h)
-        return np.array(out, np.uint64)
+        self.letters = _mix(np.arange(1, 257, dtype=np.uint64))
+        self.powers = np.ones(1, np.uint64)
 
     def word_hashes(self, raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words, and the number of words before each bound."""
+        """Polynomial hashes of all words, and the number of words before each bound."""
         data = np.frombuffer(raw.translate(LOWER), np.uint8)
         solid = ~_BLANK[data]
         begins = solid.copy()
@@ -75,11 +69,18 @@ class Shingler:
         edges = bounds[bounds < len(data)]
         begins[edges] = solid[edges]
         starts = np.flatnonzero(begins)
-        before = np.cumsum(solid, dtype=np.int32)
-        offsets = np.concatenate((before[starts] - 1, before[-1:])).astype(np.int32)
-        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])])
-        coded = words.dictionary_encode()
-        return self._hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy()], np.searchsorted(starts, bounds)
+        if not len(starts):
+            return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+        values = self.letters[data[solid]]
+        first = np.flatnonzero(begins[solid])
+        sizes = np.diff(np.concatenate((first, [len(values)])))
+        longest = int(sizes.max())
+        if longest > len(self.powers):
+            self.powers = np.concatenate(([1], np.multiply.accumulate(np.full(longest, _BASE, np.uint64)))).astype(np.uint64)
+        place = np.arange(len(values), dtype=np.int32)
+        place -= np.repeat(first.astype(np.int32), sizes)
+        values *= self.powers[place]
+        return _mix(np.add.reduceat(values, first) + sizes.astype(np.uint64)), np.searchsorted(starts, bounds)
 
     def column(self, texts: pa.Array, rarity: np.ndarray | None = None) -> Iterator[tuple]:
         """Per text with words: its index, word hashes, sorted distinct shingles, and these from rare to frequent.
@@ -87,7 +88,7 @@ class Shingler:
         The last one needs the word counters ``rarity`` and is None without them.
         """
         row = 0
-        for part in slices(pc.fill_null(texts, "").cast(pa.large_binary())):
+        for part in slices(pc.fill_null(texts, "").cast(pa.large_binary()), SLICE):
             raw, bounds = flat_bytes(part)
             if raw:
                 words, cuts = self.word_hashes(raw, bounds)
@@ -256,36 +257,38 @@ def _may_link(a: str, b: str, percent: int):
     return fits & (((size_a <= size_b) & flag_a) | ((size_b <= size_a) & flag_b))
 
 
-def _wanted(docs: DataFrame, pairs: DataFrame, text: str, words: int) -> DataFrame:
-    """Shingle sets (node, shingles) of the nodes in ``pairs``; a filter of fixed size keeps most others at home."""
+def _wanted(docs: DataFrame, owners: DataFrame, pairs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """Shingle sets (node, shingles) of the nodes in ``pairs``, from one document of each.
+
+    A filter of fixed size over the documents' keys keeps most other texts from being hashed again.
+    """
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            bits[_mix(batch["node"].to_numpy(np.int64).astype(np.uint64)) % np.uint64(FILTER_BITS)] = True
+            bits[batch["owner"].to_numpy(np.int64).astype(np.uint64) % np.uint64(FILTER_BITS)] = True
         packed = np.packbits(bits).reshape(64, -1)
         some = [i for i in range(64) if packed[i].any()]
         yield pd.DataFrame({"block": np.array(some, np.int32), "counts": [packed[i].tobytes() for i in some]})
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    packed = _combined(nodes.mapInPandas(mark, "block int, counts binary"), np.bitwise_or, "uint8", 64, FILTER_BITS // 512)
+    marks = owners.join(nodes, "node", "left_semi").select("owner").mapInPandas(mark, "block int, counts binary")
+    packed = _combined(marks, np.bitwise_or, "uint8", 64, FILTER_BITS // 512)
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sent, bits = Shingler(words), set(), np.unpackbits(shared.value).astype(bool)
+        shingler, bits = Shingler(words), shared.value
         for batch in batches:
+            at = (batch.column(0).to_numpy().astype(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+            marked = batch.column(1).filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
             names, sets = [], []
-            for _, _, shingles, _ in shingler.column(batch.column(0)):
-                node = node_of(shingles)
-                if node not in sent and bits[int(_mix(np.array([node]).astype(np.uint64))[0] % np.uint64(FILTER_BITS))]:
-                    sent.add(node)
-                    names.append(node)
-                    sets.append(shingles.tobytes())
+            for _, _, shingles, _ in shingler.column(marked):
+                names.append(node_of(shingles))
+                sets.append(shingles.tobytes())
             yield pa.record_batch([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    found = docs.select(F.col(text).alias("_text")).mapInArrow(run, "node long, shingles binary")
-    # The filter lets a few others pass, and copies of one set come from several tasks.
-    return found.join(nodes, "node", "left_semi")
+    found = docs.select(F.xxhash64(key).alias("_owner"), F.col(text).alias("_text")).mapInArrow(run, "node long, shingles binary")
+    return materialise(found.join(nodes, "node", "left_semi"), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -331,6 +334,7 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / BLOCK_ENTRIES) + 1)
     columns = materialise(_columns(_entries(docs, text, words, percent, rarity, blocks)), "columns")
 
+    owners = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.xxhash64(F.min(key)).alias("owner"))
     links, component, tried = None, None, None
     for number in range(STAR_ROUNDS + 1):
         if component is None:
@@ -360,7 +364,7 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             if number < STAR_ROUNDS and number > 0:
                 continue
             break
-        sets = _wanted(docs, pairs, text, words)
+        sets = _wanted(docs, owners, pairs, key, text, words)
         found = materialise(_linked(pairs, sets, percent), f"links-{number}")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
@@ -378,6 +382,27 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component of near copies, the one with the smallest key; others stay as they are.
+
+    Of repeated rows (same key and text) one stays, unless they have no words. Rows that share a key but not the text
+    are different documents.
+    """
+    tagged = docs.withColumn("_key", F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash")))
+    found = shingle_components(tagged, "_key", text)
+    verdict = found.groupBy("_key").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"), F.max("n_shingles").alias("n"))
+    verdict = materialise(verdict, "verdict")
+    # Written first, so that their size is known and a small table is broadcast without moving the texts.
+    dropped = materialise(verdict.filter(F.col("_key") != F.col("component_id")).select("_key"), "dropped")
+    repeated = verdict.filter((F.col("_key") == F.col("component_id")) & (F.col("rows") > 1) & (F.col("n") > 0)).select("_key")
+    kept = tagged.join(dropped, "_key", "left_anti")
+    if not repeated.isEmpty():
+        repeated = materialise(repeated, "repeated")
+        once = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+        kept = kept.join(repeated, "_key", "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
+
+
 _SPLIT = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 ORACLE = f"""
 with recursive d as materialized (select doc_id, coalesce({_SPLIT}, []) as w from documents),

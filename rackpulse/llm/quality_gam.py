@@ -70,18 +70,6 @@ def features_of(text: str | None) -> list[float]:
     return [named[name] for name in FEATURES]
 
 
-def document_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (``key``, ``features`` array), one per row of ``docs``; nothing is exchanged."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [features_of(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=[key, "features"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, features array<double>")
-
-
 @dataclass
 class GamModel:
     """Lookup tables over binned features; ``tables`` by feature, ``pairs`` by two features on coarser bins."""
@@ -247,50 +235,53 @@ def fit(rows: np.ndarray, labels: np.ndarray, seed: int = 7) -> GamModel:
     return model
 
 
-def fit_on(features: DataFrame, labels: DataFrame, label: str, usable: Column, key: str = "doc_id") -> GamModel:
+def fit_on(docs: DataFrame, labels: DataFrame, label: str, usable: Column, key: str = "doc_id", text: str = "text") -> GamModel:
     """Fit on the labelled rows for which ``usable`` holds, at most FIT_ROWS_PER_CLASS of each class.
 
-    Rows with a null key or label are left out. The rows with the smallest hashes are taken, so a fit is repeatable.
+    Rows with a null key or label are left out. The rows with the smallest hashes are taken, so a fit is repeatable. The
+    classes' shares among all usable labels set the intercept.
     """
     known = labels.filter(usable & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("_label"))
     chosen = None
     for value in (0, 1):
         rows = known.filter(F.col("_label") == value).orderBy(F.xxhash64(key), key).limit(FIT_ROWS_PER_CLASS)
         chosen = rows if chosen is None else chosen.unionByName(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [features_of(t) for t in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=[key, "label", "features"])
+
     # Bounded by 2 * FIT_ROWS_PER_CLASS rows of two numbers, hence broadcast.
-    table = features.join(F.broadcast(chosen), key).select(key, "features", "_label").toPandas()
-    table = table.sort_values(key, kind="stable")
-    # Classes are weighted alike by the choice; the intercept is moved back to the shares of all labelled rows.
+    own = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key).select(key, "_label", "_text")
+    kind = docs.schema[key].dataType.simpleString()
+    table = own.mapInArrow(run, f"`{key}` {kind}, label int, features array<double>").toPandas()
+    table = table.assign(order=[tuple(f) for f in table["features"]]).sort_values([key, "order"], kind="stable")
     rows = np.array(table["features"].tolist()).reshape(len(table), len(FEATURES))
-    model = fit(rows, table["_label"].to_numpy().astype(float))
+    model = fit(rows, table["label"].to_numpy().astype(float))
     sizes = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     if min(sizes.get(0, 0), sizes.get(1, 0)) > 0 and len(table):
-        used = table["_label"].value_counts()
+        used = table["label"].value_counts()
         model.intercept += float(np.log(sizes[1] / used.get(1, 1)) - np.log(sizes[0] / used.get(0, 1)))
     return model
 
 
-def score_features(features: DataFrame, model: GamModel, key: str = "doc_id") -> DataFrame:
-    """Rows (``key``, ``score``) from feature rows, by vectorised bin additions."""
+def score_documents(docs: DataFrame, model: GamModel, text: str = "text", with_text: bool = True) -> DataFrame:
+    """All columns of ``docs``, with or without the text, and ``score``; a column of that name is replaced.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.record_batch([batch.column(0), pa.array(model.probability(rows))], names=[key, "score"])
-
-    kind = features.schema[key].dataType.simpleString()
-    return features.select(key, "features").mapInArrow(run, f"`{key}` {kind}, score double")
-
-
-def score_documents(docs: DataFrame, model: GamModel, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``score``; a column of that name is replaced."""
+    An empty or null text has the features of an empty text. Nothing is exchanged.
+    """
     columns = [c for c in docs.columns if c != "score"]
     at = columns.index(text)
+    kept = [i for i in range(len(columns)) if with_text or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([features_of(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.record_batch([*batch.columns, pa.array(model.probability(rows))], names=[*columns, "score"])
+            yield pa.record_batch(
+                [*[batch.column(i) for i in kept], pa.array(model.probability(rows))], names=[*[columns[i] for i in kept], "score"]
+            )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "score")
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, f"{schema}, score double")
+    out = docs.select(*[F.col(f"`{c}`") for c in columns])
+    schema = ", ".join(f"`{out.schema[i].name}` {out.schema[i].dataType.simpleString()}" for i in kept)
+    return out.mapInArrow(run, f"{schema}, score double")

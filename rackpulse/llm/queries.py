@@ -20,6 +20,7 @@ from rackpulse.llm import (
 from rackpulse.session import materialise, work_path
 
 SEQUENCE_LENGTH = 4096
+QUALITY_AT_LEAST = 0.3
 #: One is exact search.
 SEARCH_FACTOR = 1.0
 #: Key of the registered runs; a real corpus takes its own from the outside.
@@ -69,10 +70,10 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = materialise(quality_gam.document_features(table(spark, sf_dir, "documents")), "features")
-    model = quality_gam.fit_on(features, table(spark, sf_dir, "labels"), "quality", not_held_out(5, 0))
-    return quality_gam.score_features(features, model).select(
-        "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_gam.fit_on(docs, table(spark, sf_dir, "labels"), "quality", not_held_out(5, 0))
+    return quality_gam.score_documents(docs, model, with_text=False).select(
+        "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= QUALITY_AT_LEAST).cast("int").alias("predicted")
     )
 
 

@@ -193,10 +193,10 @@ def flat_bytes(texts: pa.Array) -> tuple[bytes, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Consecutive pieces of about SLICE_BYTES; a longer text is a piece of its own."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Consecutive pieces of about ``size`` bytes; a longer text is a piece of its own."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes) // SLICE_BYTES
+    group = np.cumsum(sizes) // size
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
     for start, end in zip(edges, edges[1:], strict=False):
         if end > start:
