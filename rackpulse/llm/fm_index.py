@@ -18,7 +18,7 @@ def suffix_array(symbols: np.ndarray, bits: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for step in range(width):
         key <<= bits
-        key[: n - step] |= symbols[step:]
+        key[: max(0, n - step)] |= symbols[step:]
     order = np.argsort(key, kind="stable")
     ordered = key[order]
     first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
