@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rackpulse.session import cut_lineage
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Label every ``id`` with the smallest id it is connected to.
 
     ``edges`` holds (src, dst) in both directions. Each round takes the smallest neighbouring label and then the label
@@ -17,7 +17,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     """
     edges = cut_lineage(edges)
     labels = cut_lineage(vertices.select("id", F.col("id").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         nearest = (
             edges.join(labels, edges["dst"] == labels["id"])
             .groupBy(F.col("src").alias("id"))
@@ -35,4 +35,3 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
         labels = jumped.select("id", "label")
         if jumped.filter("label <> before").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")

@@ -17,15 +17,15 @@ from pyspark.sql import types as T
 
 from rackpulse.session import cut_lineage
 
-MIN_BUCKETS, MAX_BUCKETS = 8, 1024
+MIN_BUCKETS = 8
 SAMPLES_PER_BUCKET = 32
 HASH_RANGE = 2**40
 
 
 def bucket_count(df: DataFrame) -> int:
-    """As many buckets as the session has shuffle partitions, within bounds."""
+    """As many buckets as the session has shuffle partitions, so that a bucket stays of one task's size."""
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(wanted, MIN_BUCKETS), MAX_BUCKETS)
+    return max(wanted, MIN_BUCKETS)
 
 
 def bucket_edges(keys: DataFrame, order: Sequence[str], buckets: int) -> list[tuple]:

@@ -22,7 +22,7 @@ SUBSAMPLE = 256
 LOW, HIGH = 0.05, 0.95
 
 TREE = "tree int, node int, feature int, threshold double, depth int, size int"
-HASH_RANGE = 2**20
+HASH_RANGE = 2**40
 
 
 @dataclass
@@ -73,18 +73,11 @@ def _grow(seed: int, limit: int):
 def subsamples(rows: DataFrame, keys: Sequence[str], trees: int, seed: int) -> DataFrame:
     """Rows with the tree they help to grow and their random order in it.
 
-    A long table gives every row to at most one tree, by hash, after a hash filter that keeps about 1.25 times the rows
-    needed. A short one offers each row to every tree with the probability that fills its subsample. Either way the
-    shuffle moves some hundred rows per tree.
+    Every row is offered to every tree with the probability that fills its subsample one and a half times, by hash, so
+    the shuffle moves some hundred rows per tree, however long the table is.
     """
     n = rows.count()
     pick = F.xxhash64(F.lit(seed), F.col("tree"), *keys)
-    slot = F.pmod(F.xxhash64(F.lit(seed + 1), *keys), F.lit(HASH_RANGE))
-    if n > 2 * trees * SUBSAMPLE:
-        kept = rows.filter(slot < int(HASH_RANGE * 1.25 * trees * SUBSAMPLE / n) + 1)
-        return kept.withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 2), *keys), F.lit(trees)).cast("int")).withColumn(
-            "pick", pick
-        )
     share = int(HASH_RANGE * min(1.0, 1.5 * SUBSAMPLE / max(n, 1)))
     offered = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("pick", pick)
     return offered.filter(F.pmod("pick", F.lit(HASH_RANGE)) < share)

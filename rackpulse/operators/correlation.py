@@ -137,11 +137,11 @@ def repeat_openings(incidents: DataFrame, within_ticks: int) -> DataFrame:
     signature = ["root_kind", "scope", "severity_max"]
     openings = incidents.groupBy(*signature, "opened_tick").agg(F.count("*").alias("_same"))
     following = F.lead("opened_tick").over(W.partitionBy(*signature).orderBy("opened_tick"))
-    gaps = openings.withColumn(
-        "reopened",
-        (F.col("_same") > 1) | F.coalesce(following - F.col("opened_tick") <= within_ticks, F.lit(False)),
-    ).drop("_same")
-    return incidents.join(gaps, [*signature, "opened_tick"])
+    reopened = (F.col("_same") > 1) | F.coalesce(following - F.col("opened_tick") <= within_ticks, F.lit(False))
+    keys = [*signature, "opened_tick"]
+    gaps = openings.select(*[F.col(c).alias(f"_{c}") for c in keys], reopened.alias("reopened"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return incidents.join(gaps, same).drop(*[f"_{c}" for c in keys])
 
 
 def to_tickets(incidents: DataFrame, epoch: str, within_ticks: int = 288, seconds_per_tick: int = 300) -> DataFrame:

@@ -21,9 +21,8 @@ from rackpulse.session import cut_lineage, use_checkpoints
 
 KEYS = ("window_end_tick", "node_id")
 
-# Classifier settings and the decimals to which scores are pooled for calibration.
+# Classifier settings.
 BOOSTING = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "seed": 42}
-CALIBRATION_DECIMALS = 4
 CALIBRATION_SHARE = 0.2
 CALIBRATION_ROWS = 10
 SHUFFLE_BLOCK = 1000
@@ -96,7 +95,7 @@ def calibrate(model: RiskModel, rows: DataFrame) -> RiskModel:
         return model
     points = (
         model.raw(rows)
-        .groupBy(F.round("raw_score", CALIBRATION_DECIMALS).alias("raw_score"))
+        .groupBy("raw_score")
         .agg(F.avg(LABEL).alias("share"), F.count("*").cast("double").alias("weight"))
     )
     curve = IsotonicRegression(featuresCol="raw_score", labelCol="share", weightCol="weight").fit(points)
@@ -283,9 +282,9 @@ def explain_rows(model: RiskModel, rows: DataFrame, background: DataFrame, top_n
     return contributions(model, rows, background, keys).withColumn("place", place).filter(F.col("place") <= top_n)
 
 
-def global_attribution(model: RiskModel, dataset: DataFrame, n_sample: int = 500, seed: int = 42, keys=KEYS) -> DataFrame:
-    """Mean absolute contribution per feature over a fixed-size uniform sample of rows."""
-    sample = dataset.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n_sample)
+def global_attribution(model: RiskModel, dataset: DataFrame, n_sample: int | None = None, seed: int = 42, keys=KEYS) -> DataFrame:
+    """Mean absolute contribution per feature over all rows, or over a uniform sample of ``n_sample`` of them."""
+    sample = dataset if n_sample is None else dataset.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n_sample)
     return (
         contributions(model, sample, dataset, keys)
         .groupBy("feature")

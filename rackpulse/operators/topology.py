@@ -93,8 +93,3 @@ def enrich_with_topology(events: DataFrame, fleet: DataFrame) -> DataFrame:
     placed = attach_topology(events.withColumn("node_id", node_of_target(F.col("target"))), fleet)
     zone = F.when(F.col("scope") == "zone", F.col("target")).otherwise(F.col("zone_id"))
     return placed.withColumn("zone_id", zone)
-
-
-def enrich_metrics(metrics: DataFrame, fleet: DataFrame) -> DataFrame:
-    """Metric samples with the rack and zone of their node."""
-    return attach_topology(metrics.drop("rack_id", "zone_id"), fleet, ("rack_id", "zone_id"))

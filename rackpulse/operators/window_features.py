@@ -104,7 +104,12 @@ def series_statistics(*signals: pd.Series) -> pd.Series:
         same = np.flatnonzero(lengths == n)
         for at in np.array_split(same, -(-len(same) // BLOCK)):
             block = np.stack([np.stack(s.iloc[at].to_numpy()) for s in signals], axis=1)
-            result[at] = _describe(block).reshape(len(at), -1)
+            stats = _describe(block)
+            # A missing sample is left out of its own signal only.
+            for row, signal in np.argwhere(np.isnan(block).any(axis=2)):
+                known = block[row, signal][~np.isnan(block[row, signal])]
+                stats[row, signal] = _describe(known[None, None])[0, 0] if len(known) else np.nan
+            result[at] = stats.reshape(len(at), -1)
     return pd.Series(list(result))
 
 
@@ -207,6 +212,11 @@ def build_timeseries_dataset(
     )
 
 
+def with_known_labels(dataset: DataFrame, events: DataFrame, hops: Hops) -> DataFrame:
+    """Windows whose look-ahead ends before the last event: later ones cannot be told healthy from unseen."""
+    return dataset.filter(F.col("window_end_tick") + hops.horizon <= events.agg(F.max("tick")).scalar())
+
+
 def build_training_set(
     enriched: DataFrame,
     util: DataFrame,

@@ -269,10 +269,10 @@ from r left join c on c.node_id = r.node_id and c.e = r.e left join lb on lb.nod
     ),
     "sequence_scaling": sql(
         _SEQ,
-        ", f as (select " + ", ".join(f"avg({s}) as m_{s}, stddev_pop({s}) as d_{s}" for s in SIGNALS)
-        + " from seq where window_end_tick < 5000)\nselect node_id, window_end_tick, failed_next_24h, pos, "
+        ", sq as materialized (select * from seq), f as (select " + ", ".join(f"avg({s}) as m_{s}, stddev_pop({s}) as d_{s}" for s in SIGNALS)
+        + " from sq where window_end_tick < 5000)\nselect node_id, window_end_tick, failed_next_24h, pos, "
         + ", ".join(f"round(({s} - m_{s}) / case when d_{s} > 1e-12 then d_{s} else 1 end, 6) + 0 as {s}" for s in SIGNALS)
-        + " from seq, f",
+        + " from sq, f",
     ),
     "feature_spread": sql(
         _V1,

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from rackpulse.functions.ordered import exact_quantiles
 from rackpulse.operators import anomaly, risk, survival
 from rackpulse.operators.evaluation import rolling_folds, time_based_split
-from rackpulse.operators.window_features import LABEL, V1_FEATURES
+from rackpulse.operators.window_features import LABEL, V1_FEATURES, with_known_labels
+from rackpulse.plans.correlation import enriched_of
 from rackpulse.plans.ctes import ENRICHED, METRICS, sql
 from rackpulse.plans.evaluation import survival_rows
-from rackpulse.plans.features import _AHEAD, _BACK, _BOTH_TOP, _V1, _ends, dataset_v1, dataset_v2
+from rackpulse.plans.features import _AHEAD, _BACK, _BOTH_TOP, _V1, HOPS, _ends, dataset_v1, dataset_v2
 from rackpulse.plans.kpi import rounded
 from rackpulse.session import materialise, work_path
 from rackpulse.sources import registry, tables
@@ -27,8 +28,15 @@ COX_FEATURES = ["risk", "l_discount", "l_tax"]
 
 
 def stored_v1(spark: SparkSession, sf: str) -> DataFrame:
-    """Training rows, written once. Windows of the test tables that lie past the last event carry no label."""
-    return materialise(dataset_v1(spark, sf).filter(F.col("sev_info") + F.col("sev_warn") + F.col("sev_critical") > 0), "v1")
+    """Training rows, written once: all nodes of every window that the events still reach."""
+    return materialise(with_known_labels(dataset_v1(spark, sf), enriched_of(spark, sf), HOPS), "v1")
+
+
+def model_split_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and failures in both parts of the time split that the models use."""
+    train, test = time_based_split(stored_v1(spark, sf))
+    parts = [p.agg(F.count("*").alias("windows"), F.sum(LABEL).alias("failures")).withColumn("part", F.lit(n)) for n, p in (("train", train), ("test", test))]
+    return parts[0].unionByName(parts[1])
 
 
 def _model(dataset: DataFrame) -> risk.RiskModel:
@@ -192,6 +200,7 @@ QUERIES = {
     "top_at_risk": top_at_risk,
     "risk_attribution": risk_attribution,
     "global_attribution": global_attribution,
+    "model_split_balance": model_split_balance,
     "permutation_importance": permutation_importance,
     "model_comparison": model_comparison,
     "batch_scoring": batch_scoring,
@@ -217,6 +226,13 @@ _FILLED = ", ".join(
 )
 
 ORACLES = {
+    "model_split_balance": sql(
+        _V1,
+        f""", k as (select * from v1 where window_end_tick + {HOPS.horizon} <= (select max(tick) from enriched)),
+c as (select quantile_cont(window_end_tick::double, 0.7::double) as cut from k)
+select case when window_end_tick <= cut then 'train' else 'test' end as part, count(*) as windows, sum({LABEL}) as failures
+from k, c group by 1""",
+    ),
     "score_normalisation": sql(
         _V1,
         """, q as (select quantile_cont(zone_events_in_window::double, 0.05::double) as lo,

@@ -20,7 +20,7 @@ def series_samples(payloads: DataFrame) -> DataFrame:
 
     A response that does not report success fails the job; unknown metrics and unreadable points are left out.
     """
-    parsed = payloads.select(F.from_json("value", PAYLOAD).alias("p"))
+    parsed = payloads.select(F.xxhash64("value").alias("payload"), F.from_json("value", PAYLOAD).alias("p"))
     failure = F.raise_error(F.concat(F.lit("range query failed: "), F.coalesce("p.error", F.lit("unknown"))))
     result = F.when(F.col("p.status") == "success", F.col("p.data.result")).otherwise(failure)
     columns = F.create_map(*[F.lit(x) for pair in EXPORTER_COLUMNS.items() for x in pair])
@@ -28,7 +28,8 @@ def series_samples(payloads: DataFrame) -> DataFrame:
     def label(name: str) -> Column:
         return F.try_element_at("s.metric", F.lit(name))
 
-    series = parsed.select(F.posexplode(result).alias("sp", "s")).select(
+    series = parsed.select("payload", F.posexplode(result).alias("sp", "s")).select(
+        "payload",
         "sp",
         F.try_element_at(columns, label("__name__")).alias("metric"),
         F.coalesce(first_non_empty(label("hostname"), label("Hostname")), label("instance"), F.lit("")).alias("node_id"),
@@ -42,11 +43,9 @@ def series_samples(payloads: DataFrame) -> DataFrame:
             "node_id",
             "metric",
             F.get("v", F.lit(1)).try_cast("double").alias("value"),
-            F.struct("sp", "vp").alias("ord"),
-            F.col("gpu").try_cast("int").alias("gpu_idx"),
+            F.struct("payload", "sp", "vp").alias("ord"),
         )
-        .filter("metric is not null and ts is not null and value is not null and not isnan(value) and gpu_idx is not null")
-        .drop("gpu_idx")
+        .filter("metric is not null and ts is not null and value is not null and not isnan(value)")
     )
 
 

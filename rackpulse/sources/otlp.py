@@ -50,18 +50,18 @@ def point_samples(payloads: DataFrame) -> DataFrame:
     def attribute(source: str, name: str) -> Column:
         return F.try_element_at(source, F.lit(name))
 
-    resources = payloads.select(F.from_json("value", PAYLOAD).alias("p")).select(
-        F.posexplode("p.resourceMetrics").alias("rp", "r")
+    resources = payloads.select(F.xxhash64("value").alias("payload"), F.from_json("value", PAYLOAD).alias("p")).select(
+        "payload", F.posexplode("p.resourceMetrics").alias("rp", "r")
     )
     scopes = resources.select(
-        "rp", attribute_map(F.col("r.resource.attributes")).alias("ra"), F.posexplode("r.scopeMetrics").alias("sp", "s")
+        "payload", "rp", attribute_map(F.col("r.resource.attributes")).alias("ra"), F.posexplode("r.scopeMetrics").alias("sp", "s")
     )
-    metrics = scopes.select("rp", "ra", "sp", F.posexplode("s.metrics").alias("mp", "m")).withColumn(
+    metrics = scopes.select("payload", "rp", "ra", "sp", F.posexplode("s.metrics").alias("mp", "m")).withColumn(
         "metric", F.try_element_at(columns, F.col("m.name"))
     )
     points = F.when(F.size("m.gauge.dataPoints") > 0, F.col("m.gauge.dataPoints")).otherwise(F.col("m.sum.dataPoints"))
     exploded = metrics.filter("metric is not null").select(
-        "rp", "ra", "sp", "mp", "metric", F.posexplode(points).alias("dp", "d")
+        "payload", "rp", "ra", "sp", "mp", "metric", F.posexplode(points).alias("dp", "d")
     )
     node = F.coalesce(
         first_non_empty(*[attribute("ra", n) for n in ("host.name", "k8s.node.name", "service.instance.id")]),
@@ -73,11 +73,9 @@ def point_samples(payloads: DataFrame) -> DataFrame:
         F.coalesce(first_non_empty(attribute("da", "gpu.id"), attribute("da", "gpu")), F.lit("0")).alias("gpu"),
         "metric",
         F.coalesce(F.col("d.asDouble").try_cast("double"), F.col("d.asInt").try_cast("double")).alias("value"),
-        F.struct("rp", "sp", "mp", "dp").alias("ord"),
+        F.struct("payload", "rp", "sp", "mp", "dp").alias("ord"),
     )
-    return named.filter(
-        F.col("value").isNotNull() & ~F.isnan("value") & F.col("gpu").try_cast("int").isNotNull()
-    ).withColumn("gpu_id", F.concat("node_id", F.lit("/gpu"), "gpu"))
+    return named.filter(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("gpu_id", F.concat("node_id", F.lit("/gpu"), "gpu"))
 
 
 def parse_otlp(payloads: DataFrame, ticks_per_hour: int = TICKS_PER_HOUR, origin: Column | None = None) -> DataFrame:

@@ -20,17 +20,17 @@ def test_listing(spark, tmp_path):
     text = """#Entity   GPUTL POWER GTEMP ECCAR NVLBE PCIRX
 
 GPU-Id header
-GPU 0       42   170    62     0    13    5
-gpu 1\t38  171.5  61   2  11
-GPU 2       38   N/A    61     0    11    0
-GPU 3       38   1    61     0.5    11    0
-SWITCH 3    38   1    61     0    11    0
-GPU 4 1 2
+GPU 0       91   655    80     4    27    8
+gpu 1\t12  208.25  47   9  33
+GPU 2       55   N/A    70     6    19    3
+GPU 3       74   502    66     1.5    40    2
+SWITCH 3    20   310    51     7    22    1
+GPU 4 6 9
 """
     rows = exporter.read_exporter(spark, write(tmp_path, "dmon.txt", text)).orderBy("gpu_id").collect()
     assert [r.gpu_id for r in rows] == ["node-unknown/gpu0", "node-unknown/gpu1"]
-    assert (rows[0].gpu_sm_util, rows[0].gpu_temp_c, rows[0].gpu_power_w) == (0.42, 62.0, 170.0)
-    assert (rows[0].pcie_aer_total, rows[1].pcie_aer_total, rows[0].tick, rows[0].rack_id) == (5, 0, 0, None)
+    assert (rows[0].gpu_sm_util, rows[0].gpu_temp_c, rows[0].gpu_power_w) == (0.91, 80.0, 655.0)
+    assert (rows[0].pcie_aer_total, rows[1].pcie_aer_total, rows[0].tick, rows[0].rack_id) == (8, 0, 0, None)
     assert [f.name for f in exporter.read_exporter(spark, write(tmp_path, "e.txt", "\n")).schema] == METRICS.names
 
 
