@@ -2,11 +2,15 @@
 
 * Texts with the same shingle set are one node, named by a digest of the set.
 * Shingles have one global order: first those that hold a rare word. Two sets as alike as the threshold asks share a
-  shingle among the first (1 - t) n + 1 of the larger and the first n (1 - t) / (1 + t) + 1 of the smaller one; only these
-  entries of the matrix are dealt to column blocks. Passages that many documents share have no rare word and come last.
-* A column block multiplies its columns: the rows of a column are candidates for each other where their sizes allow it.
-  To begin with, each row is paired with one row of its column only. Full overlap counts of these pairs settle most
-  components. What is left are pairs of rows of one column that lie in different components, and all of them are counted.
+  shingle among the first (1 - t) n + 1 of each; only these entries of the matrix are dealt to column blocks. Passages that
+  many documents share have no rare word and come last.
+* A column block multiplies its columns: the rows of a column are candidates for each other where their sizes, and what is
+  left of both behind the shared shingle, allow the overlap that the threshold asks for.
+* Each set has a bitmap of about its own size, the parity of its shingles per bit. Two bitmaps differ in no more
+  bits than the sets differ in shingles, so many candidates are discarded before their overlaps are counted.
+* To begin with, each row is paired with a few rows of its column only, others in each round. Full overlap counts of
+  these pairs settle most components. When a round links hardly any of its pairs, all pairs of rows of one column that
+  still lie in different components are tried.
 
 So no link between different components is lost, and a large group of near copies costs about one count per member.
 """
@@ -33,9 +37,12 @@ WORDS, PERCENT = 5, 75
 COUNTERS, FILTER_BITS = 1 << 18, 1 << 25
 BLOCK_ENTRIES = 1_000_000
 #: Bytes of text that are hashed at a time.
-SLICE = 3 << 20
-STAR_ROUNDS = 2
-ENTRY = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("size", "<u4")])
+SLICE = 2 << 20
+#: Rows of a column that the others meet in one round, and the share of linked pairs below which rounds end.
+HUBS, FRUITFUL = 8, 0.15
+#: Entries that a task packs at a time.
+PACKED_ENTRIES = 250_000
+ENTRY = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("size", "<u4"), ("place", "<u4")])
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -130,34 +137,53 @@ def node_of(shingles: np.ndarray) -> int:
     return struct.unpack("<q", hashlib.blake2b(shingles.tobytes(), digest_size=8).digest())[0]
 
 
+def signature_of(shingles: np.ndarray) -> bytes:
+    """Parity bits of the set: the next power of two of its size, 64 at least."""
+    width = 1 << max(6, (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(left: bytes, right: bytes) -> int:
+    """No more than the number of shingles that are in one set only; a longer bitmap is folded to the shorter one."""
+    x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _survey(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """Rows of documents (key, n_shingles, node) and, with a block number, rows of partial word counts."""
+    """Rows of documents (key, n_shingles, node, signature) and, with a block number, rows of partial word counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counters = Shingler(words), np.zeros(COUNTERS, np.int64)
-        schema = None
+        schema, names = None, [key, "n_shingles", "node", "signature", "block", "counts"]
         for batch in batches:
             n = len(batch)
             sizes, nodes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            signatures: list[bytes | None] = [None] * n
             for row, own, shingles, _ in shingler.column(batch.column(1)):
-                sizes[row], nodes[row] = len(shingles), node_of(shingles)
+                sizes[row], nodes[row], signatures[row] = len(shingles), node_of(shingles), signature_of(shingles)
                 np.add.at(counters, (own % np.uint64(COUNTERS)).astype(np.int64), 1)
-            out = [batch.column(0), pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            out = [batch.column(0), pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.array(signatures, pa.binary())]
+            out += [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
             schema = schema or [batch.schema.field(0).type]
-            yield pa.record_batch(out, names=[key, "n_shingles", "node", "block", "counts"])
+            yield pa.record_batch(out, names=names)
         if schema:
             blocks = counters.reshape(64, -1)
             yield pa.record_batch(
                 [
-                    pa.nulls(64, schema[0]), pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()),
+                    pa.nulls(64, schema[0]), pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()), pa.nulls(64, pa.binary()),
                     pa.array(np.arange(64, dtype=np.int32)), pa.array([b.astype("<i8").tobytes() for b in blocks], pa.binary()),
                 ],
-                names=[key, "n_shingles", "node", "block", "counts"],
+                names=names,
             )
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(
-        run, f"`{key}` {kind}, n_shingles long, node long, block int, counts binary"
+        run, f"`{key}` {kind}, n_shingles long, node long, signature binary, block int, counts binary"
     )
 
 
@@ -176,53 +202,51 @@ def _combined(rows: DataFrame, combine, dtype: str, pieces: int, width: int) ->
     return out.reshape(-1)
 
 
-def _prefix(sizes: np.ndarray | int, percent: int):
-    """Entries that a set of this size must look at, as the larger and as the smaller one of a pair."""
-    larger = sizes - -(-sizes * percent // 100) + 1
-    smaller = sizes - -(-sizes * 2 * percent // (100 + percent)) + 1
-    return larger, smaller
-
-
 def _entries(docs: DataFrame, text: str, words: int, percent: int, rarity: np.ndarray, blocks: int) -> DataFrame:
     """Packed matrix entries per column block; equal sets of one task are sent once.
 
-    ``size`` holds twice the set's size, plus one if the entry also counts for the set as the smaller one.
+    ``place`` is the entry's number in the set's order.
     """
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sent = Shingler(words), set()
         for batch in batches:
-            parts = []
+            parts, held = [], 0
             for _, _, shingles, order in shingler.column(batch.column(0), shared.value):
                 node = node_of(shingles)
                 if node in sent:
                     continue
                 sent.add(node)
                 n = len(shingles)
-                larger, smaller = _prefix(n, percent)
-                own = np.empty(larger, ENTRY)
-                own["shingle"], own["node"] = order[:larger], node
-                own["size"] = 2 * n + (np.arange(larger) < smaller)
+                prefix = n - -(-n * percent // 100) + 1
+                own = np.empty(prefix, ENTRY)
+                own["shingle"], own["node"], own["size"], own["place"] = order[:prefix], node, n, np.arange(prefix)
                 parts.append(own)
-            if not parts:
-                continue
-            rows = np.concatenate(parts)
-            block = (rows["shingle"] % np.uint64(blocks)).astype(np.int64)
-            by_block = np.argsort(block, kind="stable")
-            rows, block = rows[by_block], block[by_block]
-            present = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            ends = [*present[1:].tolist(), len(rows)]
-            yield pa.record_batch(
-                [pa.array(block[present].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(present.tolist(), ends, strict=True)], pa.binary())],
-                names=["block", "entries"],
-            )
+                held += prefix
+                if held >= PACKED_ENTRIES:
+                    yield pack(np.concatenate(parts))
+                    parts, held = [], 0
+            if parts:
+                yield pack(np.concatenate(parts))
+
+    def pack(rows: np.ndarray) -> pa.RecordBatch:
+        block = (rows["shingle"] % np.uint64(blocks)).astype(np.int64)
+        by_block = np.argsort(block, kind="stable")
+        rows, block = rows[by_block], block[by_block]
+        starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        ends = [*starts[1:].tolist(), len(rows)]
+        packed = [rows[a:b].tobytes() for a, b in zip(starts.tolist(), ends, strict=True)]
+        return pa.record_batch([pa.array(block[starts].astype(np.int32)), pa.array(packed, pa.binary())], names=["block", "entries"])
 
     return docs.select(F.col(text).alias("_text")).mapInArrow(run, "block int, entries binary")
 
 
 def _columns(entries: DataFrame) -> DataFrame:
-    """Columns with two or more different rows: (column, node, size); columns with the same rows are sent once per block."""
+    """Columns with two or more different rows: (column, node, size, place).
+
+    Columns with the same rows are one, which keeps the first place of each row: that is what allows the most overlap.
+    """
 
     def multiply(key: tuple, block: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(block.column("entries").to_pylist()), ENTRY)
@@ -235,26 +259,43 @@ def _columns(entries: DataFrame) -> DataFrame:
         rows = rows[fresh]
         first = np.flatnonzero(np.concatenate(([True], rows["shingle"][1:] != rows["shingle"][:-1]))) if len(rows) else np.zeros(0, np.int64)
         counts = np.diff(np.concatenate((first, [len(rows)])))
-        # Columns with the same rows and flags offer the same candidates.
-        name = np.add.reduceat(_mix(rows["node"].astype(np.uint64) ^ (rows["size"].astype(np.uint64) << np.uint64(40))), first) if len(first) else np.zeros(0, np.uint64)
-        _, one = np.unique(name, return_index=True)
-        kept = np.zeros(len(first), bool)
-        kept[one] = True
-        kept &= counts > 1
-        name = np.repeat(name.astype(np.int64), counts)
-        rows, name = rows[np.repeat(kept, counts)], name[np.repeat(kept, counts)]
-        return pa.table({"column": name, "node": rows["node"].copy(), "size": rows["size"].astype(np.int64)})
+        name = np.add.reduceat(_mix(rows["node"].astype(np.uint64)), first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+        name, rows = np.repeat(name, counts)[np.repeat(counts > 1, counts)], rows[np.repeat(counts > 1, counts)]
+        order = np.lexsort((rows["place"], rows["node"], name))
+        name, rows = name[order], rows[order]
+        one = np.ones(len(rows), bool)
+        one[1:] = (name[1:] != name[:-1]) | (rows["node"][1:] != rows["node"][:-1])
+        name, rows = name[one], rows[one]
+        return pa.table(
+            {"column": name, "node": rows["node"].copy(), "size": rows["size"].astype(np.int64), "place": rows["place"].astype(np.int64)}
+        )
 
     # A column block is of about BLOCK_ENTRIES entries.
-    return entries.groupBy("block").applyInArrow(multiply, "column long, node long, size long").dropDuplicates(["column", "node"])
+    blocks = entries.groupBy("block").applyInArrow(multiply, "column long, node long, size long, place long")
+    return blocks.groupBy("column", "node").agg(F.max("size").alias("size"), F.min("place").alias("place"))
+
+
+def _may_link(percent: int):
+    """What is left of either set from the shared shingle on reaches the overlap that the threshold asks for."""
+    asked = F.ceil((F.col("x.size") + F.col("y.size")) * percent / F.lit(100 + percent))
+    return (F.col("x.size") - F.col("x.place") >= asked) & (F.col("y.size") - F.col("y.place") >= asked)
+
 
+def _alike(pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose bitmaps do not rule the threshold out."""
 
-def _may_link(a: str, b: str, percent: int):
-    """Sizes within the threshold, and the smaller one's entry among its first."""
-    size_a, size_b = F.shiftright(a, 1), F.shiftright(b, 1)
-    flag_a, flag_b = F.col(a).bitwiseAND(F.lit(1)) == 1, F.col(b).bitwiseAND(F.lit(1)) == 1
-    fits = F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent
-    return fits & (((size_a <= size_b) & flag_a) | ((size_b <= size_a) & flag_b))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy()
+            differ = [least_difference(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            # overlap = (total - difference) / 2 and union = (total + difference) / 2
+            kept = 100 * (total - np.array(differ, np.int64)) >= percent * (total + np.array(differ, np.int64))
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    first = owners.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("left"))
+    second = owners.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("right"))
+    both = pairs.join(first, "a").join(second, "b")
+    return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), "left", "right").mapInArrow(compare, "a long, b long")
 
 
 def _wanted(docs: DataFrame, owners: DataFrame, pairs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -297,8 +338,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = np.zeros(len(batch), bool)
-            for i, (left, right) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
+            for i in range(len(batch)):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in (2, 3))
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
@@ -334,41 +375,43 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / BLOCK_ENTRIES) + 1)
     columns = materialise(_columns(_entries(docs, text, words, percent, rarity, blocks)), "columns")
 
-    owners = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.xxhash64(F.min(key)).alias("owner"))
-    links, component, tried = None, None, None
-    for number in range(STAR_ROUNDS + 1):
+    owners = survey.filter(F.col("node").isNotNull()).groupBy("node").agg(
+        F.xxhash64(F.min(key)).alias("owner"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature")
+    )
+    owners = materialise(owners, "owners")
+    links, component, tried, number, fruitful = None, None, None, 0, True
+    while True:
         if component is None:
             open_ = columns.withColumn("component", F.col("node"))
         else:
             named = columns.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
             several = named.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high"))
             open_ = named.join(several.filter("low < high").select("column"), "column", "left_semi")
-        if number < STAR_ROUNDS:
-            # One row per column and component meets one row of the whole column; another choice in each round.
-            chance = F.xxhash64("node", F.lit(number))
-            hub = open_.groupBy("column").agg(F.min_by(F.struct("node", "size", "component"), chance).alias("hub"))
-            pairs = open_.join(hub, "column").select(
-                F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("component").alias("component_x"),
-                F.col("hub.node").alias("y"), F.col("hub.size").alias("size_y"), F.col("hub.component").alias("component_y"),
-            )
+        rows_of = open_.select("column", F.struct("node", "size", "place", "component").alias("x"))
+        if fruitful:
+            chances = [F.min_by("x", F.xxhash64("x.node", F.lit(HUBS * number + i))) for i in range(HUBS)]
+            hubs = rows_of.groupBy("column").agg(F.array_distinct(F.array(*chances)).alias("hubs"))
+            pairs = rows_of.join(hubs, "column").select("x", F.explode("hubs").alias("y")).filter("x.component <> y.component")
         else:
-            left = open_.select("column", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("component").alias("component_x"))
-            right = open_.select("column", F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("component").alias("component_y"))
-            pairs = left.join(right, "column").filter("x < y")
-        pairs = pairs.filter(F.col("component_x") != F.col("component_y")).filter(_may_link("size_x", "size_y", percent))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            pairs = rows_of.join(rows_of.withColumnRenamed("x", "y"), "column").filter("x.node < y.node and x.component <> y.component")
+        pairs = pairs.filter(_may_link(percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, f"pairs-{number}")
-        if pairs.isEmpty():
-            if number < STAR_ROUNDS and number > 0:
-                continue
+        pairs = materialise(_alike(pairs, owners, percent), f"pairs-{number}")
+        count = pairs.count()
+        last, linked = not fruitful, 0
+        if count:
+            sets = _wanted(docs, owners, pairs, key, text, words)
+            found = materialise(_linked(pairs, sets, percent), f"links-{number}")
+            linked = found.count()
+            tried = pairs if tried is None else tried.unionByName(pairs)
+        if linked:
+            links = found if links is None else links.unionByName(found)
+            component = materialise(_components(links), f"components-{number}")
+        if last:
             break
-        sets = _wanted(docs, owners, pairs, key, text, words)
-        found = materialise(_linked(pairs, sets, percent), f"links-{number}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        component = materialise(_components(links), f"components-{number}")
+        number, fruitful = number + 1, linked > FRUITFUL * count
 
     if component is None:
         named = rows.withColumn("component", F.col("node"))
