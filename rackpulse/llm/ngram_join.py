@@ -281,6 +281,77 @@ def _may_link(percent: int):
     return (F.col("x.size") - F.col("x.place") >= asked) & (F.col("y.size") - F.col("y.place") >= asked)
 
 
+def _differences(signatures: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """:func:`least_difference` of many pairs of rows, by widths of the bitmaps."""
+    widths = np.array([len(s) for s in signatures], np.int64)
+    tables, place = {}, np.zeros(len(signatures), np.int64)
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        place[own] = np.arange(len(own))
+        tables[width] = np.frombuffer(b"".join(signatures[i] for i in own.tolist()), np.uint64).reshape(len(own), -1)
+    out = np.zeros(len(left), np.int64)
+    pairs = widths[left] * (1 << 32) + widths[right]
+    for pair in np.unique(pairs).tolist():
+        wide, other = divmod(pair, 1 << 32)
+        some = np.flatnonzero(pairs == pair)
+        for part in np.array_split(some, len(some) * max(wide, other) // (64 << 20) + 1):
+            x, y = tables[wide][place[left[part]]], tables[other][place[right[part]]]
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            out[part] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
+def _across(open_: DataFrame, owners: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """All pairs (a, b) of a column in different components that neither places nor bitmaps rule out, a block at a time.
+
+    The product of a block runs diagonal by diagonal, so a task holds its rows and the pairs that passed.
+    """
+
+    def multiply(key: tuple, block: pa.Table) -> pa.Table:
+        column, node, size, place, component = (block.column(c).to_numpy() for c in ("column", "node", "size", "place", "component"))
+        order = np.lexsort((node, column))
+        column, node, size, place, component = (v[order] for v in (column, node, size, place, component))
+        signatures = block.column("signature").take(pa.array(order)).to_pylist()
+        ends = np.searchsorted(column, column, side="right")
+        found, held = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+
+        def settle() -> None:
+            pairs = np.concatenate(held)
+            # The same two rows meet in many columns.
+            names = np.stack((node[pairs[:, 0]], node[pairs[:, 1]]), axis=1)
+            names, one = np.unique(names, axis=0, return_index=True)
+            a, b = pairs[one, 0], pairs[one, 1]
+            total, differ = size[a] + size[b], _differences(signatures, a, b)
+            kept = 100 * (total - differ) >= percent * (total + differ)
+            found.append(names[kept])
+            held[:] = [np.zeros((0, 2), np.int64)]
+
+        alive, step, waiting = np.arange(len(node)), 1, 0
+        while True:
+            alive = alive[alive + step < ends[alive]]
+            if not len(alive):
+                break
+            a, b = alive, alive + step
+            asked = -(-(size[a] + size[b]) * percent // (100 + percent))
+            some = (component[a] != component[b]) & (size[a] - place[a] >= asked) & (size[b] - place[b] >= asked)
+            held.append(np.stack((a[some], b[some]), axis=1))
+            waiting += int(some.sum())
+            if waiting > 500_000:
+                settle()
+                waiting = 0
+            step += 1
+        settle()
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    rows = open_.join(owners.select("node", "signature"), "node").withColumn("block", F.pmod("column", F.lit(blocks)))
+    columns = ["block", "column", "node", "size", "place", "component", "signature"]
+    return rows.select(*columns).groupBy("block").applyInArrow(multiply, "a long, b long").distinct()
+
+
 def _alike(pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose bitmaps do not rule the threshold out."""
 
@@ -387,18 +458,18 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             named = columns.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
             several = named.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high"))
             open_ = named.join(several.filter("low < high").select("column"), "column", "left_semi")
-        rows_of = open_.select("column", F.struct("node", "size", "place", "component").alias("x"))
         if fruitful:
+            rows_of = open_.select("column", F.struct("node", "size", "place", "component").alias("x"))
             chances = [F.min_by("x", F.xxhash64("x.node", F.lit(HUBS * number + i))) for i in range(HUBS)]
             hubs = rows_of.groupBy("column").agg(F.array_distinct(F.array(*chances)).alias("hubs"))
             pairs = rows_of.join(hubs, "column").select("x", F.explode("hubs").alias("y")).filter("x.component <> y.component")
+            pairs = pairs.filter(_may_link(percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+            pairs = _alike(pairs.distinct(), owners, percent)
         else:
-            pairs = rows_of.join(rows_of.withColumnRenamed("x", "y"), "column").filter("x.node < y.node and x.component <> y.component")
-        pairs = pairs.filter(_may_link(percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        pairs = pairs.distinct()
+            pairs = _across(open_, owners, percent, blocks)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(_alike(pairs, owners, percent), f"pairs-{number}")
+        pairs = materialise(pairs, f"pairs-{number}")
         count = pairs.count()
         last, linked = not fruitful, 0
         if count:
