@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rackpulse.llm import decontamination, ngram_join, packing_ga, pseudonyms, quality_gam
-from rackpulse.llm.queries import PSEUDONYM_KEY, QUALITY_AT_LEAST, SEQUENCE_LENGTH, not_held_out, table
+from rackpulse.llm.queries import PSEUDONYM_KEY, QUALITY_AT_LEAST, SEQUENCE_LENGTH, bound_batches, not_held_out, table
 from rackpulse.session import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,6 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
+    bound_batches(spark)
     return ngram_join.keep_one(docs.select(*COLUMNS))
 
 
@@ -41,11 +42,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms of the same format."""
+    bound_batches(spark)
     return _documents(pseudonyms.pseudonymise(docs.select(*COLUMNS), PSEUDONYM_KEY))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' token pieces into training sequences."""
+    bound_batches(spark)
     pieces = packing_ga.token_pieces(docs, SEQUENCE_LENGTH, end_id=1)
     return packing_ga.pack(pieces, SEQUENCE_LENGTH, ["doc_id", "piece"])
 
