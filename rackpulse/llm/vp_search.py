@@ -4,6 +4,10 @@ One extra coordinate, sqrt(longest norm² - norm²), makes all stored vectors eq
 largest inner product is the smallest Euclidean distance, and the triangle inequality holds. A tree node keeps a vantage
 point and the range of distances from it inside each half. A half is skipped when the least distance that the inequality
 allows, times ``factor``, exceeds the current k-th distance: factor one is exact search, a larger one skips more.
+
+Matrix products only preselect: whatever lies within their rounding error of the k-th score is scored again component by
+component, so that equal vectors have equal scores in every block. Squared distances are compared with a slack for rounding.
+Both margins are relative to the norms, hence the scale of the vectors does not matter.
 """
 
 from __future__ import annotations
@@ -20,8 +24,9 @@ from pyspark.sql import functions as F
 from rackpulse.session import materialise
 
 SHARD_ROWS, QUERY_BLOCK, LEAF = 8_192, 1_024, 256
-#: Scores of equal vectors agree to this much.
-TIE = 1e-10
+EPSILON = float(np.finfo(np.float64).eps)
+#: Room for products below the smallest normal number, where errors are no longer relative.
+TINY = float(np.finfo(np.float64).tiny)
 
 
 def usable(vector: str) -> Column:
@@ -36,16 +41,15 @@ class VantageTree:
     def __init__(self, ids: np.ndarray, points: np.ndarray, longest: float):
         order = np.argsort(ids, kind="stable")
         self.ids, self.points, self.longest = ids[order], points[order].astype(np.float64), longest
+        # The extra coordinate is computed once per point, so distances are those of fixed points and the inequality holds.
+        self.tails = np.sqrt(np.maximum(longest**2 - (self.points**2).sum(1), 0)) if len(ids) else np.zeros(0)
         self.nodes: list[tuple] = []
         if len(ids):
             self._split(0, len(ids))
 
-    def _squared(self, point: np.ndarray, start: int, end: int) -> np.ndarray:
-        """Squared distances, extra coordinate included, from one stored point."""
-        rows = self.points[start:end]
-        tail = np.sqrt(np.maximum(self.longest**2 - (rows**2).sum(1), 0))
-        own = np.sqrt(max(self.longest**2 - float((point**2).sum()), 0.0))
-        return ((rows - point) ** 2).sum(1) + (tail - own) ** 2
+    def _squared(self, place: int, start: int, end: int) -> np.ndarray:
+        """Squared distances, extra coordinate included, from the point at ``place``."""
+        return ((self.points[start:end] - self.points[place]) ** 2).sum(1) + (self.tails[start:end] - self.tails[place]) ** 2
 
     def _split(self, start: int, end: int) -> int:
         number = len(self.nodes)
@@ -53,13 +57,14 @@ class VantageTree:
         if end - start <= LEAF:
             return number
         # The point farthest from an arbitrary one lies at the rim, where distances spread most.
-        rim = start + int(np.argmax(self._squared(self.points[start], start, end)))
-        for store in (self.ids, self.points):
+        rim = start + int(np.argmax(self._squared(start, start, end)))
+        stores = (self.ids, self.points, self.tails)
+        for store in stores:
             store[[start, rim]] = store[[rim, start]]
-        distance = np.sqrt(self._squared(self.points[start], start + 1, end))
+        distance = np.sqrt(self._squared(start, start + 1, end))
         order = np.argsort(distance, kind="stable")
-        self.ids[start + 1 : end] = self.ids[start + 1 : end][order]
-        self.points[start + 1 : end] = self.points[start + 1 : end][order]
+        for store in stores:
+            store[start + 1 : end] = store[start + 1 : end][order]
         distance = distance[order]
         half = len(distance) // 2
         ranges = (distance[0], distance[half - 1], distance[half], distance[-1])
@@ -70,12 +75,20 @@ class VantageTree:
         return number
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the k nearest per query (-inf where fewer), and how many points were compared."""
+        """Ids and scores of the k nearest per query (-inf where fewer), and how many points were compared.
+
+        Scores are added up in the order of the components; equal ones go by the id.
+        """
         n = len(queries)
         queries = queries.astype(np.float64)
         best = np.full((n, k), -np.inf)
         best_ids = np.full((n, k), np.iinfo(np.int64).max)
-        reach = (queries**2).sum(1) + self.longest**2
+        own_squared = (queries**2).sum(1)
+        reach = own_squared + self.longest**2
+        # Bounds of the rounding errors: of a product, relative of a distance in the tree, of a squared distance to a query.
+        relative = (self.points.shape[-1] + 4) * EPSILON
+        margin = 2 * relative * np.sqrt(own_squared) * self.longest + self.points.shape[-1] * TINY
+        slack = 8 * relative * reach + self.points.shape[-1] * TINY
         compared = 0
 
         by_id = np.argsort(self.ids, kind="stable")
@@ -96,19 +109,24 @@ class VantageTree:
                 row_of[rows] = np.arange(len(rows))
                 at = row_of[own_query[inside]]
                 scores[at[at >= 0], own_place[inside][at >= 0] - start] = -np.inf
-            # Equal vectors may differ in the last bits, depending on the block's shape; such ties go by the id.
-            top = scores.max(axis=1)
-            better = np.flatnonzero((top >= best[rows, -1] - TIE) & (top > -np.inf))
+            better = np.flatnonzero((top := scores.max(axis=1)) >= best[rows, -1] - margin[rows])
+            better = better[top[better] > -np.inf]
             if len(better):
                 at, shown = rows[better], scores[better]
-                names = np.broadcast_to(self.ids[start:end], shown.shape)
+                limit = best[at, -1] - margin[at]
                 if shown.shape[1] > k:
-                    limit = -np.partition(-shown, k - 1, axis=1)[:, k - 1 : k]
-                    wide = int((shown >= limit - TIE).sum(axis=1).max())
-                    order = np.argpartition(-np.round(shown, 11), min(wide, shown.shape[1]) - 1, axis=1)[:, :wide]
-                    shown, names = np.take_along_axis(shown, order, 1), np.take_along_axis(names, order, 1)
-                merged = np.round(np.concatenate((best[at], shown), axis=1), 11)
-                names = np.concatenate((best_ids[at], names), axis=1)
+                    # k points score at least the k-th product less the margin; others that do are off by another margin.
+                    limit = np.maximum(limit, np.partition(shown, -k, axis=1)[:, -k] - 2 * margin[at])
+                row, place = np.nonzero((shown >= limit[:, None]) & (shown > -np.inf))
+                exact = np.zeros(len(row))
+                for d in range(queries.shape[1]):  # in the order of the components
+                    exact += queries[at[row], d] * self.points[start + place, d]
+                count = np.bincount(row, minlength=len(at))
+                column = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                merged = np.full((len(at), k + int(count.max())), -np.inf)
+                names = np.full(merged.shape, np.iinfo(np.int64).max)
+                merged[:, :k], names[:, :k] = best[at], best_ids[at]
+                merged[row, k + column], names[row, k + column] = exact, self.ids[start + place]
                 order = np.lexsort((names, -merged), axis=1)[:, :k]
                 best[at] = np.take_along_axis(merged, order, 1)
                 best_ids[at] = np.take_along_axis(names, order, 1)
@@ -123,16 +141,18 @@ class VantageTree:
                 return
             start, _, (inner_low, inner_high, outer_low, outer_high), inner, outer = node
             score = take(rows, start, start + 1)
-            distance = np.sqrt(np.maximum(reach[rows] - 2 * score, 0))
+            squared = reach[rows] - 2 * score
+            nearest, distance, farthest = (np.sqrt(np.maximum(squared + s, 0)) for s in (-slack[rows], 0.0, slack[rows]))
+            wide, tight = 1 + relative, 1 - relative
             halves = (
-                (inner, np.maximum(np.maximum(distance - inner_high, inner_low - distance), 0)),
-                (outer, np.maximum(np.maximum(distance - outer_high, outer_low - distance), 0)),
+                (inner, np.maximum(np.maximum(nearest - inner_high * wide, inner_low * tight - farthest), 0)),
+                (outer, np.maximum(np.maximum(nearest - outer_high * wide, outer_low * tight - farthest), 0)),
             )
 
             def near(least: np.ndarray, some: np.ndarray) -> np.ndarray:
                 kth = best[rows[some], -1]
-                radius = np.where(kth > -np.inf, np.sqrt(np.maximum(reach[rows[some]] - 2 * kth, 0)), np.inf)
-                return some[least[some] * factor <= radius * (1 + 1e-9) + 1e-9]
+                radius = np.sqrt(np.maximum(reach[rows[some]] - 2 * kth + slack[rows[some]], 0))
+                return some[~(least[some] * factor > radius * wide)]
 
             inward = distance <= (inner_high + outer_low) / 2
             for first, group in ((0, np.flatnonzero(inward)), (1, np.flatnonzero(~inward))):
@@ -196,19 +216,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, factor: float = 1.0, ke
                 vectors = np.frombuffer(r.raw, np.float64).reshape(len(ids), -1)
                 found, best, _ = tree.search(ids, vectors, k, factor)
                 query, place = np.nonzero(best > -np.inf)
-                names = found[query, place]
-                # A row of the tree per found id; repeated ids have a row each, taken in turn.
-                order = np.argsort(tree.ids, kind="stable")
-                first = np.searchsorted(tree.ids[order], names)
-                again = np.zeros(len(names), np.int64)
-                same = np.flatnonzero((names[1:] == names[:-1]) & (query[1:] == query[:-1])) + 1
-                for i in same.tolist():
-                    again[i] = again[i - 1] + 1
-                points = tree.points[order[first + again]]
-                score = np.zeros(len(names))
-                for d in range(vectors.shape[1]):  # in the order of the components
-                    score += vectors[query, d] * points[:, d]
-                yield pd.DataFrame({"query_id": ids[query], "vec_id": names, "score": score})
+                yield pd.DataFrame({"query_id": ids[query], "vec_id": found[query, place], "score": best[query, place]})
 
     near = pairs.select("ids", "raw", "tree").mapInPandas(run, "query_id long, vec_id long, score double")
     by_query = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -231,6 +231,30 @@ def test_tree_prunes_clustered_points():
     assert compared < 0.8 * 4000 * len(ids)
 
 
+def in_order(query: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Inner products, added up in the order of the components."""
+    total = np.zeros(len(points))
+    for d in range(len(query)):
+        total += query[d] * points[:, d]
+    return total
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e5])
+def test_vantage_search_of_many_equal_vectors_at_any_scale(scale):
+    random = np.random.default_rng(6)
+    points = random.normal(size=(3000, 24))
+    points[random.permutation(3000)[:1000]] = points[7]
+    points *= scale / np.linalg.norm(points, axis=1).max()
+    tree = vp_search.VantageTree(np.arange(3000), points, float(np.linalg.norm(points, axis=1).max()) * (1 + 1e-12))
+    ids = np.sort(np.append(np.flatnonzero((points == points[7]).all(axis=1))[::40], np.arange(0, 3000, 151)))
+    found, best, _ = tree.search(ids, points[ids], 20, 1.0)
+    for row, q in enumerate(ids):
+        scores = in_order(points[q], points)
+        order = [i for i in np.lexsort((np.arange(3000), -scores)) if i != q][:20]
+        assert found[row].tolist() == order
+        assert best[row].tolist() == scores[order].tolist()
+
+
 def test_pseudonyms_keep_format_and_reverse():
     there, back = pseudonyms.Pseudonymiser("k"), pseudonyms.Pseudonymiser("k", inverse=True)
     values = {
