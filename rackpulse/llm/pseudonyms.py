@@ -3,7 +3,9 @@
 Found values are validated first (check digits, calendar, octet ranges). The variable characters of a value become one
 number, a keyed Feistel network permutes the numbers below the size of the format, and the result is written back in the
 same shape. Equal values get equal pseudonyms in every document under one key, different values different ones, and the
-key reverses them.
+key reverses them. A card or IBAN may be followed by a blank and more digits or capitals: a card ends at the first group
+boundary where it is valid, an IBAN where its country's length ends. Only the value's own characters decide, so the
+pseudonym ends at the same place.
 
 =============  ================================================  ==============================================
 kind           found by                                          kept as it is
@@ -50,7 +52,7 @@ PATTERNS = {
     r"|(?<![A-Za-z0-9])(?=[a-f]*[0-9][0-9a-f]*)[0-9a-f]{32,128}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
-    "date": r"(?<![\w./-])(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?![\w/-]|\.[0-9])",
+    "date": r"(?<![\w./-])(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?!(?!T[0-9])[\w/-]|\.[0-9])",
     "social": r"(?<![\w-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9]{1,5}(?:[ .-]?[0-9]{1,5}){1,5}"
     r"|\([0-9]{2,5}\)[ .-]?[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,3}"
@@ -116,12 +118,37 @@ def _spread(template: str, digits: str) -> str:
     return "".join(next(source) if c in DIGITS else c for c in template)
 
 
+def _group_starts(value: str) -> list[str]:
+    """The starts of ``value`` that end before a blank, shortest first, and all of it."""
+    return [value[: m.start()] for m in re.finditer(" |$", value)]
+
+
+def _card_starts(value: str) -> list[str]:
+    """The starts that may be a card; behind a short first group, as of a table row's number, only all of ``value`` is."""
+    return _group_starts(value) if re.match("[0-9]{4}", value) else [value]
+
+
+def _is_card(value: str) -> bool:
+    digits = [c for c in value if c in DIGITS]
+    return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn_digit("".join(digits[:-1])) == digits[-1]
+
+
+def _iban_start(value: str) -> str:
+    """The start of ``value`` that has the length of its country, if a group ends there; else all of it."""
+    length = IBAN_LENGTH.get(value[:2], 0)
+    return next((start for start in _group_starts(value) if len(start) - start.count(" ") == length), value)
+
+
 def _card(value: str, permuter: Permuter, inverse: bool) -> str | None:
     digits = "".join(c for c in value if c in DIGITS)
-    if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    if not _is_card(value) or any(map(_is_card, _card_starts(value)[:-1])):
         return None
-    body = _permute_digits(digits[:-1], permuter, "card", inverse)
-    return _spread(value, body + luhn_digit(body))
+    while True:  # walk on until no shorter start is a card by chance
+        body = _permute_digits(digits[:-1], permuter, "card", inverse)
+        digits = body + luhn_digit(body)
+        new = _spread(value, digits)
+        if _is_card(new) and not any(map(_is_card, _card_starts(new)[:-1])):
+            return new
 
 
 def _permute_classes(text: str, permuter: Permuter, tweak: str, inverse: bool, hexadecimal: bool = False) -> str:
@@ -229,6 +256,8 @@ def _key(value: str, permuter: Permuter, inverse: bool) -> str:
     return prefix + _permute_classes(body, permuter, f"key{prefix}", inverse, re.fullmatch("[0-9a-f]+", body) is not None)
 
 
+#: Starts of a match that may be the value, in the order in which they are tried.
+STARTS: dict[str, Callable] = {"card": _card_starts, "iban": lambda value: [_iban_start(value)]}
 RULES: dict[str, Callable] = {
     "card": _card, "iban": _iban, "ip": _ip, "date": _date, "social": _social, "phone": _phone, "email": _email, "key": _key,
 }
@@ -247,9 +276,10 @@ class Pseudonymiser:
             return None
         for kind, pattern in SINGLE.items():
             if found := pattern.match(text, start):
-                new = self.value(kind, found[0])
-                if new is not None:
-                    return kind, found[0], new
+                for value in STARTS[kind](found[0]) if kind in STARTS else (found[0],):
+                    new = self.value(kind, value)
+                    if new is not None:
+                        return kind, value, new
         return None
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
