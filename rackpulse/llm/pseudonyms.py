@@ -17,7 +17,9 @@ social         3-2-4 digits outside the unassigned ranges        separators; the
 ip             four octets up to 255                             dots; octets stay valid
 date           day, month and year in the calendar, 1900 to 2099 order, separators, zero padding
 email          address with a dotted host                        length and character classes of the part before the @, the host
-key            access keys, hexadecimal secrets, bearer tokens   prefix, length and character classes
+key            access keys, hexadecimal secrets, assigned ones,  prefix, length and character classes
+               bearer tokens (with a digit or 20 characters, or
+               after "Authorization:"); of any length
 =============  ================================================  ==============================================
 """
 
@@ -35,21 +37,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+#: Characters that are permuted as one number: the halves of 64 letters or digits fit into one hash of the network.
+BLOCK = 64
 DIGITS = "0123456789"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: IBAN length by country (fixed values of the published registry, the most used countries).
+#: IBAN length by country (fixed values of the published registry).
 IBAN_LENGTH = {
-    "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27,
-    "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29,
+    "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19,
+    "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29,
+    "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24,
+    "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+    "YE": 30,
 }
 
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9])(?:sk|pk|ghp|gho|xox[abp])[_-][A-Za-z0-9_-]{16,128}"
-    r"|(?i:(?<=password[=:])|(?<=passwd[=:])|(?<=secret[=:])|(?<=token[=:])|(?<=api_key[=:])|(?<=apikey[=:]))[^\s\"',;]{6,128}"
-    r"|(?<![A-Za-z0-9])(?=[a-f]*[0-9][0-9a-f]*)[0-9a-f]{32,128}(?![A-Za-z0-9])",
+    r"|(?<![A-Za-z0-9])(?:sk|pk|ghp|gho|xox[abp])[_-][A-Za-z0-9_-]{16,}"
+    r"|(?i:(?<=password[=:])|(?<=passwd[=:])|(?<=secret[=:])|(?<=token[=:])|(?<=api_key[=:])|(?<=apikey[=:]))[^\s\"',;]{6,}"
+    r"|(?i:(?<=authorization: bearer )|(?<=authorization:bearer ))[\w.~+/-]+=*"
+    r"|(?i:(?<=bearer ))(?:(?=[A-Za-z_.~+/-]*[0-9])[\w.~+/-]{6,}|[\w.~+/-]{20,})=*"
+    r"|(?<![A-Za-z0-9])(?=[a-f]*[0-9][0-9a-f]*)[0-9a-f]{32,}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
     "date": r"(?<![\w./-])(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?!(?!T[0-9])[\w/-]|\.[0-9])",
@@ -152,7 +165,10 @@ def _card(value: str, permuter: Permuter, inverse: bool) -> str | None:
 
 
 def _permute_classes(text: str, permuter: Permuter, tweak: str, inverse: bool, hexadecimal: bool = False) -> str:
-    """Permute letters and digits inside their classes; other characters stay."""
+    """Permute letters and digits inside their classes, in blocks of BLOCK characters; other characters stay."""
+    if len(text) > BLOCK:
+        blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
+        return "".join(_permute_classes(b, permuter, f"{tweak}#{i}", inverse, hexadecimal) for i, b in enumerate(blocks))
     classes = (DIGITS, "abcdef", "ABCDEF") if hexadecimal else (DIGITS, LOWER, UPPER)
     found = [(c, next((k for k in classes if c in k), "")) for c in text]
     number, size = 0, 1
@@ -292,7 +308,9 @@ class Pseudonymiser:
         while hint := HINT.search(text, at):
             place = hint.start()
             low = max(at, text.rfind(" ", at, place) + 1, text.rfind("\n", at, place) + 1, place - LONGEST_START)
-            for start in range(low, place + 1 + (hint[0] in "=:")):
+            letters = at + len(text[at:place].rstrip("abcdef"))  # of a hexadecimal secret before its first digit
+            starts = range(low, place + 1 + (hint[0] in "=:"))
+            for start in starts if letters >= low else (letters, *starts):
                 if found := self._at(text, start):
                     kind, value, new = found
                     kept = text[done:start]
@@ -307,10 +325,10 @@ class Pseudonymiser:
         return "".join(out), spans
 
 
-#: A value begins at most this many characters before its first digit, at-sign or key prefix.
+#: A value begins at most this many characters before its first digit, at-sign or key prefix, but for hexadecimal letters.
 LONGEST_START = 130
 SINGLE = {kind: re.compile(pattern, re.ASCII) for kind, pattern in PATTERNS.items()}
-HINT = re.compile("[0-9@=:]|A[KS]IA")
+HINT = re.compile(r"[0-9@=:]|A[KS]IA|(?<![A-Za-z0-9])(?:sk|pk|ghp|gho|xox[abp])[_-]|(?i:(?<=bearer ))[\w.~+/-]", re.ASCII)
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 

@@ -304,6 +304,32 @@ def test_pseudonyms_of_values_before_numbers_and_capitals():
     assert there.replace("2024-03-05Tue")[0] == "2024-03-05Tue"
 
 
+def test_pseudonyms_of_long_and_rare_secrets():
+    there, back = pseudonyms.Pseudonymiser("k"), pseudonyms.Pseudonymiser("k", inverse=True)
+    random = np.random.default_rng(3)
+
+    def drawn(letters: str, n: int) -> str:
+        return "".join(random.choice(list(letters), n))
+
+    solid = pseudonyms.LOWER + pseudonyms.UPPER + pseudonyms.DIGITS
+    hexadecimal = "abcdef0123456789"
+    cases = [("token=", drawn(solid, 300)), ("password=", drawn(solid, 5000)), ("", "sk-" + drawn(solid, 400)), ("", drawn(hexadecimal, 513))]
+    cases += [("", "abcdef" * 40 + "7" + "c" * 30), ("", "sk-" + drawn(pseudonyms.LOWER, 40)), ("x ", "ghp_" + drawn(pseudonyms.UPPER, 36))]
+    cases += [("Bearer ", "x7f.yz"), ("bearer ", drawn(pseudonyms.LOWER, 30)), ("Authorization: Bearer ", "xyz")]
+    cases += [("", i) for i in ("SK3112000000198742637541", "HR1210010051863000160", "BG80BNBG96611020345678", "TR330006100519786457841326", "LT121000011101001000")]
+    for before, value in cases:
+        new, spans = there.replace(f"see {before}{value} and")
+        start = 4 + len(before)
+        assert [s[1:] for s in spans] == [(start, start + len(value))], value
+        changed = new[start : start + len(value)]
+        kept = re.match("(?:sk-|ghp_|[A-Z]{2}(?=[0-9]{2}[0-9A-Z]+$))?", value)[0]
+        # All of the value is permuted, not only its start or end.
+        for i in range(len(kept), len(value) - 15, 16):
+            assert changed[i : i + 16] != value[i : i + 16] or set(value[i : i + 16]) <= set(".~")
+        assert changed != value and back.replace(new)[0] == f"see {before}{value} and"
+    assert there.replace("the bearer bonds and bearer certificates")[1] == []
+
+
 def test_pseudonymise_table(docs, spark, empty):
     table = spark.createDataFrame([(1, "mail a.b@x.example.com", 5), (2, None, 6), (3, "", 7)], "doc_id long, text string, pii_spans int")
     rows = {r.doc_id: r for r in pseudonyms.pseudonymise(table, "k").collect()}
