@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rackpulse.llm.labelled import labelled_texts
+
 #: Most labelled rows of each class that a fit uses, chosen by a hash of their id.
 FIT_ROWS_PER_CLASS = 15_000
 BINS, PAIR_BINS, LEAVES, PAIRS = 48, 12, 4, 8
@@ -238,25 +240,19 @@ def fit(rows: np.ndarray, labels: np.ndarray, seed: int = 7) -> GamModel:
 def fit_on(docs: DataFrame, labels: DataFrame, label: str, usable: Column, key: str = "doc_id", text: str = "text") -> GamModel:
     """Fit on the labelled rows for which ``usable`` holds, at most FIT_ROWS_PER_CLASS of each class.
 
-    Rows with a null key or label are left out. The rows with the smallest hashes are taken, so a fit is repeatable. The
+    Rows with a null key or label are left out, and equal texts of one key are one row. The rows with the smallest hashes are taken, so a fit is repeatable. The
     classes' shares among all usable labels set the intercept.
     """
     known = labels.filter(usable & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("_label"))
-    chosen = None
-    for value in (0, 1):
-        rows = known.filter(F.col("_label") == value).orderBy(F.xxhash64(key), key).limit(FIT_ROWS_PER_CLASS)
-        chosen = rows if chosen is None else chosen.unionByName(rows)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features_of(t) for t in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=[key, "label", "features"])
 
-    # Bounded by 2 * FIT_ROWS_PER_CLASS rows of two numbers, hence broadcast.
-    own = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key).select(key, "_label", "_text")
+    own = labelled_texts(docs, known, F.lit(True), FIT_ROWS_PER_CLASS, key, text).select(key, "_label", "_text")
     kind = docs.schema[key].dataType.simpleString()
     table = own.mapInArrow(run, f"`{key}` {kind}, label int, features array<double>").toPandas()
-    table = table.assign(order=[tuple(f) for f in table["features"]]).sort_values([key, "order"], kind="stable")
+    table = table.assign(order=[tuple(f) for f in table["features"]]).sort_values([key, "order", "label"], kind="stable")
     rows = np.array(table["features"].tolist()).reshape(len(table), len(FEATURES))
     model = fit(rows, table["label"].to_numpy().astype(float))
     sizes = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rackpulse.llm.labelled import labelled_texts
 from rackpulse.llm.wordpiece_ids import LOWER, flat_bytes, slices
 
 DECAY, SPAN = 0.6, 8
@@ -319,16 +320,12 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> ToxicityModel:
 def fit_on(docs: DataFrame, labels: DataFrame, label: str, usable: Column, key: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Fit on labelled rows for which ``usable`` holds: FIT_ROWS_PER_CLASS of each class at most, smallest hashes first.
 
-    Rows with a null key, label or text are left out. The curve is moved back to the classes' shares among all usable labels.
+    Rows with a null key, label or text are left out, equal texts of one key are one row, and texts over FIT_CHARS take no
+    part. The curve is moved back to the classes' shares among all usable labels.
     """
     known = labels.filter(usable & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("_label"))
-    chosen = None
-    for value in (0, 1):
-        rows = known.filter(F.col("_label") == value).orderBy(F.xxhash64(key), key).limit(FIT_ROWS_PER_CLASS)
-        chosen = rows if chosen is None else chosen.unionByName(rows)
-    short = docs.select(key, F.col(text).alias("_text")).filter(F.length("_text") <= FIT_CHARS)
-    # At most 2 * FIT_ROWS_PER_CLASS rows of two numbers are broadcast; their texts are bounded too.
-    table = short.join(F.broadcast(chosen), key).toPandas().sort_values([key, "_text"], kind="stable")
+    short = F.length(text) <= FIT_CHARS
+    table = labelled_texts(docs, known, short, FIT_ROWS_PER_CLASS, key, text).toPandas().sort_values([key, "_text", "_label"], kind="stable")
     return fit(table["_text"].tolist(), table["_label"].to_numpy())
 
 

@@ -394,3 +394,28 @@ def test_toxicity_model_tolerates_gaps(spark, empty):
     assert (marks[:3] >= 0.5).all() and (marks[3:] < 0.5).all()
     assert toxicity.score_documents(empty, model).count() == 0
     assert toxicity.fit([], np.zeros(0)).probability(np.zeros(1))[0] == 0.5
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_gam])
+def test_fit_rows_are_bounded_when_a_labelled_id_is_repeated(module, spark, monkeypatch):
+    rows = [(i, f"plain text of number {i} with some words", i % 2) for i in range(40)]
+    rows += [(7, rows[7][1], 1)] * 200 + [(9, f"text {i} of the repeated number", 1) for i in range(60)]
+    table = spark.createDataFrame([*rows, (None, "no id", 1), (41, None, 0)], "doc_id long, text string, bad int")
+    labels = table.select("doc_id", "bad").unionByName(spark.createDataFrame([(42, 1), (43, 2)], "doc_id long, bad int"))
+    seen = {}
+    fit = module.fit
+
+    def spy(data, wanted, *rest):
+        seen["rows"], seen["labels"] = [str(d) for d in data], list(wanted)
+        return fit(data, wanted, *rest)
+
+    monkeypatch.setattr(module, "fit", spy)
+    module.fit_on(table, labels, "bad", F.lit(True))
+    # 40 texts and 60 more of id 9; the quality model also takes the null text.
+    assert len(seen["rows"]) == 100 + (module is quality_gam)
+    monkeypatch.setattr(module, "FIT_ROWS_PER_CLASS", 15)
+    module.fit_on(table, labels, "bad", F.lit(True))
+    assert [seen["labels"].count(v) for v in (0, 1)] == [15, 15]
+    first = list(seen["rows"])
+    module.fit_on(table.orderBy(F.desc("text")).repartition(3), labels, "bad", F.lit(True))
+    assert seen["rows"] == first
