@@ -326,7 +326,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str, usable: Column, key:
     known = labels.filter(usable & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("_label"))
     short = F.length(text) <= FIT_CHARS
     table = labelled_texts(docs, known, short, FIT_ROWS_PER_CLASS, key, text).toPandas().sort_values([key, "_text", "_label"], kind="stable")
-    return fit(table["_text"].tolist(), table["_label"].to_numpy())
+    model = fit(table["_text"].tolist(), table["_label"].to_numpy())
+    sizes = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    if min(sizes.get(0, 0), sizes.get(1, 0)) > 0 and len(table):
+        used = table["_label"].value_counts()
+        model.shift += float(np.log(sizes[1] / used.get(1, 1)) - np.log(sizes[0] / used.get(0, 1)))
+    return model
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:

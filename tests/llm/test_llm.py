@@ -419,3 +419,20 @@ def test_fit_rows_are_bounded_when_a_labelled_id_is_repeated(module, spark, monk
     first = list(seen["rows"])
     module.fit_on(table.orderBy(F.desc("text")).repartition(3), labels, "bad", F.lit(True))
     assert seen["rows"] == first
+
+
+def test_toxicity_curve_has_the_shares_of_all_usable_labels(spark, monkeypatch):
+    table = spark.createDataFrame([(i, f"vile grubnak filth {i}" if i % 9 == 0 else f"a calm sentence {i}", int(i % 9 == 0)) for i in range(180)], "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "FIT_ROWS_PER_CLASS", 20)
+    shifts = []
+    fit = toxicity.fit
+
+    def spy(texts, labels):
+        model = fit(texts, labels)
+        shifts.append(model.shift)
+        return model
+
+    monkeypatch.setattr(toxicity, "fit", spy)
+    model = toxicity.fit_on(table, table.select("doc_id", "toxic"), "toxic", F.lit(True))
+    # All 20 toxic labels are used and 20 of the 160 clean ones.
+    assert model.shift - shifts[0] == pytest.approx(np.log(20 / 20) - np.log(160 / 20))
