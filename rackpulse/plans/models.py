@@ -22,8 +22,6 @@ from rackpulse.session import materialise, work_path
 from rackpulse.sources import registry, tables
 
 FEATURES = list(V1_FEATURES)
-# The published 200 rounds are the library default; the registered queries keep the fit short.
-QUICK = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1}
 COX_FEATURES = ["risk", "l_discount", "l_tax"]
 
 
@@ -41,16 +39,16 @@ def model_split_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 def _model(dataset: DataFrame) -> risk.RiskModel:
     train, _ = time_based_split(dataset)
-    return risk.fit_calibrated(train, FEATURES, risk.boosted_trees(**QUICK))
+    return risk.fit_calibrated(train, FEATURES, risk.boosted_trees())
 
 
 def risk_gbt(spark: SparkSession, sf: str) -> DataFrame:
     train, test = time_based_split(stored_v1(spark, sf))
-    return risk.fit(train, FEATURES, risk.boosted_trees(**QUICK)).raw(test).select("node_id", "window_end_tick", LABEL, "raw_score")
+    return risk.fit(train, FEATURES, risk.boosted_trees()).raw(test).select("node_id", "window_end_tick", LABEL, "raw_score")
 
 
 def risk_calibrated(spark: SparkSession, sf: str) -> DataFrame:
-    scored = risk.cross_validate(stored_v1(spark, sf), FEATURES, 3, risk.boosted_trees(**QUICK))
+    scored = risk.cross_validate(stored_v1(spark, sf), FEATURES, estimator=risk.boosted_trees())
     return risk.E.fold_summary(risk.fold_metrics(scored))
 
 
@@ -71,12 +69,12 @@ def global_attribution(spark: SparkSession, sf: str) -> DataFrame:
 
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     dataset = stored_v1(spark, sf)
-    return risk.permutation_importance(_model(dataset), time_based_split(dataset)[1], repeats=1)
+    return risk.permutation_importance(_model(dataset), time_based_split(dataset)[1])
 
 
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    estimators = {"boosted_trees": risk.boosted_trees(**QUICK), "logistic": risk.logistic(maxIter=20)}
-    return risk.compare_models(stored_v1(spark, sf), FEATURES, estimators, n_splits=2)
+    estimators = {"boosted_trees": risk.boosted_trees(), "logistic": risk.logistic()}
+    return risk.compare_models(stored_v1(spark, sf), FEATURES, estimators)
 
 
 def batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,7 +82,7 @@ def batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
     dataset = stored_v1(spark, sf)
     latest = tables.latest_window(dataset)
     failure = _model(dataset).score(latest, "failure_risk_24h").select("node_id", "failure_risk_24h")
-    detector = anomaly.train_anomaly_detector(dataset, FEATURES, trees=50)
+    detector = anomaly.train_anomaly_detector(dataset, FEATURES)
     odd = anomaly.anomaly_scores(detector, latest.select("node_id", *FEATURES)).select("node_id", "anomaly_score")
     return failure.join(odd, "node_id")
 
@@ -100,7 +98,7 @@ def anomaly_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def anomaly_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     dataset = stored_v1(spark, sf)
-    return anomaly.evaluate_anomaly(anomaly.train_anomaly_detector(dataset, FEATURES, trees=50), dataset)
+    return anomaly.evaluate_anomaly(anomaly.train_anomaly_detector(dataset, FEATURES), dataset)
 
 
 def score_normalisation(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,7 +146,7 @@ def survival_dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def survival_training(spark: SparkSession, sf: str) -> DataFrame:
-    model = survival.train_survival(stored_v1(spark, sf), ["sev_warn", "sev_critical", "util_mean", "zone_events_in_window"])
+    model = survival.train_survival(stored_v1(spark, sf), FEATURES)
     return spark.createDataFrame([(k, float(v) if v is not None else None) for k, v in model.metrics.items()],
                                  "metric string, value double")
 

@@ -165,3 +165,23 @@ def test_observed_durations(spark):
     observed = survival.survival_dataset(df, [], observed_time=True).orderBy("node_id").collect()
     assert {r.duration for r in published} == {24.0}
     assert [(r.duration, r.event) for r in observed] == [(2.0, 1), (24.0, 0)]
+
+
+def test_registered_model_queries_use_the_operators_defaults(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from rackpulse.plans import models
+
+    parts = {name: MagicMock(name=name) for name in ("risk", "anomaly", "survival", "tables", "registry", "stored_v1", "work_path")}
+    for name, part in parts.items():
+        monkeypatch.setattr(models, name, part)
+    monkeypatch.setattr(models, "time_based_split", lambda rows: (rows, rows))
+    for query in ("risk_gbt", "risk_calibrated", "permutation_importance", "model_comparison", "batch_scoring", "anomaly_evaluation", "survival_training"):
+        getattr(models, query)(MagicMock(), "sf")
+    given = parts["risk"]
+    assert {(c.args, tuple(c.kwargs)) for c in (*given.boosted_trees.call_args_list, *given.logistic.call_args_list)} == {((), ())}
+    assert given.cross_validate.call_args.args[2:] == () and set(given.cross_validate.call_args.kwargs) <= {"estimator"}
+    assert not given.permutation_importance.call_args.kwargs and len(given.permutation_importance.call_args.args) == 2
+    assert not given.compare_models.call_args.kwargs and len(given.compare_models.call_args.args) == 3
+    assert all(not c.kwargs and len(c.args) == 2 for c in parts["anomaly"].train_anomaly_detector.call_args_list)
+    assert list(parts["survival"].train_survival.call_args.args[1]) == models.FEATURES
