@@ -69,5 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SQL has no counterpart of the trained classifier; tests compare with brute force.
+#: SQL has no counterpart of the trained classifier; the tests cover the operators, not this chain.
 ORACLE_SQL = None
