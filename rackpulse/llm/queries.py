@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from rackpulse.llm import (
     decontamination,
+    merkle,
     ngram_join,
     packing_ga,
     perspectives,
     pseudonyms,
     quality_gam,
+    spelling,
     token_counts,
     token_orc,
     toxicity,
+    url_filters,
     vp_search,
 )
 from rackpulse.session import materialise, work_path
@@ -112,6 +115,31 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+#: Host, path and verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op11_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, more).otherwise(F.col("n_chars").cast("string"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), {"n_chars": changed})
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -123,6 +151,17 @@ QUERIES = {
     "op8_chat_perspectives": op8_chat_perspectives,
     "op9_decontamination": op9_decontamination,
     "op10_pseudonyms": op10_pseudonyms,
+    "op11_redirect_equivalence": op11_redirect_equivalence,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLES = {"op2_ngram_jaccard": ngram_join.ORACLE, "op4_vantage_search": vp_search.ORACLE, "op8_chat_perspectives": perspectives.ORACLE, "op9_decontamination": decontamination.ORACLE}
+ORACLES = {
+    "op2_ngram_jaccard": ngram_join.ORACLE,
+    "op4_vantage_search": vp_search.ORACLE,
+    "op8_chat_perspectives": perspectives.ORACLE,
+    "op9_decontamination": decontamination.ORACLE,
+    "op11_redirect_equivalence": url_filters.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
+}
