@@ -4,10 +4,11 @@
   partitions' running totals, so no task holds a group.
 * The trees are built bottom-up, ``LEVELS`` levels per round: a run of 2**LEVELS neighbours is one Spark group. Every node
   that starts such a run is stored as a row with a link to its parent row, and the siblings on the way there.
-* A recursive query climbs from all leaves at once: each step joins the rows to their stored nodes, folds the hash through
-  the siblings, appends these to the proof and goes on at the parent, until there is none.
-* Many leaves meet at the upper nodes. A node is stored once for each 2**LEVELS leaves below it and a leaf joins the copy
-  of its own number, so no key of the join gets more rows than that, and each round's copies are a fraction of the leaves.
+* A recursive query climbs from all leaves at once: each step joins the climbers to their stored nodes, adds the siblings on
+  the way, folds the hash through them and goes on at the parent, until there is none. The siblings of the steps are put in
+  a row at the end, so that a step moves its own ones only.
+* Many leaves meet at the upper nodes. A node is stored once for each ``SHARE`` leaves below it and a leaf joins the copy
+  of its own number, so no key of the join gets more rows than that, and the copies are a small fraction of the leaves.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from rackpulse.llm.scope import derived_session
 from rackpulse.session import materialise, work_path
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-#: Levels of a tree that one stored row spans.
-LEVELS = 8
+#: Levels of a tree that one stored row spans, and leaves that climb through one copy of it.
+LEVELS, SHARE = 12, 256
 #: A proof holds, per level, a byte and the sibling's digest. The byte tells where the sibling stands.
 STEP, NONE, LEFT, RIGHT = 33, b"\x00", b"\x01", b"\x02"
 #: Number of the tree over the groups' roots.
@@ -97,11 +98,11 @@ def _numbered(leaves: DataFrame) -> DataFrame:
     )
 
 
-_HOP = "tree long, idx long, n long, weight long, path binary, reaches binary, run_weight long"
+_HOP = "tree long, idx long, n long, weight long, start binary, path binary, reaches binary, run_weight long"
 
 
 def _hop(nodes: DataFrame, levels: int) -> DataFrame:
-    """One round: rows (tree, idx, n, digest, weight) to their paths, their run's root and its weight."""
+    """One round: rows (tree, idx, n, digest, weight, start) to their paths, their run's root and its weight."""
 
     def climb(key: tuple, run: pa.Table) -> pa.Table:
         run = run.sort_by("idx")
@@ -110,7 +111,7 @@ def _hop(nodes: DataFrame, levels: int) -> DataFrame:
         weight = sum(run.column("weight").to_pylist())
         return pa.table(
             {
-                "tree": run.column("tree"), "idx": run.column("idx"), "n": run.column("n"), "weight": run.column("weight"),
+                **{name: run.column(name) for name in ("tree", "idx", "n", "weight", "start")},
                 "path": pa.array(paths, pa.binary()), "reaches": pa.array([root] * len(run), pa.binary()),
                 "run_weight": pa.array([weight] * len(run), pa.int64()),
             }
@@ -125,71 +126,70 @@ def _roots(built: DataFrame, levels: int) -> DataFrame:
     return built.filter(F.col("idx") % (1 << levels) == 0).select(
         "tree", F.shiftright("idx", levels).alias("idx"),
         F.ceil(F.col("n") / F.lit(1 << levels)).cast("long").alias("n"),
-        F.col("reaches").alias("digest"), F.col("run_weight").alias("weight"),
+        F.col("reaches").alias("digest"), F.col("run_weight").alias("weight"), F.lit(None).cast("binary").alias("start"),
     )
 
 
-def _copies(weight: Column, levels: int) -> Column:
-    return F.ceil(weight / F.lit(1 << levels)).cast("long")
+def _copies(weight: Column) -> Column:
+    return F.ceil(weight / F.lit(SHARE)).cast("long")
 
 
-def _node_rows(built: DataFrame, hop: int, levels: int) -> DataFrame:
-    """Stored nodes of a round, linked to the parents' rows; the last run of a group's tree leads to its leaf in the top one."""
+def _linked(built: DataFrame, hop: int, levels: int) -> DataFrame:
+    """Nodes of a round with links to their parents' rows; the last run of a group's tree leads to its leaf in the top one."""
     inside = F.col("n") > (1 << levels)
     top = F.col("tree") == TOP
     return built.select(
-        "tree", F.lit(hop).alias("hop"), "idx",
-        F.explode(F.sequence(F.lit(0).cast("long"), _copies(F.col("weight"), levels) - 1)).alias("copy"),
-        "path", "reaches", _copies(F.col("run_weight"), levels).alias("up_copies"),
+        "tree", F.lit(hop).alias("hop"), "idx", "weight", "start", "path", _copies(F.col("run_weight")).alias("up_copies"),
         F.when(inside, F.col("tree")).when(~top, F.lit(TOP)).alias("up_tree"),
         F.when(inside, F.lit(hop + 1)).when(~top, F.lit(0)).alias("up_hop"),
         F.when(inside, F.shiftright("idx", levels)).when(~top, F.col("tree")).alias("up_idx"),
     )
 
 
-def build_nodes(numbered: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """Stored node rows of all trees over numbered leaves."""
+def build_trees(numbered: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of the leaves, copies of the nodes above them (both with links), and the groups' roots (tree, digest)."""
     size = numbered.agg(F.max("n").alias("n"), F.max("tree").alias("last")).first()
     stored: list[DataFrame] = []
-    subroots: list[DataFrame] = []
 
-    def grow(nodes: DataFrame, largest: int, label: str) -> None:
-        hop = 0
+    def grow(nodes: DataFrame, largest: int, label: str) -> DataFrame:
+        hop, roots = 0, []
         while True:
             built = materialise(_hop(nodes, levels), f"{label}-{hop}")
-            stored.append(_node_rows(built, hop, levels))
+            stored.append(_linked(built, hop, levels))
             nodes = _roots(built, levels)
-            subroots.append(nodes.filter("n = 1"))
+            roots.append(nodes.filter("n = 1"))
             nodes, largest, hop = nodes.filter("n > 1"), -(-largest >> levels), hop + 1
             if largest <= 1:
-                return
+                return reduce(DataFrame.unionByName, roots)
 
-    leaves = numbered.select("tree", "idx", "n", F.col("leaf").alias("digest"), F.lit(1).cast("long").alias("weight"))
-    grow(leaves, size["n"] or 0, "hop")
+    own = [F.col("leaf").alias("digest"), F.lit(1).cast("long").alias("weight"), F.col("tampered").alias("start")]
+    subroots = grow(numbered.select("tree", "idx", "n", *own), size["n"] or 0, "hop")
     trees = (size["last"] if size["last"] is not None else -1) + 1
-    tops = reduce(DataFrame.unionByName, subroots).select(
-        F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(trees).cast("long").alias("n"), "digest", "weight"
-    )
-    grow(tops, trees, "top-hop")
-    return reduce(DataFrame.unionByName, stored)
+    number = [F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(trees).cast("long").alias("n")]
+    root = grow(subroots.select(*number, "digest", "weight", "start"), trees, "top-hop")
+    leaves, *above = stored
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), _copies(F.col("weight")) - 1)).alias("copy")
+    nodes = reduce(DataFrame.unionByName, above).drop("start").select("*", copies).drop("weight")
+    found = root.select("digest").first()
+    return leaves, nodes, subroots.select("tree", F.col("digest").alias("subroot"), F.lit(found and bytearray(found["digest"])).cast("binary").alias("root"))
+
+
+def _folded(digest: str, path: str) -> str:
+    """SQL: the digest after all steps of a path."""
+    sibling = f"lower(hex(substring({path}, i * {STEP} + 2, 32)))"
+    return f"""if(length({path}) = 0, {digest}, aggregate(sequence(0, length({path}) div {STEP} - 1), {digest}, (h, i) -> unhex(sha2(
+      case substring({path}, i * {STEP} + 1, 1) when X'01' then concat({sibling}, lower(hex(h))) when X'02' then concat(lower(hex(h)), {sibling})
+        else lower(hex(h)) end, 256))))"""
 
 
-#: A step folds the hash through a node's path. ``reaches`` keeps the last stored digest, ``subroot`` the one at the top tree's leaf.
 _CLIMB = f"""
-with recursive climb(key, leaf, idx, tree, hop, node, copy, folded, proof, subroot, reaches) as (
-  select key, leaf, idx, tree, 0, idx, cast(0 as bigint), tampered, cast('' as binary), cast(null as binary), cast(null as binary)
-  from {{leaves}}
+with recursive climb(own_tree, own_idx, step, tree, hop, node, copy, path, folded) as (
+  select tree, idx, 0, up_tree, up_hop, up_idx, idx % up_copies, path, {_folded("start", "path")} from {{leaves}}
   union all
-  select c.key, c.leaf, c.idx, p.up_tree, p.up_hop, p.up_idx, c.idx % p.up_copies,
-    if(length(p.path) = 0, c.folded, aggregate(sequence(0, length(p.path) div {STEP} - 1), c.folded, (h, i) -> unhex(sha2(
-      case substring(p.path, i * {STEP} + 1, 1)
-        when X'01' then concat(lower(hex(substring(p.path, i * {STEP} + 2, 32))), lower(hex(h)))
-        when X'02' then concat(lower(hex(h)), lower(hex(substring(p.path, i * {STEP} + 2, 32))))
-        else lower(hex(h)) end, 256)))),
-    concat(c.proof, p.path), if(c.tree <> {TOP} and p.up_tree <=> {TOP}, p.reaches, c.subroot), p.reaches
+  select c.own_tree, c.own_idx, c.step + 1, p.up_tree, p.up_hop, p.up_idx, c.own_idx % p.up_copies, p.path, {_folded("c.folded", "p.path")}
   from climb c join {{nodes}} p on c.tree = p.tree and c.hop = p.hop and c.node = p.idx and c.copy = p.copy
 )
-select key, leaf, subroot, reaches as root, folded, proof from climb where tree is null and reaches is not null
+select own_tree as tree, own_idx as idx, step, path, folded from climb
 """
 
 
@@ -201,13 +201,23 @@ def prove(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:
     ``proof`` the steps, ``STEP`` bytes for each level. Without rows there is no tree and no row.
     """
     spark = leaves.sparkSession
-    start, stored = work_path(spark, "numbered"), work_path(spark, "nodes")
-    _numbered(leaves).write.parquet(start)
-    nodes = build_nodes(spark.read.parquet(start), levels)
-    nodes.write.parquet(stored)
+    numbered = _numbered(leaves)
+    written = {"numbered": numbered}
+    paths = {"numbered": work_path(spark, "numbered")}
+    numbered.write.parquet(paths["numbered"])
+    for name, table in zip(("leaves", "nodes", "roots"), build_trees(spark.read.parquet(paths["numbered"]), levels), strict=True):
+        written[name], paths[name] = table, work_path(spark, name)
+        table.write.parquet(paths[name])
     # The recursion's total of rows is a few per leaf, beyond the setting's default.
     session = derived_session(spark, {"spark.sql.cteRecursionRowLimit": "-1"})
-    return session.sql(_CLIMB, leaves=session.read.parquet(start), nodes=session.read.schema(nodes.schema).parquet(stored))
+    read = {name: session.read.schema(table.schema).parquet(paths[name]) for name, table in written.items()}
+    steps = session.sql(_CLIMB, leaves=read["leaves"], nodes=read["nodes"])
+    climbed = steps.groupBy("tree", "idx").agg(
+        F.array_sort(F.collect_list(F.struct("step", "path"))).alias("steps"), F.max_by("folded", "step").alias("folded")
+    )
+    proof = F.aggregate("steps", F.lit(bytearray()), lambda done, step: F.concat(done, step["path"]))
+    proven = read["numbered"].join(climbed, ["tree", "idx"]).join(read["roots"], "tree")
+    return proven.select("key", "leaf", "subroot", "root", "folded", proof.alias("proof"))
 
 
 def proof_digest(proof: Column) -> Column:

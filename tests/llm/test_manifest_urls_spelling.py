@@ -135,8 +135,6 @@ def plain_manifest(rows):
 
 
 def manifest_of(spark, rows):
-    from rackpulse.llm.queries import op12_merkle_manifest  # noqa: F401 - the same change of n_chars
-
     docs = spark.createDataFrame([(*r, "clash", b"clash") for r in rows], DOCS + ", leaf string, path binary")
     more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -153,7 +151,7 @@ def test_manifest_equals_plain_trees(spark):
     assert in_order(manifest_of(spark, rows)) == in_order(plain_manifest(rows))
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 257])
+@pytest.mark.parametrize("n", [1, 2, 3, 4097])
 def test_manifest_of_one_group(spark, n):
     rows = [(i, str(i), "en", "s", 1) for i in range(n)]
     got = manifest_of(spark, rows)
@@ -164,19 +162,22 @@ def test_manifest_of_nothing(spark):
     assert manifest_of(spark, []) == []
 
 
-def test_upper_nodes_are_stored_once_per_run_of_leaves(spark):
+def test_no_copy_of_a_node_serves_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "SHARE", 4)
     leaves = spark.range(700).select(F.lit("g").alias("grp"), F.col("id").alias("key"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("leaf"))
     numbered = materialise(merkle._numbered(leaves.withColumn("tampered", F.col("leaf"))), "numbered")
-    nodes = merkle.build_nodes(numbered, levels=2).collect()
-    at = {(r.tree, r.hop, r.idx, r.copy): r for r in nodes}
+    rows, nodes, _ = merkle.build_trees(numbered, levels=2)
+    at = {(r.tree, r.hop, r.idx, r.copy): r for r in nodes.collect()}
     met = Counter()
-    for leaf in numbered.collect():
-        place, copy = (leaf.tree, 0, leaf.idx), 0
-        while place[0] is not None:
-            met[(*place, copy)] += 1
-            row = at[(*place, copy)]
-            place, copy = (row.up_tree, row.up_hop, row.up_idx), leaf.idx % row.up_copies
+    for leaf in rows.collect():
+        row = leaf
+        while row.up_tree is not None:
+            place = (row.up_tree, row.up_hop, row.up_idx, leaf.idx % row.up_copies)
+            met[place] += 1
+            row = at[place]
     assert max(met.values()) <= 5 and set(met) == set(at)
+    proven = merkle.prove(leaves.withColumn("tampered", F.col("leaf")), levels=2)
+    assert proven.filter("folded = root").count() == 700 and proven.select("root").distinct().count() == 1
 
 
 def plain_variants(rows):
