@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_texts(docs: DataFrame, known: DataFrame, usable: Column, per_class: int, key: str, text: str) -> DataFrame:
-    """Rows (``key``, ``_label``, ``_text``): documents for which ``usable`` holds, with their label 0 or 1 in ``known``.
+def known_labels(labels: DataFrame, label: str, usable: Column, key: str) -> DataFrame:
+    """Distinct rows (key, label) of the labels 0 and 1 for which ``usable`` holds."""
+    rows = labels.filter(usable & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    return rows.filter(F.col("label").isin(0, 1)).distinct()
 
-    Equal texts of one key are one row, however often the document or its label is repeated. Of each class ``per_class``
-    rows are kept, those with the smallest hash of the key, then of the text; only they are joined with their texts.
+
+def class_sizes(known: DataFrame) -> dict[int, int]:
+    return {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+
+
+def labelled_texts(docs: DataFrame, known: DataFrame, per_class: int, key: str, text: str) -> DataFrame:
+    """Rows (key, hash, label, text): documents with their label in ``known``; ``hash`` is of the text.
+
+    Equal texts of one key are one row, however often the document is repeated. Of each class ``per_class`` rows are kept,
+    those with the smallest hash of the key, then of the text; only they are joined with their texts.
     """
-    rows = docs.filter(usable & F.col(key).isNotNull()).select(key, F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-    labels = known.filter(F.col("_label").isin(0, 1)).select(key, "_label").distinct()
-    pairs = rows.select(key, "_hash").distinct().join(labels, key)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null").withColumn("hash", F.xxhash64("text"))
+    pairs = rows.select("key", "hash").distinct().join(known, "key")
     chosen = None
     for value in (0, 1):
-        own = pairs.filter(F.col("_label") == value).orderBy(F.xxhash64(key), key, "_hash").limit(per_class)
+        own = pairs.filter(F.col("label") == value).orderBy(F.xxhash64("key"), "key", "hash").limit(per_class)
         chosen = own if chosen is None else chosen.unionByName(own)
     # At most 2 * per_class rows of three numbers are broadcast; repeated texts fold before the exchange.
-    return rows.join(F.broadcast(chosen), [key, "_hash"]).groupBy(key, "_label", "_hash").agg(F.first("_text").alias("_text")).drop("_hash")
+    return rows.join(F.broadcast(chosen), ["key", "hash"]).groupBy("key", "hash", "label").agg(F.first("text").alias("text"))

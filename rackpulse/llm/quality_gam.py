@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.labelled import labelled_texts
+from rackpulse.llm.labelled import class_sizes, known_labels, labelled_texts
+from rackpulse.llm.scope import in_arrow
 
 #: Most labelled rows of each class that a fit uses, chosen by a hash of their id.
 FIT_ROWS_PER_CLASS = 15_000
@@ -243,19 +244,20 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str, usable: Column, key:
     Rows with a null key or label are left out, and equal texts of one key are one row. The rows with the smallest hashes are taken, so a fit is repeatable. The
     classes' shares among all usable labels set the intercept.
     """
-    known = labels.filter(usable & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("_label"))
+    known = known_labels(labels, label, usable, key)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features_of(t) for t in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=[key, "label", "features"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["key", "label", "features"])
 
-    own = labelled_texts(docs, known, F.lit(True), FIT_ROWS_PER_CLASS, key, text).select(key, "_label", "_text")
+    own = labelled_texts(docs, known, FIT_ROWS_PER_CLASS, key, text).select("key", "label", "text")
     kind = docs.schema[key].dataType.simpleString()
-    table = own.mapInArrow(run, f"`{key}` {kind}, label int, features array<double>").toPandas()
-    table = table.assign(order=[tuple(f) for f in table["features"]]).sort_values([key, "order", "label"], kind="stable")
+    table = own.mapInArrow(in_arrow(run), f"key {kind}, label int, features array<double>").toPandas()
+    table = table.assign(order=[tuple(f) for f in table["features"]]).sort_values(["key", "order", "label"], kind="stable")
     rows = np.array(table["features"].tolist()).reshape(len(table), len(FEATURES))
     model = fit(rows, table["label"].to_numpy().astype(float))
-    sizes = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    sizes = class_sizes(known)
     if min(sizes.get(0, 0), sizes.get(1, 0)) > 0 and len(table):
         used = table["label"].value_counts()
         model.intercept += float(np.log(sizes[1] / used.get(1, 1)) - np.log(sizes[0] / used.get(0, 1)))
@@ -280,4 +282,4 @@ def score_documents(docs: DataFrame, model: GamModel, text: str = "text", with_t
 
     out = docs.select(*[F.col(f"`{c}`") for c in columns])
     schema = ", ".join(f"`{out.schema[i].name}` {out.schema[i].dataType.simpleString()}" for i in kept)
-    return out.mapInArrow(run, f"{schema}, score double")
+    return out.mapInArrow(in_arrow(run), f"{schema}, score double")

@@ -23,15 +23,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.labelled import labelled_texts
+from rackpulse.llm.labelled import class_sizes, known_labels, labelled_texts
+from rackpulse.llm.scope import WorkTables, in_arrow
 from rackpulse.llm.wordpiece_ids import LOWER, flat_bytes, slices
 
 DECAY, SPAN = 0.6, 8
 #: Longer units are scored by overlapping windows.
 LONGEST_UNIT = 24
 LANDMARKS, TOXIC_WEIGHT = 600, 2.0
-#: Most labelled texts of each class for the fit, none of them longer than FIT_CHARS characters.
-FIT_ROWS_PER_CLASS, FIT_CHARS = 4_000, 20_000
+#: Most labelled texts of each class for the fit.
+FIT_ROWS_PER_CLASS = 4_000
+#: Units whose landmark features are held at a time.
+FIT_BLOCK = 2_000
 FIT_TURNS, NEGATIVES, COST = 6, 9_000, 100.0
 CACHED_UNITS = 400_000
 CODES = 64
@@ -218,7 +221,7 @@ def _landmark_space(landmarks: list[bytes]):
 
 
 def _against_landmarks(units: list[bytes], index: np.ndarray, table: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(units), table.shape[1]))
+    out = np.zeros((len(units), table.shape[1]), np.float32)
     for length, rows in by_length(units).items():
         if length < 3:
             continue
@@ -233,9 +236,14 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float
     """Weights of a linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
     w = np.zeros(x.shape[1])
     for _ in range(60):
-        inside = y * (x @ w) < 1
-        rows, scale = x[inside], 2 * cost * weight[inside]
-        new = np.linalg.solve(np.eye(len(w)) + rows.T @ (rows * scale[:, None]), rows.T @ (scale * y[inside]))
+        inside = np.flatnonzero(y * (x @ w) < 1)
+        left, right = np.eye(len(w)), np.zeros(len(w))
+        for at in range(0, len(inside), FIT_BLOCK):
+            part = inside[at : at + FIT_BLOCK]
+            rows, scale = x[part], 2 * cost * weight[part]
+            left += rows.T @ (rows * scale[:, None])
+            right += rows.T @ (scale * y[part])
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-8:
             break
         w = new
@@ -258,16 +266,19 @@ def _curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> ToxicityModel:
     """Train on labelled texts; with one class or no texts every score is that class's smoothed share."""
+    units, bags = _bags(texts)
+    flat = np.concatenate([*bags, np.zeros(0, np.int64)])
+    toxic_row = np.repeat(labels == 1, [len(b) for b in bags])
+    return fit_bags(units, bags, np.bincount(flat[toxic_row], minlength=len(units)), np.bincount(flat[~toxic_row], minlength=len(units)), labels, seed)
+
+
+def fit_bags(units: list[bytes], bags: list[np.ndarray], seen_toxic: np.ndarray, seen_clean: np.ndarray, labels: np.ndarray, seed: int = 5) -> ToxicityModel:
+    """Train on bags of units: each text's units by number, and how many toxic and clean texts hold a unit."""
     n = len(labels)
     share = (labels.sum() + 1) / (n + 2)
     if n == 0 or labels.min() == labels.max():
         return ToxicityModel(bias=0.0, slope=0.0, shift=float(np.log(share / (1 - share))))
-    units, bags = _bags(texts)
     positive = np.flatnonzero(labels == 1)
-    flat = np.concatenate([*bags, np.zeros(0, np.int64)])
-    toxic_row = np.repeat(labels == 1, [len(b) for b in bags])
-    seen_toxic = np.bincount(flat[toxic_row], minlength=len(units))
-    seen_clean = np.bincount(flat[~toxic_row], minlength=len(units))
     clean_total = n - len(positive)
     odds = np.log((seen_toxic + 0.5) / (len(positive) + 1)) - np.log((seen_clean + 0.5) / (clean_total + 1))
     long_enough = np.array([len(u) >= 3 for u in units], bool)
@@ -301,8 +312,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> ToxicityModel:
         if not len(ups) or not len(downs):
             break
         chosen = np.concatenate((ups, downs))
-        x = _against_landmarks([units[i] for i in chosen], index, table) @ whiten
-        x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
+        x = np.ones((len(chosen), whiten.shape[1] + 1), np.float32)
+        for at in range(0, len(chosen), FIT_BLOCK):
+            x[at : at + FIT_BLOCK, :-1] = _against_landmarks([units[i] for i in chosen[at : at + FIT_BLOCK]], index, table) @ whiten
         y = np.concatenate((np.ones(len(ups)), -np.ones(len(downs))))
         # A unit counts as often as texts of its class hold it, on a dampened scale; toxic units are few and count more.
         weight = (np.concatenate((seen_toxic[ups], seen_clean[downs])) + 1.0) ** 0.7
@@ -320,17 +332,35 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> ToxicityModel:
 def fit_on(docs: DataFrame, labels: DataFrame, label: str, usable: Column, key: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Fit on labelled rows for which ``usable`` holds: FIT_ROWS_PER_CLASS of each class at most, smallest hashes first.
 
-    Rows with a null key, label or text are left out, equal texts of one key are one row, and texts over FIT_CHARS take no
-    part. The curve is moved back to the classes' shares among all usable labels.
+    Rows with a null key or label are left out, and equal texts of one key are one row; a null text counts as an empty one.
+    Texts of any length are cut into units by the executors. The driver gets the distinct units with their counts and, per
+    text, 8 bytes for each of its units. The curve is moved back to the classes' shares among all usable labels.
     """
-    known = labels.filter(usable & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("_label"))
-    short = F.length(text) <= FIT_CHARS
-    table = labelled_texts(docs, known, short, FIT_ROWS_PER_CLASS, key, text).toPandas().sort_values([key, "_text", "_label"], kind="stable")
-    model = fit(table["_text"].tolist(), table["_label"].to_numpy())
-    sizes = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
-    if min(sizes.get(0, 0), sizes.get(1, 0)) > 0 and len(table):
-        used = table["_label"].value_counts()
-        model.shift += float(np.log(sizes[1] / used.get(1, 1)) - np.log(sizes[0] / used.get(0, 1)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units, bags = _bags(pc.fill_null(batch.column(3), "").to_pylist())
+            held = [[units[i] for i in bag.tolist()] for bag in bags]
+            yield pa.record_batch([*batch.columns[:3], pa.array(held, pa.list_(pa.binary()))], names=["key", "hash", "label", "units"])
+
+    known = known_labels(labels, label, usable, key)
+    with WorkTables(docs.sparkSession) as work:
+        chosen = labelled_texts(docs, known, FIT_ROWS_PER_CLASS, key, text)
+        kind = docs.schema[key].dataType.simpleString()
+        cut_texts = work.write(chosen.select("key", "hash", "label", "text").mapInArrow(in_arrow(cut), f"key {kind}, hash long, label int, units array<binary>"), "units")
+        each = cut_texts.select("label", F.explode("units").alias("unit")).groupBy("unit")
+        counts = each.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).withColumn("name", F.xxhash64("unit")).toArrow().sort_by("name")
+        names = F.transform("units", lambda u: F.xxhash64(u)).alias("names")
+        table = cut_texts.select("key", "hash", "label", names).toArrow().sort_by([("key", "ascending"), ("hash", "ascending"), ("label", "ascending")])
+    order = counts.column("name").to_numpy()
+    held = table.column("names").combine_chunks()
+    flat = np.searchsorted(order, held.values.to_numpy()) if len(held) else np.zeros(0, np.int64)
+    bags = np.split(flat, held.offsets.to_numpy()[1:-1]) if len(held) else []
+    own = table.column("label").to_numpy()
+    model = fit_bags(counts.column("unit").to_pylist(), bags, counts.column("toxic").to_numpy(), counts.column("clean").to_numpy(), own)
+    sizes = class_sizes(known)
+    if min(sizes.get(0, 0), sizes.get(1, 0)) > 0 and len(own):
+        model.shift += float(np.log(sizes[1] / max(1, (own == 1).sum())) - np.log(sizes[0] / max(1, (own == 0).sum())))
     return model
 
 
@@ -341,7 +371,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = shared.value.probability(shared.value.column_margins(batch.column(1)))
-            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], names=[key, "score"])
+            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], names=["key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, score double")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(in_arrow(run), f"key {kind}, score double")
+    return rows.select(F.col("key").alias(key), "score")
