@@ -9,10 +9,14 @@
 * Each set has a bitmap of about its own size, the parity of its shingles per bit. Two bitmaps differ in no more
   bits than the sets differ in shingles, so many candidates are discarded before their overlaps are counted.
 * To begin with, each row is paired with a few rows of its column only, others in each round. Full overlap counts of
-  these pairs settle most components. When a round links hardly any of its pairs, all pairs of rows of one column that
-  still lie in different components are tried.
-
-So no link between different components is lost, and a large group of near copies costs about one count per member.
+  these pairs settle most components.
+* When a round links hardly any of its pairs, all pairs of rows of one column that still lie in different components are
+  compared inside the blocks, and each row's most alike partners leave the block to be counted, eight times as many in each
+  further round, until no pair is left that has not been counted or joined by other links.
+
+So no link between different components is lost, a large group of near copies costs about one count per member, and the
+rows of a round grow with the rows of the columns, not with their pairs. A column of many rows is split into chunks, and each
+pair of chunks is a task of its own.
 """
 
 from __future__ import annotations
@@ -28,9 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.functions.graph import connected_components
+from rackpulse.llm.link_components import link_components
+from rackpulse.llm.scope import WorkTables, in_arrow, unused_name
 from rackpulse.llm.wordpiece_ids import LOWER, flat_bytes, slices
-from rackpulse.session import materialise
 
 WORDS, PERCENT = 5, 75
 #: Counters of word frequencies and bits of the filter of wanted nodes; both are broadcast and never larger.
@@ -40,6 +44,10 @@ BLOCK_ENTRIES = 1_000_000
 SLICE = 2 << 20
 #: Rows of a column that the others meet in one round, and the share of linked pairs below which rounds end.
 HUBS, FRUITFUL = 8, 0.15
+#: Partners of a row that are counted in the first round over all pairs, and rows of a column that one task compares.
+PARTNERS, CHUNK = 64, 4096
+#: Times that the bitmaps for comparisons inside the blocks are wider than those that travel with pairs.
+WIDER = 4
 #: Entries that a task packs at a time.
 PACKED_ENTRIES = 250_000
 ENTRY = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("size", "<u4"), ("place", "<u4")])
@@ -137,9 +145,9 @@ def node_of(shingles: np.ndarray) -> int:
     return struct.unpack("<q", hashlib.blake2b(shingles.tobytes(), digest_size=8).digest())[0]
 
 
-def signature_of(shingles: np.ndarray) -> bytes:
-    """Parity bits of the set: the next power of two of its size, 64 at least."""
-    width = 1 << max(6, (len(shingles) - 1).bit_length())
+def signature_of(shingles: np.ndarray, wider: int = 1) -> bytes:
+    """Parity bits of the set: ``wider`` times the next power of two of its size, 64 at least."""
+    width = wider << max(6, (len(shingles) - 1).bit_length())
     counts = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -159,15 +167,17 @@ def _survey(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counters = Shingler(words), np.zeros(COUNTERS, np.int64)
-        schema, names = None, [key, "n_shingles", "node", "signature", "block", "counts"]
+        schema, names = None, ["key", "n_shingles", "node", "signature", "wide", "block", "counts"]
         for batch in batches:
             n = len(batch)
             sizes, nodes = np.zeros(n, np.int64), np.zeros(n, np.int64)
             signatures: list[bytes | None] = [None] * n
+            wide: list[bytes | None] = [None] * n
             for row, own, shingles, _ in shingler.column(batch.column(1)):
                 sizes[row], nodes[row], signatures[row] = len(shingles), node_of(shingles), signature_of(shingles)
+                wide[row] = signature_of(shingles, WIDER)
                 np.add.at(counters, (own % np.uint64(COUNTERS)).astype(np.int64), 1)
-            out = [batch.column(0), pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.array(signatures, pa.binary())]
+            out = [batch.column(0), pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.array(signatures, pa.binary()), pa.array(wide, pa.binary())]
             out += [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
             schema = schema or [batch.schema.field(0).type]
             yield pa.record_batch(out, names=names)
@@ -175,15 +185,15 @@ def _survey(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             blocks = counters.reshape(64, -1)
             yield pa.record_batch(
                 [
-                    pa.nulls(64, schema[0]), pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()), pa.nulls(64, pa.binary()),
+                    pa.nulls(64, schema[0]), pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()), pa.nulls(64, pa.binary()), pa.nulls(64, pa.binary()),
                     pa.array(np.arange(64, dtype=np.int32)), pa.array([b.astype("<i8").tobytes() for b in blocks], pa.binary()),
                 ],
                 names=names,
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(
-        run, f"`{key}` {kind}, n_shingles long, node long, signature binary, block int, counts binary"
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
+        in_arrow(run), f"key {kind}, n_shingles long, node long, signature binary, wide binary, block int, counts binary"
     )
 
 
@@ -239,7 +249,7 @@ def _entries(docs: DataFrame, text: str, words: int, percent: int, rarity: np.nd
         packed = [rows[a:b].tobytes() for a, b in zip(starts.tolist(), ends, strict=True)]
         return pa.record_batch([pa.array(block[starts].astype(np.int32)), pa.array(packed, pa.binary())], names=["block", "entries"])
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "block int, entries binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(in_arrow(run), "block int, entries binary")
 
 
 def _columns(entries: DataFrame) -> DataFrame:
@@ -304,30 +314,50 @@ def _differences(signatures: list[bytes], left: np.ndarray, right: np.ndarray) -
     return out
 
 
-def _across(open_: DataFrame, owners: DataFrame, percent: int, blocks: int) -> DataFrame:
-    """All pairs (a, b) of a column in different components that neither places nor bitmaps rule out, a block at a time.
+def _best(pairs: np.ndarray, unlike: np.ndarray, partners: int) -> np.ndarray:
+    """Numbers of the pairs that are among the ``partners`` most alike ones of either of their rows."""
+    chosen = np.zeros(len(pairs), bool)
+    for side in (0, 1):
+        order = np.lexsort((pairs[:, 1 - side], unlike, pairs[:, side]))
+        own = pairs[order, side]
+        opens = np.concatenate(([True], own[1:] != own[:-1]))
+        rank = np.arange(len(own)) - np.maximum.accumulate(np.where(opens, np.arange(len(own)), 0))
+        chosen[order[rank < partners]] = True
+    return np.flatnonzero(chosen)
+
+
+def _across(open_: DataFrame, owners: DataFrame, percent: int, blocks: int, partners: int) -> DataFrame:
+    """Pairs (a, b) of a column in different components that neither places nor bitmaps rule out.
 
-    The product of a block runs diagonal by diagonal, so a task holds its rows and the pairs that passed.
+    Of each row its ``partners`` most alike ones leave the block. A row of nulls tells that others were left behind. The
+    product of a block runs diagonal by diagonal, so a task holds its rows and a bounded number of pairs for each.
     """
 
     def multiply(key: tuple, block: pa.Table) -> pa.Table:
-        column, node, size, place, component = (block.column(c).to_numpy() for c in ("column", "node", "size", "place", "component"))
+        column, node, size, place, component, chunk = (block.column(c).to_numpy() for c in ("column", "node", "size", "place", "component", "chunk"))
+        apart = key[1].as_py() != key[2].as_py()
         order = np.lexsort((node, column))
-        column, node, size, place, component = (v[order] for v in (column, node, size, place, component))
+        column, node, size, place, component, chunk = (v[order] for v in (column, node, size, place, component, chunk))
         signatures = block.column("signature").take(pa.array(order)).to_pylist()
         ends = np.searchsorted(column, column, side="right")
-        found, held = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+        names, unlike, held = np.zeros((0, 2), np.int64), np.zeros(0), [np.zeros((0, 2), np.int64)]
+        left_behind = False
 
         def settle() -> None:
+            nonlocal names, unlike, left_behind
             pairs = np.concatenate(held)
-            # The same two rows meet in many columns.
-            names = np.stack((node[pairs[:, 0]], node[pairs[:, 1]]), axis=1)
-            names, one = np.unique(names, axis=0, return_index=True)
-            a, b = pairs[one, 0], pairs[one, 1]
+            held[:] = [np.zeros((0, 2), np.int64)]
+            a, b = pairs[:, 0], pairs[:, 1]
             total, differ = size[a] + size[b], _differences(signatures, a, b)
             kept = 100 * (total - differ) >= percent * (total + differ)
-            found.append(names[kept])
-            held[:] = [np.zeros((0, 2), np.int64)]
+            both = np.concatenate((names, np.stack((node[a[kept]], node[b[kept]]), axis=1)))
+            share = np.concatenate((unlike, differ[kept] / total[kept]))
+            # The same two rows meet in many columns.
+            names, one = np.unique(both, axis=0, return_index=True)
+            unlike = share[one]
+            best = _best(names, unlike, partners)
+            left_behind |= len(best) < len(names)
+            names, unlike = names[best], unlike[best]
 
         alive, step, waiting = np.arange(len(node)), 1, 0
         while True:
@@ -337,6 +367,8 @@ def _across(open_: DataFrame, owners: DataFrame, percent: int, blocks: int) -> D
             a, b = alive, alive + step
             asked = -(-(size[a] + size[b]) * percent // (100 + percent))
             some = (component[a] != component[b]) & (size[a] - place[a] >= asked) & (size[b] - place[b] >= asked)
+            if apart:
+                some &= chunk[a] != chunk[b]
             held.append(np.stack((a[some], b[some]), axis=1))
             waiting += int(some.sum())
             if waiting > 500_000:
@@ -344,12 +376,18 @@ def _across(open_: DataFrame, owners: DataFrame, percent: int, blocks: int) -> D
                 waiting = 0
             step += 1
         settle()
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        more = [None] if left_behind else []
+        return pa.table({"a": pa.array([*names[:, 0].tolist(), *more], pa.int64()), "b": pa.array([*names[:, 1].tolist(), *more], pa.int64())})
 
-    rows = open_.join(owners.select("node", "signature"), "node").withColumn("block", F.pmod("column", F.lit(blocks)))
-    columns = ["block", "column", "node", "size", "place", "component", "signature"]
-    return rows.select(*columns).groupBy("block").applyInArrow(multiply, "a long, b long").distinct()
+    chunks = F.ceil(F.col("rows") / F.lit(CHUNK)).cast("int")
+    chunk = F.pmod(F.xxhash64("node", F.lit(1)), chunks).cast("int")
+    tasks = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least("chunk", j).alias("i"), F.greatest("chunk", j).alias("j")))
+    # Blocks of whole columns, and for a long column a block for each pair of its chunks.
+    block = F.when(F.col("rows") > CHUNK, F.col("column")).otherwise(F.pmod("column", F.lit(blocks)))
+    rows = open_.withColumn("chunk", chunk).withColumn("task", F.explode(tasks)).withColumn("block", block).withColumn("long", F.col("rows") > CHUNK)
+    rows = rows.join(owners.select("node", F.col("wide").alias("signature")), "node")
+    columns = ["block", "task.i", "task.j", "long", "column", "node", "size", "place", "component", "chunk", "signature"]
+    return rows.select(*columns).groupBy("block", "i", "j", "long").applyInArrow(multiply, "a long, b long").distinct()
 
 
 def _alike(pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
@@ -366,10 +404,10 @@ def _alike(pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
     first = owners.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("left"))
     second = owners.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("right"))
     both = pairs.join(first, "a").join(second, "b")
-    return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), "left", "right").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), "left", "right").mapInArrow(in_arrow(compare), "a long, b long")
 
 
-def _wanted(docs: DataFrame, owners: DataFrame, pairs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+def _wanted(work: WorkTables, docs: DataFrame, owners: DataFrame, pairs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """Shingle sets (node, shingles) of the nodes in ``pairs``, from one document of each.
 
     A filter of fixed size over the documents' keys keeps most other texts from being hashed again.
@@ -399,8 +437,8 @@ def _wanted(docs: DataFrame, owners: DataFrame, pairs: DataFrame, key: str, text
                 sets.append(shingles.tobytes())
             yield pa.record_batch([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    found = docs.select(F.xxhash64(key).alias("_owner"), F.col(text).alias("_text")).mapInArrow(run, "node long, shingles binary")
-    return materialise(found.join(nodes, "node", "left_semi"), "sets")
+    found = docs.select(F.xxhash64(key).alias("owner"), F.col(text).alias("text")).mapInArrow(in_arrow(run), "node long, shingles binary")
+    return work.write(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -421,14 +459,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     both = pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "left", "right")
-    return both.mapInArrow(count, "a long, b long").distinct()
-
-
-def _components(links: DataFrame) -> DataFrame:
-    """(node, component) of the nodes that have a link."""
-    both = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(links.select(F.col("b").alias("src"), F.col("a").alias("dst")))
-    vertices = both.select(F.col("src").alias("id")).distinct()
-    return connected_components(vertices, both).select(F.col("id").alias("node"), F.col("label").alias("component"))
+    return both.mapInArrow(in_arrow(count), "a long, b long").distinct()
 
 
 def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -436,63 +467,86 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     ``component_id`` is the smallest ``key`` reachable by links; ``n_linked_sets`` counts the different sets of the
     component. Documents without words have an empty set, no links and themselves as component, also when their key is
-    null. Repeated rows are linked with each other like any copies.
+    null. Repeated rows are linked with each other like any copies. Other columns of ``docs`` have no influence.
     """
-    survey = materialise(_survey(docs, key, text, words), "survey")
+    with WorkTables(docs.sparkSession) as work:
+        labels = _labelled(work, docs, key, text, words, percent)
+        work.keep(labels)
+    return labels.select(F.col("key").alias(key), "n_shingles", "component_id", "n_linked_sets")
+
+
+def _open_rows(columns: DataFrame, component: DataFrame | None) -> DataFrame:
+    """Rows of columns that several components share, with their component and the column's number of rows."""
+    if component is None:
+        named = columns.withColumn("component", F.col("node"))
+    else:
+        named = columns.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = named.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"))
+    return named.join(several.filter("low < high").select("column", "rows"), "column")
+
+
+def _hub_pairs(open_: DataFrame, owners: DataFrame, percent: int, number: int) -> DataFrame:
+    """Pairs (a, b) of each row with a few rows of its column, others in each round."""
+    rows = open_.select("column", F.struct("node", "size", "place", "component").alias("x"))
+    chances = [F.min_by("x", F.xxhash64("x.node", F.lit(HUBS * number + i))) for i in range(HUBS)]
+    hubs = rows.groupBy("column").agg(F.array_distinct(F.array(*chances)).alias("hubs"))
+    pairs = rows.join(hubs, "column").select("x", F.explode("hubs").alias("y")).filter("x.component <> y.component")
+    pairs = pairs.filter(_may_link(percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return _alike(pairs.distinct(), owners, percent)
+
+
+def _labelled(work: WorkTables, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
+    survey = work.write(_survey(docs, key, text, words), "survey")
     rarity = _combined(survey.filter(F.col("block").isNotNull()).select("block", "counts"), np.add, "<i8", 64, COUNTERS // 64)
-    rows = survey.filter(F.col("block").isNull()).select(key, "n_shingles", "node")
+    rows = survey.filter(F.col("block").isNull()).select("key", "n_shingles", "node")
     total = rows.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1)).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / BLOCK_ENTRIES) + 1)
-    columns = materialise(_columns(_entries(docs, text, words, percent, rarity, blocks)), "columns")
-
+    columns = work.write(_columns(_entries(docs, text, words, percent, rarity, blocks)), "columns")
     owners = survey.filter(F.col("node").isNotNull()).groupBy("node").agg(
-        F.xxhash64(F.min(key)).alias("owner"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature")
+        F.xxhash64(F.min("key")).alias("owner"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature"), F.max("wide").alias("wide")
     )
-    owners = materialise(owners, "owners")
-    links, component, tried, number, fruitful = None, None, None, 0, True
+    owners = work.write(owners, "owners")
+    component, tried, number, partners = None, None, 0, 0
     while True:
-        if component is None:
-            open_ = columns.withColumn("component", F.col("node"))
-        else:
-            named = columns.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            several = named.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            open_ = named.join(several.filter("low < high").select("column"), "column", "left_semi")
-        if fruitful:
-            rows_of = open_.select("column", F.struct("node", "size", "place", "component").alias("x"))
-            chances = [F.min_by("x", F.xxhash64("x.node", F.lit(HUBS * number + i))) for i in range(HUBS)]
-            hubs = rows_of.groupBy("column").agg(F.array_distinct(F.array(*chances)).alias("hubs"))
-            pairs = rows_of.join(hubs, "column").select("x", F.explode("hubs").alias("y")).filter("x.component <> y.component")
-            pairs = pairs.filter(_may_link(percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-            pairs = _alike(pairs.distinct(), owners, percent)
-        else:
-            pairs = _across(open_, owners, percent, blocks)
+        open_ = _open_rows(columns, component)
+        found = _across(open_, owners, percent, blocks, partners) if partners else _hub_pairs(open_, owners, percent, number)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, f"pairs-{number}")
-        count = pairs.count()
-        last, linked = not fruitful, 0
+            # Rows of nulls stay.
+            found = found.join(tried, ["a", "b"], "left_anti")
+        found = work.write(found, f"pairs-{number}")
+        pairs = found.filter("a is not null")
+        count, linked = pairs.count(), 0
         if count:
-            sets = _wanted(docs, owners, pairs, key, text, words)
-            found = materialise(_linked(pairs, sets, percent), f"links-{number}")
-            linked = found.count()
+            sets = _wanted(work, docs, owners, pairs, key, text, words)
+            met = work.write(_linked(pairs, sets, percent), f"links-{number}")
+            work.drop(sets)
+            linked = met.count()
             tried = pairs if tried is None else tried.unionByName(pairs)
         if linked:
-            links = found if links is None else links.unionByName(found)
-            component = materialise(_components(links), f"components-{number}")
-        if last:
-            break
-        number, fruitful = number + 1, linked > FRUITFUL * count
-
+            links = met if component is None else met.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            before, component = component, work.write(link_components(links), "components")
+            if before is not None:
+                work.drop(before)
+        if partners:
+            if count == found.count():
+                break
+            partners *= 8
+        elif linked <= FRUITFUL * count:
+            partners = PARTNERS
+        number += 1
     if component is None:
         named = rows.withColumn("component", F.col("node"))
     else:
         named = rows.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.filter(F.col("component").isNotNull()).groupBy("component").agg(
-        F.min(key).alias("component_id"), F.count_distinct("node").alias("n_linked_sets")
+        F.min("key").alias("component_id"), F.count_distinct("node").alias("n_linked_sets")
     )
-    return named.join(least, "component", "left").select(
-        key, "n_shingles", F.coalesce("component_id", key).alias("component_id"), F.coalesce("n_linked_sets", F.lit(0)).alias("n_linked_sets")
+    return work.write(
+        named.join(least, "component", "left").select(
+            "key", "n_shingles", F.coalesce("component_id", "key").alias("component_id"), F.coalesce("n_linked_sets", F.lit(0)).alias("n_linked_sets")
+        ),
+        "labels",
     )
 
 
@@ -500,20 +554,23 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``docs`` with one document of each component of near copies, the one with the smallest key; others stay as they are.
 
     Of repeated rows (same key and text) one stays, unless they have no words. Rows that share a key but not the text
-    are different documents.
+    are different documents. Columns of any name stay as they are.
     """
-    tagged = docs.withColumn("_key", F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash")))
-    found = shingle_components(tagged, "_key", text)
-    verdict = found.groupBy("_key").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"), F.max("n_shingles").alias("n"))
-    verdict = materialise(verdict, "verdict")
-    # Written first, so that their size is known and a small table is broadcast without moving the texts.
-    dropped = materialise(verdict.filter(F.col("_key") != F.col("component_id")).select("_key"), "dropped")
-    repeated = verdict.filter((F.col("_key") == F.col("component_id")) & (F.col("rows") > 1) & (F.col("n") > 0)).select("_key")
-    kept = tagged.join(dropped, "_key", "left_anti")
+    name = unused_name("row_key", docs.columns)
+    tagged = docs.withColumn(name, F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash")))
+    found = shingle_components(tagged, name, text).withColumnRenamed(name, "row_key")
+    with WorkTables(docs.sparkSession) as work:
+        verdict = found.groupBy("row_key").agg(F.count("*").alias("rows"), F.min("component_id").alias("first"), F.max("n_shingles").alias("n"))
+        verdict = work.write(verdict, "verdict")
+        # Written first, so that their size is known and a small table is broadcast without moving the texts.
+        dropped = work.write(verdict.filter(F.col("row_key") != F.col("first")).select(F.col("row_key").alias(name)), "dropped")
+        repeated = verdict.filter((F.col("row_key") == F.col("first")) & (F.col("rows") > 1) & (F.col("n") > 0)).select(F.col("row_key").alias(name))
+        repeated = work.write(repeated, "repeated")
+        work.keep(dropped, repeated)
+    kept = tagged.join(dropped, name, "left_anti")
     if not repeated.isEmpty():
-        repeated = materialise(repeated, "repeated")
-        once = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
-        kept = kept.join(repeated, "_key", "left_anti").unionByName(once)
+        once = kept.join(repeated, name, "left_semi").dropDuplicates([name])
+        kept = kept.join(repeated, name, "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 
 

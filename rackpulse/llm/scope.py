@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,14 +55,45 @@ class WorkTables:
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches, and at their end the worker's unused memory is returned to the system.
+def unused_name(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
-    Workers serve many tasks; freed blocks of one would otherwise count against the executor all the time.
+
+#: Rows and bytes of the batches that a function of a Python worker sees.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of limited size; a single row may be larger."""
+    if len(batch) <= 1 or (len(batch) <= BATCH_ROWS and batch.nbytes <= BATCH_BYTES):
+        yield batch
+    else:
+        half = len(batch) // 2
+        yield from _bounded(batch.slice(0, half))
+        yield from _bounded(batch.slice(half))
+
+
+def in_arrow(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow`` with batches of limited rows and bytes, whatever the session's settings are.
+
+    At its end the worker's unused memory goes back to the system: workers serve many tasks, and freed blocks of one would
+    count against the executor all the time.
     """
-    yield from batches
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # another C library
-        pass
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _bounded(batch)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(parts(batches))
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return bounded
