@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackpulse.llm.fm_index import FMIndex
+from rackpulse.llm.scope import in_arrow, unused_name
 from rackpulse.llm.wordpiece_ids import flat_bytes
 from rackpulse.session import materialise
 
@@ -55,7 +56,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item: str = "i
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["item", "window"]
             )
 
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("_text")).mapInArrow(cut, "item string, window string")
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).mapInArrow(in_arrow(cut), "item string, window string")
     sets = rows.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
     return sets.withColumn("set_id", F.xxhash64("items"))
 
@@ -162,7 +163,7 @@ def _search_block(docs: DataFrame, text: str, windows: DataFrame, with_text: boo
             )
 
     schema = ", ".join(f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in kept)
-    return docs.mapInArrow(run, f"{schema}, {FOUND}")
+    return docs.mapInArrow(in_arrow(run), f"{schema}, {FOUND}")
 
 
 def find_passages(docs: DataFrame, windows: DataFrame, text: str = "text", with_text: bool = True) -> DataFrame:
@@ -179,20 +180,21 @@ def find_passages(docs: DataFrame, windows: DataFrame, text: str = "text", with_
     blocks = -(-windows.count() // BLOCK_WINDOWS) or 1
     if blocks == 1:
         return _search_block(docs, text, windows, with_text)
-    docs = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    keyed = windows.withColumn("_block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
-    passes = [_search_block(docs.select("_row", text), text, keyed.filter(F.col("_block") == b), True) for b in range(blocks)]
+    row = unused_name("row", docs.columns)
+    docs = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    number = F.pmod(F.xxhash64("window"), F.lit(blocks))
+    passes = [_search_block(docs.select(row, text), text, windows.filter(number == b), True) for b in range(blocks)]
     passes = [p.drop(text) for p in passes]
     found = passes[0]
     for other in passes[1:]:
         found = found.unionByName(other)
     # At most one row per document and pass.
-    merged = found.groupBy("_row").agg(
+    merged = found.groupBy(row).agg(
         F.max("n_words").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_list("window_sets"))).alias("window_sets"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
-    rows = docs.join(merged, "_row").drop("_row")
+    rows = docs.join(merged, row).drop(row)
     columns = rows.columns
     at, spans_at = columns.index(text), columns.index("spans")
 
@@ -216,22 +218,26 @@ def find_passages(docs: DataFrame, windows: DataFrame, text: str = "text", with_
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    out = rows.mapInArrow(merge, f"{schema}, n_hit long")
+    out = rows.mapInArrow(in_arrow(merge), f"{schema}, n_hit long")
     return out if with_text else out.drop(text)
 
 
 def items_found(found: DataFrame, windows: DataFrame) -> DataFrame:
     """Adds ``n_items`` and ``items_sha256`` (of the sorted item ids, comma-joined) to rows with ``window_sets``."""
-    rows = materialise(found, "passages").withColumn("_row", F.monotonically_increasing_id())
+    # Documents have few different collections of sets; items are looked up once for each of these.
+    several = F.array_sort(F.array_distinct("window_sets"))
     sets = windows.select("set_id", "items").dropDuplicates(["set_id"])
-    pairs = rows.select("_row", F.explode("window_sets").alias("set_id")).join(sets, "set_id")
-    named = pairs.select("_row", F.explode("items").alias("item")).groupBy("_row").agg(F.collect_set("item").alias("_items"))
-    items = F.coalesce(F.col("_items"), F.array().cast("array<string>"))
+    kinds = found.select(several.alias("own")).filter(F.size("own") > 0).distinct()
+    pairs = kinds.select("own", F.explode("own").alias("set_id")).join(sets, "set_id")
+    own, names = unused_name("own_sets", found.columns), unused_name("item_names", found.columns)
+    named = pairs.select(F.col("own").alias(own), F.explode("items").alias("item")).groupBy(own).agg(F.collect_set("item").alias(names))
+    rows = found.withColumn(own, several)
+    items = F.coalesce(F.col(names), F.array().cast("array<string>"))
     return (
-        rows.join(named, "_row", "left")
+        rows.join(named, own, "left")
         .withColumn("n_items", F.size(items).cast("long"))
         .withColumn("items_sha256", F.sha2(F.array_join(F.array_sort(items), ","), 256))
-        .drop("_row", "_items", "window_sets")
+        .drop(own, names, "window_sets")
     )
 
 

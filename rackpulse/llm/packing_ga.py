@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rackpulse.llm.scope import in_arrow, unused_name
 from rackpulse.llm.token_orc import with_end
 from rackpulse.llm.wordpiece_ids import default_path, encoder
 from rackpulse.session import materialise
@@ -58,7 +59,7 @@ def token_pieces(docs: DataFrame, length: int, end_id: int, path: str | None = N
                 row += len(total)
 
     return docs.select("doc_id", "text").mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        in_arrow(cut), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 
@@ -192,19 +193,19 @@ def pack(pieces: DataFrame, capacity: int, keys: list[str], islands: int = ISLAN
     schema = pieces.schema
     shards = max(1, -(-pieces.count() // SHARD_PIECES))
     # Repeated rows would all hash alike; their place in the written table tells them apart.
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    shard = unused_name("shard", pieces.columns)
+    dealt = pieces.withColumn(shard, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
 
-    def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="_shard").sort_values(keys, kind="stable")
-        table = pa.Table.from_pandas(rows, preserve_index=False)
+    def gather(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns([shard]).sort_by([(k, "ascending") for k in keys])
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as writer:
-            writer.write_table(table)
-        lengths = rows["length"].to_numpy().astype("<i4").tobytes()
-        return pd.DataFrame({"shard": [key[0]], "lengths": [lengths], "rows": [sink.getvalue().to_pybytes()]})
+        with pa.ipc.new_stream(sink, rows.schema) as writer:
+            writer.write_table(rows)
+        lengths = rows.column("length").to_numpy().astype("<i4").tobytes()
+        return pa.table({"shard": [key[0].as_py()], "lengths": pa.array([lengths], pa.binary()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
     gathered = materialise(
-        dealt.repartition(shards, "_shard").groupBy("_shard").applyInPandas(gather, "shard long, lengths binary, rows binary"), "shards"
+        dealt.repartition(shards, shard).groupBy(shard).applyInArrow(gather, "shard long, lengths binary, rows binary"), "shards"
     )
     state = gathered.select(
         "shard", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), "lengths",
@@ -219,18 +220,19 @@ def pack(pieces: DataFrame, capacity: int, keys: list[str], islands: int = ISLAN
     best = evolved.groupBy("shard").agg(F.min_by("island", F.struct("bins", -F.col("spread"), "island")).alias("island"))
     winners = evolved.select("shard", "island", "elite").join(best, ["shard", "island"]).join(gathered.select("shard", "rows"), "shard")
 
-    def lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                rows = pa.ipc.open_stream(r.rows).read_pandas()
-                bin_of = np.frombuffer(r.elite, "<i4").astype(np.int64)
+            for r in batch.to_pylist():
+                rows = pa.ipc.open_stream(r["rows"]).read_all()
+                bin_of = np.frombuffer(r["elite"], "<i4").astype(np.int64)
                 order = np.argsort(bin_of, kind="stable")
-                sizes = rows["length"].to_numpy()[order]
+                sizes = rows.column("length").to_numpy()[order]
                 ends = np.cumsum(sizes)
                 first = np.concatenate(([True], np.diff(bin_of[order]) > 0))
                 base = np.maximum.accumulate(np.where(first, ends - sizes, 0))
-                rows = rows.iloc[order].assign(sequence_id=(np.int64(r.shard) << 32) + bin_of[order], offset=ends - sizes - base)
-                yield rows
+                rows = rows.take(pa.array(order))
+                rows = rows.append_column("sequence_id", pa.array((np.int64(r["shard"]) << 32) + bin_of[order]))
+                yield from rows.append_column("offset", pa.array(ends - sizes - base)).combine_chunks().to_batches()
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return winners.repartition(shards, "shard").mapInPandas(lay_out, f"{out}, sequence_id long, offset long")
+    return winners.repartition(shards, "shard").mapInArrow(in_arrow(lay_out), f"{out}, sequence_id long, offset long")

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rackpulse.llm.scope import in_arrow
+
 ROUNDS = 10
 #: Characters that are permuted as one number: the halves of 64 letters or digits fit into one hash of the network.
 BLOCK = 64
@@ -354,4 +356,4 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", inverse: bool =
             yield pa.record_batch([*arrays, pa.array(spans, kinds)], names=[*columns, "pii_spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "pii_spans")
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, f"{schema}, pii_spans {SPANS}")
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(in_arrow(run), f"{schema}, pii_spans {SPANS}")

@@ -30,19 +30,7 @@ SEARCH_FACTOR = 1.0
 PSEUDONYM_KEY = "corpus-pseudonyms"
 
 
-#: Rows per Arrow batch: texts are long, and a Python worker holds a few copies of a batch.
-BATCH_ROWS = 2_000
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch to BATCH_ROWS, unless they are fewer already."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(setting, "10000")) <= BATCH_ROWS:
-        spark.conf.set(setting, str(BATCH_ROWS))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

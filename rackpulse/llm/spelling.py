@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.scope import WorkTables, give_back
+from rackpulse.llm.scope import WorkTables, in_arrow
 from rackpulse.llm.wordpiece_ids import LOWER
 
 #: Words have at least so many code points and occurrences, and a form has so many times the occurrences of its variant.
@@ -83,7 +83,7 @@ def count_words(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
         yield counted()
 
     rows = docs.select(F.col(key).cast("string").alias("name"), F.col(text).cast("binary").alias("raw"))
-    parts = rows.mapInArrow(lambda batches: give_back(run(batches)), "word string, n long")
+    parts = rows.mapInArrow(in_arrow(run), "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 

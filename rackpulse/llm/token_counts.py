@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rackpulse.llm.scope import in_arrow
 from rackpulse.llm.wordpiece_ids import slices
 
 SPACE_MARK = "▁"
@@ -138,7 +139,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, key: str = "doc_id",
         for batch in batches:
             parts = list(counter.count_column(batch.column(1)))
             sizes = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(sizes)], names=[key, "n_tokens"])
+            yield pa.record_batch([batch.column(0), pa.array(sizes)], names=["key", "n_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).alias("_text")).mapInArrow(count, f"`{key}` {kind}, n_tokens long")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(in_arrow(count), f"key {kind}, n_tokens long")
+    return rows.select(F.col("key").alias(key), "n_tokens")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rackpulse.llm.scope import in_arrow
 from rackpulse.llm.wordpiece_ids import default_path, encoder
 
 FILE_SCHEMA = "doc_id long, part int, offset_in_part long, n_tokens int, ids array<int>"
@@ -71,7 +72,7 @@ def write_tokens(docs: DataFrame, out: str, end_id: int, path: str | None = None
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.mapInArrow(encode, FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(out)
+    ordered.mapInArrow(in_arrow(encode), FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(out)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: Sequence[int] | None = None, between: tuple[int, int] | None = None) -> DataFrame:
@@ -106,7 +107,7 @@ def digest_tokens(spark: SparkSession, path: str) -> DataFrame:
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    digests = rows.mapInArrow(digest, "doc_id long, part int, offset_in_part long, n_tokens long, ids_crc32 long")
+    digests = rows.mapInArrow(in_arrow(digest), "doc_id long, part int, offset_in_part long, n_tokens long, ids_crc32 long")
     return digests.join(bases, "part").select(
         "doc_id", (F.col("base") + F.col("offset_in_part")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -403,16 +403,18 @@ def test_fit_rows_are_bounded_when_a_labelled_id_is_repeated(module, spark, monk
     table = spark.createDataFrame([*rows, (None, "no id", 1), (41, None, 0)], "doc_id long, text string, bad int")
     labels = table.select("doc_id", "bad").unionByName(spark.createDataFrame([(42, 1), (43, 2)], "doc_id long, bad int"))
     seen = {}
-    fit = module.fit
+    name = "fit_bags" if module is toxicity else "fit"
+    fit = getattr(module, name)
 
-    def spy(data, wanted, *rest):
-        seen["rows"], seen["labels"] = [str(d) for d in data], list(wanted)
-        return fit(data, wanted, *rest)
+    def spy(data, *rest):
+        rows = [[data[i] for i in bag] for bag in rest[0]] if module is toxicity else data
+        seen["rows"], seen["labels"] = [str(d) for d in rows], list(rest[-1])
+        return fit(data, *rest)
 
-    monkeypatch.setattr(module, "fit", spy)
+    monkeypatch.setattr(module, name, spy)
     module.fit_on(table, labels, "bad", F.lit(True))
-    # 40 texts and 60 more of id 9; the quality model also takes the null text.
-    assert len(seen["rows"]) == 100 + (module is quality_gam)
+    # 40 texts, 60 more of id 9, and the null text.
+    assert len(seen["rows"]) == 101
     monkeypatch.setattr(module, "FIT_ROWS_PER_CLASS", 15)
     module.fit_on(table, labels, "bad", F.lit(True))
     assert [seen["labels"].count(v) for v in (0, 1)] == [15, 15]
@@ -425,14 +427,116 @@ def test_toxicity_curve_has_the_shares_of_all_usable_labels(spark, monkeypatch):
     table = spark.createDataFrame([(i, f"vile grubnak filth {i}" if i % 9 == 0 else f"a calm sentence {i}", int(i % 9 == 0)) for i in range(180)], "doc_id long, text string, toxic int")
     monkeypatch.setattr(toxicity, "FIT_ROWS_PER_CLASS", 20)
     shifts = []
-    fit = toxicity.fit
+    fit = toxicity.fit_bags
 
-    def spy(texts, labels):
-        model = fit(texts, labels)
+    def spy(*data):
+        model = fit(*data)
         shifts.append(model.shift)
         return model
 
-    monkeypatch.setattr(toxicity, "fit", spy)
+    monkeypatch.setattr(toxicity, "fit_bags", spy)
     model = toxicity.fit_on(table, table.select("doc_id", "toxic"), "toxic", F.lit(True))
     # All 20 toxic labels are used and 20 of the 160 clean ones.
     assert model.shift - shifts[0] == pytest.approx(np.log(20 / 20) - np.log(160 / 20))
+
+
+def test_folded_weights_equal_the_subsequence_kernel():
+    """The function of the landmarks' kernel values, by loops over all triples of places."""
+
+    def kernel(x, y):
+        def parts(unit):
+            found = {}
+            for i in range(len(unit)):
+                for k in range(i + 2, min(i + toxicity.SPAN, len(unit))):
+                    for j in range(i + 1, k):
+                        name = tuple(int(toxicity.CODE[unit[p]]) for p in (i, j, k))
+                        found[name] = found.get(name, 0.0) + toxicity.DECAY ** (k - i + 1)
+            places = [toxicity.DECAY ** (k - i + 1) for i in range(len(unit)) for k in range(i + 2, min(i + toxicity.SPAN, len(unit))) for _ in range(i + 1, k)]
+            return found, float(np.sqrt(sum(p * p for p in places)))
+
+        (a, size), (b, other) = parts(x), parts(y)
+        return sum(v * b.get(name, 0.0) for name, v in a.items()) / (size * other)
+
+    marks = [b"grubnak", b"grxubnak", b"sentence", b"kindly", b"abcabc"]
+    index, used, table, whiten = toxicity._landmark_space(marks)
+    share = np.random.default_rng(2).normal(size=whiten.shape[1])
+    model = toxicity.ToxicityModel(bias=0.25)
+    model.weights[used] = table[:-1] @ (whiten @ share)
+    units = [b"grubnak", b"g.rubnak".replace(b".", b"x"), b"sentences", b"abc", b"zzz", b"grub"]
+    want = [0.25 + float(np.array([kernel(u, m) for m in marks]) @ whiten @ share) for u in units]
+    assert model.margins(units) == pytest.approx(want, abs=1e-4)
+
+
+CLASHING = ["key", "text_", "hash", "label", "row", "row_key", "shard", "node", "own_sets", "item_names", "n_tokens", "items", "_key", "_row", "_shard", "_text", "units", "score"]
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    return docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+
+
+def test_columns_of_other_names_have_no_influence(spark, docs, clashing):
+    windows = decontamination.benchmark_windows(spark.createDataFrame([(1, " ".join(BASE.split()[:12]), "x")], "item_id long, text string, items string"))
+    runs = [
+        lambda d: ngram_join.shingle_components(d),
+        lambda d: token_counts.count_tokens(d),
+        lambda d: token_counts.count_tokens(d.drop("_text").withColumnRenamed("doc_id", "_text"), key="_text"),
+        lambda d: packing_ga.pack(packing_ga.token_pieces(d, 512, end_id=1), 512, ["doc_id", "piece"]).drop("sequence_id", "offset"),
+        lambda d: decontamination.items_found(decontamination.find_passages(d, windows), windows).select("doc_id", "n_hit", "n_items", "items_sha256"),
+        lambda d: ngram_join.keep_one(d).select("doc_id", "text"),
+    ]
+    for run in runs:
+        assert sorted(map(repr, run(clashing).collect())) == sorted(map(repr, run(docs).collect()))
+    kept = ngram_join.keep_one(clashing).first()
+    assert all(kept[c] == f"own {c}" for c in CLASHING)
+    found = decontamination.items_found(decontamination.find_passages(clashing, windows), windows).first()
+    assert all(found[c] == f"own {c}" for c in CLASHING if c != "score") and found["score"] == "own score"
+
+
+def test_packing_keeps_large_ids_beside_nulls_and_any_column(spark):
+    rows = [(2**60 + 1, 0, 3, "a"), (2**60 + 2, 0, 4, "b"), (None, 0, 2, "c"), (None, 1, 5, "d"), (7, 0, 5, None)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, _shard string").withColumn("shard", F.lit("own"))
+    got = packing_ga.pack(pieces, 5, ["doc_id", "piece"])
+    assert sorted(map(repr, (tuple(r)[:4] for r in got.collect()))) == sorted(map(repr, rows))
+    assert {r.shard for r in got.collect()} == {"own"}
+
+
+def test_near_copies_of_one_column_are_all_linked(spark, monkeypatch):
+    """Hundreds of near copies in chains of links, a passage that a third of the rows share, and chunks of long columns."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 16)
+    monkeypatch.setattr(ngram_join, "HUBS", 1)
+    monkeypatch.setattr(ngram_join, "FRUITFUL", 2.0)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 1)
+    sizes = []
+    across = ngram_join._across
+    monkeypatch.setattr(ngram_join, "_across", lambda *a: sizes.append(a[-1]) or across(*a))
+    dice = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(44)]
+    rows = []
+    for i in range(150):
+        # Windows that slide over a long text: neighbours are alike, distant ones are not.
+        at = i % 60
+        rows.append((i, " ".join([f"s{j}" for j in range(at, at + 50)])))
+    for i in range(150, 300):
+        own = list(words)
+        for _ in range(int(dice.integers(0, 4))):
+            own[int(dice.integers(0, len(own)))] = f"x{int(dice.integers(0, 9))}"
+        rows.append((i, " ".join(own)))
+    passage = " ".join(f"p{j}" for j in range(30))
+    rows += [(i, passage + " " + " ".join(f"u{i}v{j}" for j in range(40))) for i in range(300, 400)]
+    got = {r.doc_id: r.component_id for r in ngram_join.shingle_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert got == {i: find(i) for i in sets} and len(sizes) > 1
