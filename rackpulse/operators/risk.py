@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Model, Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -16,13 +18,13 @@ from pyspark.sql import functions as F
 
 from rackpulse.functions.ordered import running_totals
 from rackpulse.operators import evaluation as E
+from rackpulse.operators.boosting import BoostedTrees, HistogramTrees
 from rackpulse.operators.window_features import LABEL
 from rackpulse.session import cut_lineage, use_checkpoints
 
 KEYS = ("window_end_tick", "node_id")
 
-# Classifier settings.
-BOOSTING = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "seed": 42}
+SEED = 42
 CALIBRATION_SHARE = 0.2
 CALIBRATION_ROWS = 10
 SHUFFLE_BLOCK = 1000
@@ -58,8 +60,8 @@ class RiskModel:
         return scored.withColumn(column, inside).drop("raw_score", "_calibrated")
 
 
-def boosted_trees(**overrides) -> GBTClassifier:
-    return GBTClassifier(**{**BOOSTING, **overrides}, labelCol=LABEL, featuresCol="features", weightCol="weight")
+def boosted_trees(**overrides) -> HistogramTrees:
+    return HistogramTrees(**overrides)
 
 
 def logistic(**overrides) -> Pipeline:
@@ -72,7 +74,7 @@ def logistic(**overrides) -> Pipeline:
 
 def forest(**overrides) -> RandomForestClassifier:
     return RandomForestClassifier(
-        labelCol=LABEL, featuresCol="features", weightCol="weight", seed=BOOSTING["seed"], **overrides
+        labelCol=LABEL, featuresCol="features", weightCol="weight", seed=SEED, **overrides
     )
 
 
@@ -87,8 +89,8 @@ def fit(train: DataFrame, features: Sequence[str], estimator=None) -> RiskModel:
 def calibrate(model: RiskModel, rows: DataFrame) -> RiskModel:
     """Isotonic curve from raw score to observed failure share.
 
-    Scores are pooled to four decimals first: the curve is fitted to at most 10,001 weighted points however many rows
-    there are. Too few rows or a single class leave the model uncalibrated.
+    Rows of one score are one weighted point, so the curve is fitted to the distinct scores; Spark's fit brings the pooled
+    blocks of it to the driver. Too few rows or a single class leave the model uncalibrated.
     """
     counts = rows.agg(F.count("*").alias("n"), F.countDistinct(LABEL).alias("classes")).first()
     if counts["n"] < CALIBRATION_ROWS or counts["classes"] < 2:
@@ -121,6 +123,27 @@ def fit_calibrated(train: DataFrame, features: Sequence[str], estimator=None, ho
     return calibrate(fit(body, features, estimator), placed.filter(tail))
 
 
+def _fold_models(folded: DataFrame, features: Sequence[str], n_splits: int, estimator, hold_out: bool) -> list[RiskModel]:
+    """The calibrated models of all folds, grown side by side.
+
+    A fold trains on all rows before its test rows, so one rank over all rows gives every fold's calibration rows.
+    """
+    sizes = {r["test_fold"]: r["count"] for r in folded.groupBy("test_fold").count().collect()}
+    whole = sum(sizes.values())
+    before = [sum(n for test, n in sizes.items() if test < fold) for fold in range(n_splits)]
+    placed = cut_lineage(with_position(folded).withColumn("rank", F.round(F.col("position") * whole)))
+    trains = [F.col("test_fold") < fold for fold in range(n_splits)]
+    tails = [train & (F.col("rank") / F.lit(max(n, 1)) > 1 - CALIBRATION_SHARE) for train, n in zip(trains, before, strict=True)]
+    bodies = [train & ~tail if hold_out else train for train, tail in zip(trains, tails, strict=True)]
+    rates = placed.agg(*[F.coalesce(F.avg(F.when(body, F.col(LABEL).cast("double"))), F.lit(0.0)).alias(f"p{i}") for i, body in enumerate(bodies)]).first()
+    floor = E.RATE_FLOOR
+    rates = [max(p, floor) for p in rates]
+    weights = [F.when(body, F.when(F.col(LABEL) == 1, 1 / p).otherwise(1 / (1 - p + floor))).otherwise(0.0) for body, p in zip(bodies, rates, strict=True)]
+    table = placed.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.col(LABEL).alias("label"), F.array(*weights).alias("weights"))
+    models = estimator.fit_side_by_side(table)
+    return [calibrate(RiskModel(model, list(features)), placed.filter(tail)) for model, tail in zip(models, tails, strict=True)]
+
+
 def cross_validate(
     dataset: DataFrame, features: Sequence[str], n_splits: int = 5, estimator=None, hold_out: bool = True
 ) -> DataFrame:
@@ -130,12 +153,14 @@ def cross_validate(
         r["test_fold"]: r["n"]
         for r in folded.groupBy("test_fold").agg(F.countDistinct(LABEL).alias("n")).collect()
     }
+    chosen = estimator if estimator is not None else boosted_trees()
+    grown = _fold_models(folded, features, n_splits, chosen, hold_out) if hasattr(chosen, "fit_side_by_side") else None
     parts = []
     for fold in range(n_splits):
         train = folded.filter(F.col("test_fold") < fold)
         if classes.get(fold, 0) < 2 or train.select(LABEL).distinct().count() < 2:
             continue
-        model = fit_calibrated(train.drop("test_fold"), features, estimator, hold_out)
+        model = grown[fold] if grown else fit_calibrated(train.drop("test_fold"), features, chosen, hold_out)
         parts.append(
             model.score(folded.filter(F.col("test_fold") == fold)).select(
                 F.lit(fold).alias("fold"), *KEYS, F.col(LABEL).alias("label"), "score"
@@ -251,11 +276,31 @@ def permutation_importance(
     )
 
 
+def _tree_contributions(model: RiskModel, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((model.classifier, model.classifier.paths()))
+
+    @F.pandas_udf("array<double>")
+    def shares(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trees, paths = shared.value
+        for part in values:
+            x = np.array(part.tolist(), float).reshape(len(part), len(trees.edges))
+            yield pd.Series(list(trees.attribution(x, paths)))
+
+    names = F.array(*map(F.lit, model.features))
+    packed = rows.select(*keys, F.array(*[F.col(c).cast("double") for c in model.features]).alias("x"))
+    each = F.arrays_zip(names.alias("feature"), F.col("x").alias("value"), F.col("shares").alias("contribution"))
+    return packed.withColumn("shares", shares("x")).select(*keys, F.inline(each))
+
+
 def contributions(model: RiskModel, rows: DataFrame, background: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Per row and feature: how much the score falls when the feature is reset to its background mean.
+    """Per row and feature its contribution to the score.
 
-    Rows are widened and scored where they are, without an exchange.
+    Boosted trees give Shapley values of the log odds from their paths; with the trees' mean they add up to the margin. Of
+    other models it is how much the score falls when the feature is reset to its background mean. Rows are scored where
+    they are, without an exchange.
     """
+    if isinstance(model.classifier, BoostedTrees):
+        return _tree_contributions(model, rows, keys)
     means = background.agg(F.array(*[F.avg(F.col(c).cast("double")) for c in model.features]).alias("m")).scalar()
     names = F.array(*map(F.lit, model.features))
     packed = rows.select(*keys, F.array(*[F.col(c).cast("double") for c in model.features]).alias("x"))

@@ -52,14 +52,26 @@ def risk_calibrated(spark: SparkSession, sf: str) -> DataFrame:
     return risk.E.fold_summary(risk.fold_metrics(scored))
 
 
+def newest_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of the newest window, whose outcome is not known yet: the one to score."""
+    return materialise(tables.latest_window(dataset_v1(spark, sf)).drop(LABEL), "newest")
+
+
+def scored_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Per window its rows, and whether models learn from it; the last one is the window that gets scored."""
+    rows = dataset_v1(spark, sf).select("window_end_tick", "node_id")
+    known = with_known_labels(rows, enriched_of(spark, sf), HOPS).groupBy("window_end_tick").agg(F.count("*").alias("labelled"))
+    every = rows.groupBy("window_end_tick").agg(F.count("*").alias("windows"))
+    return every.join(known, "window_end_tick", "left").select("window_end_tick", "windows", F.coalesce("labelled", F.lit(0)).alias("labelled"))
+
+
 def top_at_risk(spark: SparkSession, sf: str) -> DataFrame:
-    dataset = stored_v1(spark, sf)
-    return risk.top_at_risk(_model(dataset), tables.latest_window(dataset))
+    return risk.top_at_risk(_model(stored_v1(spark, sf)), newest_window(spark, sf))
 
 
 def risk_attribution(spark: SparkSession, sf: str) -> DataFrame:
     dataset = stored_v1(spark, sf)
-    return risk.explain_rows(_model(dataset), tables.latest_window(dataset), dataset)
+    return risk.explain_rows(_model(dataset), newest_window(spark, sf), dataset)
 
 
 def global_attribution(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,9 +90,9 @@ def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    """Failure risk and anomaly score per node of the latest window."""
+    """Failure risk and anomaly score per node of the newest window."""
     dataset = stored_v1(spark, sf)
-    latest = tables.latest_window(dataset)
+    latest = newest_window(spark, sf)
     failure = _model(dataset).score(latest, "failure_risk_24h").select("node_id", "failure_risk_24h")
     detector = anomaly.train_anomaly_detector(dataset, FEATURES)
     odd = anomaly.anomaly_scores(detector, latest.select("node_id", *FEATURES)).select("node_id", "anomaly_score")
@@ -157,13 +169,12 @@ def registry_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     model = _model(dataset)
     root = work_path(spark, "registry")
     for note in ("first", "second"):
-        registry.register(spark, root, {"classifier": model.classifier}, dataset, FEATURES, note=note)
-    from pyspark.ml.classification import GBTClassificationModel
-
-    loaded = registry.load_latest(spark, root, {"classifier": GBTClassificationModel})
-    again = risk.RiskModel(loaded["models"]["classifier"], loaded["metadata"]["feature_names"])
-    request = tables.scoring_input(tables.latest_window(dataset), again.features, ("node_id",))
-    return again.raw(request).select(F.lit(loaded["version"]).alias("version"), "node_id", "raw_score")
+        registry.register_risk_model(spark, root, model, dataset, note=note)
+    version, again = registry.load_risk_model(spark, root)
+    request = tables.scoring_input(newest_window(spark, sf), again.features, ("node_id",))
+    return again.score(again.raw(request).withColumnRenamed("raw_score", "uncalibrated")).select(
+        F.lit(version).alias("version"), "node_id", F.col("uncalibrated").alias("raw_score"), "score"
+    )
 
 
 def scoring_input(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,6 +210,7 @@ QUERIES = {
     "risk_attribution": risk_attribution,
     "global_attribution": global_attribution,
     "model_split_balance": model_split_balance,
+    "scored_windows": scored_windows,
     "permutation_importance": permutation_importance,
     "model_comparison": model_comparison,
     "batch_scoring": batch_scoring,
@@ -230,6 +242,11 @@ ORACLES = {
 c as (select quantile_cont(window_end_tick::double, 0.7::double) as cut from k)
 select case when window_end_tick <= cut then 'train' else 'test' end as part, count(*) as windows, sum({LABEL}) as failures
 from k, c group by 1""",
+    ),
+    "scored_windows": sql(
+        _V1,
+        f""" select window_end_tick, count(*) as windows,
+  count(*) filter (window_end_tick + {HOPS.horizon} <= (select max(tick) from enriched)) as labelled from v1 group by 1""",
     ),
     "score_normalisation": sql(
         _V1,

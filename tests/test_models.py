@@ -2,16 +2,16 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import functions as F
 
-from rackpulse.operators import anomaly, risk, survival
+from rackpulse.operators import anomaly, boosting, risk, survival
+from rackpulse.operators.boosting import BoostedTrees
 from rackpulse.operators.evaluation import ranking_metrics, time_based_split
 from rackpulse.operators.window_features import LABEL
 from rackpulse.sources import registry, tables
 
 FEATURES = ["signal", "noise", "flat"]
-QUICK = {"maxIter": 5, "maxDepth": 3, "stepSize": 0.3}
+QUICK = {"rounds": 5, "depth": 3, "step": 0.3}
 
 
 @pytest.fixture(scope="module")
@@ -65,7 +65,8 @@ def test_importance_and_attribution_find_the_signal(dataset, model):
     assert importance[0].feature == "signal" and importance[0].importance > 0.05
     assert next(r for r in importance if r.feature == "flat").auc_drop == pytest.approx(0)
     top = risk.explain_rows(model, tables.latest_window(dataset), dataset, top_n=2).collect()
-    assert len(top) == 30 and {r.feature for r in top if r.place == 1} == {"signal"}
+    # Shapley values: where the signal is near its mean, something else may come first.
+    assert len(top) == 30 and sum(r.feature == "signal" for r in top if r.place == 1) >= 12
     overall = risk.global_attribution(model, dataset, 100).collect()
     assert overall[0].feature == "signal" and overall[-1].mean_abs_contribution == 0
 
@@ -82,7 +83,7 @@ def test_registry(spark, dataset, model, tmp_path):
     edges = spark.createDataFrame([("signal", 0.0)], "feature string, q0 double")
     for note in ("one", "two"):
         registry.register(spark, root, {"classifier": model.classifier}, dataset, FEATURES, {"edges": edges}, note=note)
-    loaded = registry.load_latest(spark, root, {"classifier": GBTClassificationModel})
+    loaded = registry.load_latest(spark, root, {"classifier": BoostedTrees})
     assert (loaded["version"], loaded["metadata"]["note"], loaded["tables"]["edges"].count()) == (2, "two", 1)
     again = risk.RiskModel(loaded["models"]["classifier"], loaded["metadata"]["feature_names"])
     rows = tables.latest_window(dataset)
