@@ -173,7 +173,7 @@ def test_registered_model_queries_use_the_operators_defaults(monkeypatch):
 
     from rackpulse.plans import models
 
-    parts = {name: MagicMock(name=name) for name in ("risk", "anomaly", "survival", "tables", "registry", "stored_v1", "work_path")}
+    parts = {name: MagicMock(name=name) for name in ("risk", "anomaly", "survival", "tables", "registry", "stored_v1", "newest_window", "work_path")}
     for name, part in parts.items():
         monkeypatch.setattr(models, name, part)
     monkeypatch.setattr(models, "time_based_split", lambda rows: (rows, rows))
