@@ -22,7 +22,6 @@ SUBSAMPLE = 256
 LOW, HIGH = 0.05, 0.95
 
 TREE = "tree int, node int, feature int, threshold double, depth int, size int"
-HASH_RANGE = 2**40
 
 
 @dataclass
@@ -73,14 +72,21 @@ def _grow(seed: int, limit: int):
 def subsamples(rows: DataFrame, keys: Sequence[str], trees: int, seed: int) -> DataFrame:
     """Rows with the tree they help to grow and their random order in it.
 
-    Every row is offered to every tree with the probability that fills its subsample one and a half times, by hash, so
-    the shuffle moves some hundred rows per tree, however long the table is.
+    The hash of its keys puts a row into one of as many slots as there are rows, one row a slot on average. Every tree draws
+    distinct slots for one and a half subsamples, all of them if there are fewer. The draws are ``trees * 1.5 * SUBSAMPLE``
+    rows at most, whatever the length of the table, and are broadcast: each row is looked up once and only rows that a tree
+    drew leave the scan. The keys must tell rows apart.
     """
-    n = rows.count()
-    pick = F.xxhash64(F.lit(seed), F.col("tree"), *keys)
-    share = int(HASH_RANGE * min(1.0, 1.5 * SUBSAMPLE / max(n, 1)))
-    offered = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("pick", pick)
-    return offered.filter(F.pmod("pick", F.lit(HASH_RANGE)) < share)
+    slots = max(rows.count(), 1)
+    wanted = min(slots, 3 * SUBSAMPLE // 2)
+    rng = np.random.default_rng([seed, trees])
+    drawn = pd.DataFrame(
+        {"tree": np.repeat(np.arange(trees, dtype=np.int32), wanted),
+         "slot": np.concatenate([rng.choice(slots, wanted, replace=False) for _ in range(trees)])}
+    )
+    draws = F.broadcast(rows.sparkSession.createDataFrame(drawn, "tree int, slot long"))
+    placed = rows.withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(slots)))
+    return placed.join(draws, "slot").drop("slot").withColumn("pick", F.xxhash64(F.lit(seed), F.col("tree"), *keys))
 
 
 def train_anomaly_detector(

@@ -5,6 +5,8 @@ Model fits have no SQL counterpart; the derived closed forms (hazard curve on gi
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +15,15 @@ from rackpulse.functions.ordered import exact_quantiles
 from rackpulse.operators import anomaly, risk, survival
 from rackpulse.operators.evaluation import rolling_folds, time_based_split
 from rackpulse.operators.window_features import LABEL, V1_FEATURES, with_known_labels
+from rackpulse.operators.topology import node_name
+from rackpulse.plans import adapters as A
 from rackpulse.plans.correlation import enriched_of
 from rackpulse.plans.ctes import ENRICHED, METRICS, sql
 from rackpulse.plans.evaluation import survival_rows
 from rackpulse.plans.features import _AHEAD, _BACK, _BOTH_TOP, _V1, HOPS, _ends, dataset_v1, dataset_v2
 from rackpulse.plans.kpi import rounded
 from rackpulse.session import materialise, work_path
-from rackpulse.sources import registry, tables
+from rackpulse.sources import node_table, registry, tables
 
 FEATURES = list(V1_FEATURES)
 COX_FEATURES = ["risk", "l_discount", "l_tax"]
@@ -192,6 +196,15 @@ def latest_window(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def node_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """For every order, the newest window of the node with the customer's number; many customers have no node."""
+    name = f"latest_{uuid.uuid4().hex}"
+    node_table.save(tables.latest_window(dataset_v1(spark, sf)), name, work_path(spark, "node-table"))
+    requests = A.table(spark, sf, "orders").select("o_orderkey", node_name(F.col("o_custkey")).alias("node_id"))
+    columns = ["window_end_tick", "n_thermal_throttle", "util_mean"]
+    return rounded(node_table.look_up(spark.table(name), requests, columns), 6, "util_mean")
+
+
 def fold_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Training and test rows with the class balance of every rolling fold."""
     folded = rolling_folds(dataset_v1(spark, sf).select("window_end_tick", "node_id", LABEL), 3)
@@ -225,6 +238,7 @@ QUERIES = {
     "registry_round_trip": registry_round_trip,
     "scoring_input": scoring_input,
     "latest_window": latest_window,
+    "node_lookup": node_lookup,
     "fold_sizes": fold_sizes,
 }
 
@@ -280,6 +294,13 @@ from s group by 1, 2""",
         "select node_id, window_end_tick, n_thermal_throttle, failed_next_24h from v1"
         " where window_end_tick = (select max(window_end_tick) from v1)",
     ),
+    "node_lookup": sql(
+        _V1,
+        """, w as (select * from v1 where window_end_tick = (select max(window_end_tick) from v1))
+select o_orderkey, format('node-{:04d}', o_custkey) as node_id, w.node_id is not null as found, window_end_tick,
+  n_thermal_throttle, round(util_mean, 6) as util_mean
+from orders left join w on w.node_id = format('node-{:04d}', o_custkey)""",
+    ),
     "fold_sizes": sql(
         _V1,
         """, r as (select failed_next_24h as y, row_number() over (order by window_end_tick, node_id) - 1 as i, count(*) over () as n from v1),

@@ -186,3 +186,16 @@ def test_registered_model_queries_use_the_operators_defaults(monkeypatch):
     assert not given.compare_models.call_args.kwargs and len(given.compare_models.call_args.args) == 3
     assert all(not c.kwargs and len(c.args) == 2 for c in parts["anomaly"].train_anomaly_detector.call_args_list)
     assert list(parts["survival"].train_survival.call_args.args[1]) == models.FEATURES
+
+
+def test_trees_draw_different_rows_and_all_of_a_short_table(spark):
+    rows = spark.range(100).select(F.col("id").alias("k"), F.array(F.col("id").cast("double")).alias("x"))
+    assert {r["count"] for r in anomaly.subsamples(rows, ["k"], 5, 1).groupBy("tree").count().collect()} == {100}
+    rows = spark.range(50_000).select(F.col("id").alias("k"), F.array(F.col("id").cast("double")).alias("x"))
+    sample = anomaly.subsamples(rows, ["k"], 40, 1)
+    taken = sample.toPandas()
+    assert list(taken.columns) == ["k", "x", "tree", "pick"] and not taken.duplicated(["tree", "k"]).any()
+    assert taken["k"].nunique() > 0.8 * len(taken)
+    again = anomaly.subsamples(rows.repartition(7), ["k"], 40, 1).toPandas()
+    assert set(zip(again["tree"], again["k"])) == set(zip(taken["tree"], taken["k"]))
+    assert anomaly.subsamples(rows.limit(0), ["k"], 5, 1).count() == 0

@@ -146,3 +146,24 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     c = spark.createDataFrame([(2, "y"), (1, "z")], "i int, s string")
     assert drift.fingerprint(a).first() == drift.fingerprint(b).first()
     assert drift.fingerprint(a).first() != drift.fingerprint(c).first()
+
+
+@pytest.mark.parametrize("partitions", [4, 60])
+def test_quantiles_by_selection_with_a_dominant_value_and_null_groups(spark, partitions):
+    rng = np.random.default_rng(5)
+    groups = {"hot": np.concatenate([np.full(4000, 0.5), rng.normal(size=3000)]), None: rng.normal(size=501), "one": np.array([3.0])}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("hot", None), ("empty", None)]
+    probabilities = [0.0, 0.1, 0.333, 0.5, 0.95, 1.0]
+    df = spark.createDataFrame(rows, "g string, x double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = {r.g: r.quantiles for r in exact_quantiles(df, "x", probabilities, by=["g"]).collect()}
+        whole = exact_quantiles(df, "x", probabilities).first().quantiles
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got.keys() == groups.keys()
+    for g, values in groups.items():
+        assert got[g] == pytest.approx(list(np.quantile(values, probabilities)))
+    assert whole == pytest.approx(list(np.quantile(np.concatenate(list(groups.values())), probabilities)))
+    assert exact_quantiles(df.limit(0), "x", [0.5], by=["g"]).count() == 0
