@@ -31,7 +31,7 @@ def bucket_count(df: DataFrame) -> int:
 def bucket_edges(keys: DataFrame, order: Sequence[str], buckets: int) -> list[tuple]:
     """Upper bounds of evenly filled buckets, from the keys whose hash falls below a threshold.
 
-    Repeated keys are collected once, so the driver receives about ``buckets * SAMPLES_PER_BUCKET`` of them at most,
+    Keys are distinct, so their hashes are even: the driver receives about ``buckets * SAMPLES_PER_BUCKET`` of them,
     however long the table is.
     """
     share = min(1.0, buckets * SAMPLES_PER_BUCKET / max(keys.count(), 1))
@@ -39,7 +39,6 @@ def bucket_edges(keys: DataFrame, order: Sequence[str], buckets: int) -> list[tu
         keys.select(*order)
         .na.drop()
         .filter(F.pmod(F.xxhash64(*order), F.lit(HASH_RANGE)) < max(1, int(share * HASH_RANGE)))
-        .distinct()
         .collect()
     )
     ordered = sorted(tuple(row) for row in sample)
@@ -109,36 +108,29 @@ def running_totals(
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Linearly interpolated quantiles, one array column ``quantiles`` per group; groups without values have no row.
+    """Linearly interpolated quantiles, one array column ``quantiles`` per group.
 
-    Ranks are found by selection: bucket totals say which buckets hold a wanted rank, and only the rows of those buckets are
-    grouped and ranked. All other rows are counted where they lie. Unlike with the built-in exact percentile, no task holds
-    all distinct values of a group. NaN counts as the largest value.
+    Unlike the built-in exact percentile, no task holds all distinct values of a group. Rows without a group name form a group;
+    groups without values have no row.
     """
-    values = cut_lineage(df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")))
-    keys = [*by, "_v"]
-    bucketed = with_bucket(values, keys, bucket_edges(values.filter(~F.isnan("_v")), keys, bucket_count(df)))
-    # At most `buckets` rows per group.
-    group = W.partitionBy(*by)
-    earlier = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = (
-        bucketed.groupBy(*by, "_bucket")
+    cells = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
-        .withColumns({"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_size": F.sum("_n").over(group)})
     )
+    ranked = running_totals(cells, ["_v"], ["_n"], by)
+    sizes = cells.groupBy(*by).agg(F.sum("_n").alias("_size")) if by else cells.agg(F.sum("_n").alias("_size"))
+    if by:
+        # One row per group; the ranked cells of a group may be many, so only the small side is told apart by key.
+        sizes = sizes.withColumnsRenamed({c: f"_k_{c}" for c in by})
+        same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
+        ranked = ranked.join(sizes, same).drop(*[f"_k_{c}" for c in by])
+    else:
+        ranked = ranked.withColumn("_size", sizes.scalar())
     at = [F.lit(float(p)) * (F.col("_size") - 1) for p in probabilities]
-    ranks = F.array(*[rank(h) for h in at for rank in (F.floor, F.ceil)])
-    holding = totals.filter(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))))
-    holding = holding.select(
-        *[F.col(c).alias(f"_k_{c}") for c in by], F.col("_bucket").alias("_k_bucket"), "_before", "_size"
-    )
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by] + [F.col("_bucket") == F.col("_k_bucket")]
-    cells = bucketed.join(holding, same).groupBy(*by, "_bucket", "_before", "_size", "_v").agg(F.count("*").alias("_n"))
-    inside = W.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = cells.withColumn("_upto", F.sum("_n").over(inside) + F.col("_before"))
 
     def reach(position: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > position, F.col("_v")))
+        return F.min(F.when(F.col("cum__n") > position, F.col("_v")))
 
     picks = [F.struct(reach(F.floor(h)).alias("lo"), reach(F.ceil(h)).alias("hi")) for h in at]
     shares = [F.max(h - F.floor(h)) for h in at]

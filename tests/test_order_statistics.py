@@ -149,7 +149,7 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
 
 
 @pytest.mark.parametrize("partitions", [4, 60])
-def test_quantiles_by_selection_with_a_dominant_value_and_null_groups(spark, partitions):
+def test_quantiles_with_a_dominant_value_and_null_groups(spark, partitions):
     rng = np.random.default_rng(5)
     groups = {"hot": np.concatenate([np.full(4000, 0.5), rng.normal(size=3000)]), None: rng.normal(size=501), "one": np.array([3.0])}
     rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("hot", None), ("empty", None)]
