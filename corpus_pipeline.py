@@ -2,7 +2,7 @@
 
 Every stage takes the documents that its predecessor kept, as they were written, and returns documents again; the last one
 returns the packing of their tokens. A null text is scored and packed like an empty one and is never a copy; a null id is an
-id like any other; of repeated rows one stays. Columns other than those of documents are dropped. No documents give no rows.
+id like any other; of repeated rows with words one stays. Columns other than those of documents are dropped. No documents give no rows.
 """
 
 from __future__ import annotations
