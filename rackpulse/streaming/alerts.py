@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from rackpulse.functions.columns import floor_div
 from rackpulse.operators.topology import enrich_with_topology
 from rackpulse.schemas import SECONDS_PER_TICK, TOPOLOGY
 
+#: Groups of (kind, target) keys. A group is one state row and one call, so many keys cost few calls.
+SHARDS = 4096
+
 ROW = ("event_id", "tick", "kind", "scope", "target", "severity", "benign", "parent_event_id")
 
 
@@ -22,29 +26,34 @@ def aligned(origin_seconds: int, every_seconds: int) -> str:
 
 
 class KeepRule(StatefulProcessor):
-    """Per (kind, target): last kept tick. Cells arrive after the watermark, so a later batch only holds later ticks."""
+    """Per shard of (kind, target) keys: their last kept ticks. Cells arrive after the watermark, so a later batch only holds later
+    ticks, and a key that fell behind by more than the window needs no state."""
 
     def __init__(self, window_ticks: int):
         self.window_ticks = window_ticks
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "tick long")
+        self.last = handle.getValueState("last", "kinds array<string>, targets array<string>, ticks array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
-        cells = pd.concat(rows).sort_values("tick")
-        last = self.last.get()[0] if self.last.exists() else None
+        cells = pd.concat(rows)
+        kinds, targets, ticks = self.last.get() or ([], [], [])
+        last = dict(zip(zip(kinds, targets, strict=True), ticks, strict=True))
+        cells = cells.iloc[np.argsort(cells["tick"].to_numpy(), kind="stable")]
         kept = []
-        for position, (tick, critical, severity) in enumerate(
-            zip(cells["tick"], cells["critical"], cells["severity"], strict=True)
+        for position, (kind, target, tick, critical, severity) in enumerate(
+            zip(*[cells[c].tolist() for c in ("kind", "target", "tick", "critical", "severity")], strict=True)
         ):
-            survives = severity != "critical" and (last is None or tick - last > self.window_ticks)
+            before = last.get((kind, target))
+            survives = severity != "critical" and (before is None or tick - before > self.window_ticks)
             if survives:
                 kept.append(position)
             if survives or critical:
-                last = int(tick)
-        if last is not None:
-            self.last.update((last,))
-        yield cells.iloc[kept].drop(columns="critical")
+                last[kind, target] = tick
+        open_until = tick - self.window_ticks
+        held = [(*name, int(at)) for name, at in last.items() if at >= open_until]
+        self.last.update(tuple([row[i] for row in held] for i in range(3)))
+        yield cells.iloc[kept].drop(columns=["critical", "shard"])
 
     def close(self) -> None:
         pass
@@ -55,7 +64,8 @@ def dedupe_stream(events: DataFrame, window_ticks: int = 5, delay: str = "10 min
 
     As in the batch form critical events pass through, and the others are reduced to the first row of each
     (kind, target, tick) by a watermarked aggregate before the keyed state sees them. A busy key therefore costs its
-    state operator one row per tick.
+    state operator one row per tick. Keys are dealt to shards by hash: Python is called once per shard and batch, not
+    once per key.
     """
     columns = [c for c in ROW if c in events.columns]
     timed = events.withWatermark("ts", delay)
@@ -66,9 +76,10 @@ def dedupe_stream(events: DataFrame, window_ticks: int = 5, delay: str = "10 min
             F.bool_or(F.col("severity") == "critical").alias("critical"),
         )
         .select("first.*", "critical")
+        .withColumn("shard", F.pmod(F.xxhash64("kind", "target"), F.lit(SHARDS)))
     )
-    schema = cells.drop("critical").schema
-    kept = cells.groupBy("kind", "target").transformWithStateInPandas(
+    schema = cells.drop("critical", "shard").schema
+    kept = cells.groupBy("shard").transformWithStateInPandas(
         statefulProcessor=KeepRule(window_ticks), outputStructType=schema, outputMode="append", timeMode="none"
     )
     return kept.select(*columns).unionByName(events.filter(F.col("severity") == "critical").select(*columns))

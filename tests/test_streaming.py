@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from rackpulse.operators import correlation as C
@@ -47,6 +49,41 @@ def test_dedupe_over_several_batches_equals_the_batch_form(spark, tmp_path):
     assert got == sorted(r.event_id for r in batch.collect())
 
 
+class HeldValue:
+    value = None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_one_call_keeps_the_rule_for_many_keys_and_holds_open_ones_only():
+    state = HeldValue()
+    rule = alerts.KeepRule(7)
+    rule.init(SimpleNamespace(getValueState=lambda name, schema: state))
+    rng = random.Random(5)
+    names = [("a", "x"), ("a", None), (None, "x"), ("b", "x"), ("b", "y")]
+    cells = [(*rng.choice(names), tick, rng.choice([True, False, None]), rng.choice(["info", None, "critical"])) for tick in range(200) for _ in range(2)]
+    cells = list({c[:3]: c for c in cells}.values()) + [("end", "end", 900, False, "info")]
+    want, last = [], {}
+    for kind, target, tick, critical, severity in cells:
+        before = last.get((kind, target))
+        survives = severity != "critical" and (before is None or tick - before > 7)
+        want += [(kind, target, tick)] * survives
+        if survives or critical:
+            last[kind, target] = tick
+    got = []
+    for part in (cells[:90], cells[90:91], cells[91:-1], cells[-1:]):
+        frame = pd.DataFrame(rng.sample(part, len(part)), columns=["kind", "target", "tick", "critical", "severity"]).assign(shard=3)
+        for out in rule.handleInputRows((3,), iter([frame.iloc[:40], frame.iloc[40:]]), None):
+            assert list(out.columns) == ["kind", "target", "tick", "severity"]
+            got += out[["kind", "target", "tick"]].itertuples(index=False, name=None)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert state.value == (["end"], ["end"], [900])
+
+
 def test_bursts_close_with_the_watermark_and_late_rows_are_dropped(spark, tmp_path, fleet):
     folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
 
