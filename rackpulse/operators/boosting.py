@@ -4,10 +4,11 @@
   it is missing. The matrix of
   bytes is written once, in blocks of rows.
 * Each level of all models' current trees takes one job. A task adds up gradients, hessians and rows per (model, node,
-  feature, bin) over its blocks; the sums meet in a tree of partial results, whose size depends on models, nodes and
-  features but never on the rows. Of two siblings only the one with fewer rows is added up, the other is the difference
-  to their parent.
-* The driver picks the splits from the sums. Margins stay with the blocks and are checkpointed every few rounds.
+  feature, bin) over its blocks; the tasks' sums of a node meet by a shuffle, in the order of the tasks, and stay on the
+  executors. Of two siblings only the one with fewer rows is added up, the other is the difference to their parent.
+* The best split of a node is picked where its sums are, and the driver gets a row per model and node. Nodes of the last
+  level need no split, so only one feature is added up for them. Margins stay with the blocks and are checkpointed every
+  few rounds.
 
 Folds of a cross-validation and other settings of the rows' weights are models of one run, so that they share its jobs.
 """
@@ -31,10 +32,10 @@ from rackpulse.session import materialise, use_checkpoints
 
 # Settings of the published classifier.
 ROUNDS, DEPTH, STEP, L2, LEAST_ROWS, BINS = 200, 6, 0.05, 1.0, 20, 255
-#: Rounds between checkpoints of the margins, and partitions whose sums the driver adds up itself.
-CHECKPOINT_ROUNDS, FEW_PARTITIONS = 25, 32
-#: Rows of a block.
-BLOCK_ROWS = 65_536
+#: Rounds between checkpoints of the margins.
+CHECKPOINT_ROUNDS = 25
+#: Rows of a block, and blocks a task takes once every core has a task.
+BLOCK_ROWS, TASK_BLOCKS = 65_536, 64
 #: Smallest hessian of a leaf and smallest gain of a split.
 LEAST_HESSIAN, LEAST_GAIN = 1e-3, 1e-9
 
@@ -240,16 +241,28 @@ def _unpack(row) -> tuple:
     return np.frombuffer(row["bins"], np.uint8).reshape(-1, row["n"]), label, weights, np.zeros(weights.shape)
 
 
-def _sums(blocks: Iterator[tuple], trees: list[Tree], slots: np.ndarray, level: int, bins: int) -> Iterator[np.ndarray]:
-    """One array (slot, feature, bin, 3) for the partition: gradients, hessians and rows.
-
-    ``slots`` gives the slot of (model, node), or -1.
-    """
-    total = None
-    count = int(slots.max()) + 1
+@dataclass
+class Split:
+    """What the driver learns of a node: its gradients, its hessians and its split, if it has one."""
+
+    model: int
+    node: int
+    gradient: float
+    hessian: float
+    feature: int = -1
+    bin: int = 0
+    #: The child with fewer rows.
+    fewer: int = 0
+
+
+def _sums(part: int, blocks: Iterator[tuple], trees: list[Tree], wanted: list[tuple[int, int]], level: int, widths: list[int]) -> Iterator[tuple]:
+    """Rows ((model, node), (part, sums)) of a task: gradients, hessians and rows, of all features' bins side by side."""
+    slots = np.full((len(trees), len(trees[0].feature)), -1, np.int32)
+    for slot, (m, node) in enumerate(wanted):
+        slots[m, node] = slot
+    starts = np.concatenate(([0], np.cumsum(widths)))
+    total = np.zeros((3, len(wanted), starts[-1]))
     for matrix, label, weights, margins in blocks:
-        if total is None:
-            total = np.zeros((count, len(matrix), bins, 3))
         for m, tree in enumerate(trees):
             if slots[m].max() < 0:
                 continue
@@ -260,13 +273,53 @@ def _sums(blocks: Iterator[tuple], trees: list[Tree], slots: np.ndarray, level:
             p = 1 / (1 + np.exp(-margins[m, own]))
             w = weights[m, own]
             gradient, hessian = w * (p - label[own]), w * p * (1 - p)
-            base = slot[own].astype(np.int64) * bins
-            for f in range(len(matrix)):
-                cell = base + matrix[f, own]
+            first, last = int(slots[m][slots[m] >= 0].min()), int(slots[m].max()) + 1
+            base = slot[own].astype(np.int64) - first
+            for f, width in enumerate(widths):
+                cell = base * width + matrix[f, own]
                 for i, values in enumerate((gradient, hessian, None)):
-                    total[:, f, :, i] += np.bincount(cell, values, minlength=count * bins).reshape(count, bins)
-    if total is not None:
-        yield total
+                    total[i, first:last, starts[f] : starts[f + 1]] += np.bincount(cell, values, minlength=(last - first) * width).reshape(-1, width)
+    for slot, key in enumerate(wanted):
+        if total[2, slot].any():
+            yield key, (part, total[:, slot].copy())
+
+
+def _met(rows: Iterator[tuple], widths: list[int], last: bool, l2: float, least_rows: int) -> Iterator[tuple[Split, np.ndarray | None]]:
+    """The nodes of one reducer, siblings included, with their splits and, where they are split, their sums.
+
+    The sums of a node's parent come along under the node's key, as part -1.
+    """
+    held: dict[tuple[int, int], list] = {}
+    for key, own in rows:
+        held.setdefault(key, []).append(own)
+    for (m, node), found in held.items():
+        # A fixed order, so that equal runs give equal sums.
+        found.sort(key=lambda own: own[0])
+        whole = found.pop(0)[1] if found[0][0] < 0 else None
+        total = np.zeros((3, sum(widths)))
+        for _, own in found:
+            total += own
+        nodes = [(node, total)]
+        if whole is not None:
+            nodes.append((node + 1 if node % 2 else node - 1, whole - total))
+        for at, sums in nodes:
+            split = _split(m, at, sums, widths, last, l2, least_rows)
+            yield split, (sums if split.feature >= 0 else None)
+
+
+def _split(model: int, node: int, sums: np.ndarray, widths: list[int], last: bool, l2: float, least_rows: int) -> Split:
+    square = np.zeros((len(widths), max(widths), 3))
+    for f, end in enumerate(np.cumsum(widths)):
+        square[f, : widths[f]] = sums[:, end - widths[f] : end].T
+    g, h, rows = square[0].sum(axis=0)
+    split = Split(model, node, float(g), float(h))
+    if last:
+        return split
+    gain, feature, at = _best_split(square, l2, least_rows)
+    if gain > LEAST_GAIN:
+        left = square[feature, : at + 1, 2].sum()
+        split.feature, split.bin, split.fewer = feature, at, 2 * node + (1 if 2 * left <= rows else 2)
+    return split
 
 
 def _moved(block: tuple, trees: list[Tree], depth: int) -> tuple:
@@ -323,13 +376,16 @@ class HistogramTrees:
             alive[m] = whole > 0 and 0 < share < 1
             share = min(max(share, 1e-6), 1 - 1e-6)
             odds[m] = np.log(share / (1 - share))
-        state = packed.rdd.map(_unpack).map(lambda b: (*b[:3], b[3] + odds[:, None])).persist(StorageLevel.MEMORY_AND_DISK)
+        widths = [len(own) + 2 for own in edges]
+        tasks = max(spark.sparkContext.defaultParallelism, (packed.agg(F.sum("n")).first()[0] or 0) // (TASK_BLOCKS * BLOCK_ROWS))
+        blocks = packed.rdd if packed.rdd.getNumPartitions() <= tasks else packed.rdd.coalesce(tasks)
+        state = blocks.map(_unpack).map(lambda b: (*b[:3], b[3] + odds[:, None])).persist(StorageLevel.MEMORY_AND_DISK)
         grown: list[list[Tree]] = [[] for _ in range(models)]
         old = None
         for number in range(self.rounds):
             if not alive.any():
                 break
-            trees = self._round(state, alive)
+            trees = self._round(state, alive, widths)
             if old is not None:
                 old.unpersist()
             for m in np.flatnonzero(alive):
@@ -344,42 +400,41 @@ class HistogramTrees:
                 held.unpersist()
         return [BoostedTrees(edges, grown[m], float(odds[m]), self.depth) for m in range(models)]
 
-    def _round(self, state, alive: np.ndarray) -> list[Tree]:
+    def _round(self, state, alive: np.ndarray, widths: list[int]) -> list[Tree]:
         """The next tree of every model that is alive; the others get a tree of one empty leaf."""
         trees = [Tree.leaf(self.depth) for _ in alive]
-        known: dict[tuple[int, int], np.ndarray] = {}
         wanted = [(m, 0) for m in np.flatnonzero(alive).tolist()]
-        derived: list[tuple[int, int, int]] = []
+        known = None
         for level in range(self.depth + 1):
             if not wanted:
                 break
-            known |= self._add_up(state, trees, wanted, level)
-            for m, parent, sibling in derived:
-                other = sibling + 1 if sibling % 2 else sibling - 1
-                known[m, other] = known[m, parent] - known[m, sibling]
-            nodes = [*wanted, *[(m, s + 1 if s % 2 else s - 1) for m, _, s in derived]]
-            wanted, derived = [], []
-            for m, node in nodes:
-                sums = known[m, node]
-                g, h, _ = sums[0].sum(axis=0)
-                trees[m].value[node] = -self.step * g / (h + self.l2 + 1e-300)
-                trees[m].cover[node] = h
-                if level == self.depth:
-                    continue
-                gain, feature, at = _best_split(sums, self.l2, self.least_rows)
-                if gain > LEAST_GAIN:
-                    trees[m].feature[node], trees[m].bin[node] = feature, at
-                    left = sums[feature, : at + 1, 2].sum()
-                    fewer = 2 * node + (1 if 2 * left <= sums[feature, :, 2].sum() else 2)
-                    wanted.append((m, fewer))
-                    derived.append((m, node, fewer))
+            nodes = self._level(state, known, trees, wanted, level, widths)
+            splits = nodes.keys().collect()
+            if known is not None:
+                known.unpersist()
+            known, wanted = nodes, []
+            for split in splits:
+                m, node = split.model, split.node
+                trees[m].value[node] = -self.step * split.gradient / (split.hessian + self.l2 + 1e-300)
+                trees[m].cover[node] = split.hessian
+                if split.feature >= 0:
+                    trees[m].feature[node], trees[m].bin[node] = split.feature, split.bin
+                    wanted.append((m, split.fewer))
+            wanted.sort()
+        if known is not None:
+            known.unpersist()
         return trees
 
-    def _add_up(self, state, trees: list[Tree], wanted: list[tuple[int, int]], level: int) -> dict:
-        slots = np.full((len(trees), (2 << self.depth) - 1), -1, np.int32)
-        for slot, (m, node) in enumerate(wanted):
-            slots[m, node] = slot
-        bins = self.bins
-        parts = state.mapPartitions(lambda blocks: _sums(blocks, trees, slots, level, bins))
-        total = parts.treeReduce(np.add, depth=1 if parts.getNumPartitions() <= FEW_PARTITIONS else 2)
-        return {key: total[slot] for slot, key in enumerate(wanted)}
+    def _level(self, state, known, trees: list[Tree], wanted: list[tuple[int, int]], level: int, widths: list[int]):
+        """(split, sums) of the wanted nodes and, below the root, of their siblings."""
+        l2, least_rows, last = self.l2, self.least_rows, level == self.depth
+        if last:
+            widths = widths[:1]
+        rows = state.mapPartitionsWithIndex(lambda part, blocks: _sums(part, blocks, trees, wanted, level, widths))
+        if known is not None:
+            size = sum(widths)
+            parents = known.filter(lambda n: n[1] is not None).map(lambda n: ((n[0].model, n[0].fewer), (-1, n[1][:, :size])))
+            rows = rows.union(parents)
+        place = {key: i for i, key in enumerate(wanted)}
+        dealt = rows.partitionBy(min(len(wanted), state.getNumPartitions()), lambda key: place[key])
+        return dealt.mapPartitions(lambda own: _met(own, widths, last, l2, least_rows)).persist(StorageLevel.MEMORY_AND_DISK)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from itertools import combinations
 from math import factorial
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from rackpulse.operators import boosting, risk
@@ -98,6 +100,25 @@ order by round(gl * gl / (hl + {l2}) + (g - gl) * (g - gl) / (h - hl + {l2}) - g
     assert tree.value[1:3] == pytest.approx([left, right], abs=1e-9)
 
 
+@pytest.mark.parametrize("parts", [2, 6])
+def test_driver_gets_a_row_per_node_however_many_features_bins_and_tasks(spark, data, monkeypatch, parts):
+    x, y = data
+    wide = np.concatenate([x + i for i in range(8)], axis=1)
+    received = []
+    collect = RDD.collect
+
+    def spy(self):
+        found = collect(self)
+        received.append(len(pickle.dumps(found)))
+        return found
+
+    monkeypatch.setattr(RDD, "collect", spy)
+    rows = table(spark, wide, y, np.ones((600, 2))).repartition(parts)
+    HistogramTrees(rounds=1, depth=3, least_rows=5, step=0.3).fit_side_by_side(rows)
+    # Two models of at most 15 nodes each, in four jobs; the sums of one node alone are over 10,000 bytes.
+    assert len(received) == 4 and sum(received) < 10_000
+
+
 def test_missing_values_one_class_and_no_rows(spark, data):
     x, y = data[0].copy(), data[1]
     x[::7, 0] = np.nan
