@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackpulse.llm.link_components import link_components
-from rackpulse.llm.scope import WorkTables, in_arrow, unused_name
+from rackpulse.llm.scope import WorkTables, give_back, in_arrow, unused_name
 from rackpulse.llm.wordpiece_ids import LOWER, flat_bytes, slices
 
 WORDS, PERCENT = 5, 75
@@ -48,6 +48,8 @@ HUBS, FRUITFUL = 8, 0.15
 PARTNERS, CHUNK = 64, 4096
 #: Times that the bitmaps for comparisons inside the blocks are wider than those that travel with pairs.
 WIDER = 4
+#: Pairs that a task holds before it compares their bitmaps, and bytes of bitmaps that it compares at a time.
+HELD_PAIRS, COMPARED = 200_000, 16 << 20
 #: Entries that a task packs at a time.
 PACKED_ENTRIES = 250_000
 ENTRY = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("size", "<u4"), ("place", "<u4")])
@@ -304,7 +306,7 @@ def _differences(signatures: list[bytes], left: np.ndarray, right: np.ndarray) -
     for pair in np.unique(pairs).tolist():
         wide, other = divmod(pair, 1 << 32)
         some = np.flatnonzero(pairs == pair)
-        for part in np.array_split(some, len(some) * max(wide, other) // (64 << 20) + 1):
+        for part in np.array_split(some, len(some) * max(wide, other) // COMPARED + 1):
             x, y = tables[wide][place[left[part]]], tables[other][place[right[part]]]
             while x.shape[1] > y.shape[1]:
                 x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
@@ -326,20 +328,81 @@ def _best(pairs: np.ndarray, unlike: np.ndarray, partners: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def _across(open_: DataFrame, owners: DataFrame, percent: int, blocks: int, partners: int) -> DataFrame:
+def _diagonals(block: pa.Table, apart: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a column in different components that their places allow; ``block`` is in the order of its columns.
+
+    They come diagonal by diagonal, so at most one pair per row at a time.
+    """
+    column, size, place, component, chunk = (block.column(c).to_numpy() for c in ("column", "size", "place", "component", "chunk"))
+    ends = np.searchsorted(column, column, side="right")
+    alive, step = np.arange(len(column)), 1
+    while True:
+        alive = alive[alive + step < ends[alive]]
+        if not len(alive):
+            return
+        a, b = alive, alive + step
+        asked = -(-(size[a] + size[b]) * percent // (100 + percent))
+        some = (component[a] != component[b]) & (size[a] - place[a] >= asked) & (size[b] - place[b] >= asked)
+        if apart:
+            some &= chunk[a] != chunk[b]
+        yield a[some], b[some]
+        step += 1
+
+
+def _in_order(block: pa.Table) -> pa.Table:
+    return block.take(pa.array(np.lexsort((block.column("node").to_numpy(), block.column("column").to_numpy()))))
+
+
+def _possible(open_: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """The open rows that have a partner in their column as far as places tell, by block, with the column's ``lead``.
+
+    The lead is one of the column's nodes, the same one in most columns of a group of similar sets.
+    """
+
+    def choose(key: tuple, block: pa.Table) -> pa.Table:
+        block = _in_order(block)
+        met = np.zeros(len(block), bool)
+        for a, b in _diagonals(block, key[1].as_py() != key[2].as_py(), percent):
+            met[a] = met[b] = True
+            if met.all():
+                break
+        block = block.filter(pa.array(met))
+        column, node = (block.column(c).to_numpy() for c in ("column", "node"))
+        lead = np.zeros(len(column), np.int64)
+        if len(column):
+            first = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
+            least = np.minimum.reduceat(_mix(node.astype(np.uint64)), first).astype(np.int64)
+            lead = np.repeat(least, np.diff(np.concatenate((first, [len(column)]))))
+        return block.append_column("lead", pa.array(lead))
+
+    chunks = F.ceil(F.col("rows") / F.lit(CHUNK)).cast("int")
+    chunk = F.pmod(F.xxhash64("node", F.lit(1)), chunks).cast("int")
+    tasks = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least("chunk", j).alias("i"), F.greatest("chunk", j).alias("j")))
+    # Blocks of whole columns, and for a long column a block for each pair of its chunks.
+    block = F.when(F.col("rows") > CHUNK, F.col("column")).otherwise(F.pmod("column", F.lit(blocks)))
+    rows = open_.withColumn("chunk", chunk).withColumn("task", F.explode(tasks)).withColumn("block", block).withColumn("long", F.col("rows") > CHUNK)
+    columns = ["block", "task.i", "task.j", "long", "column", "node", "size", "place", "component", "chunk"]
+    schema = "block long, i int, j int, long boolean, column long, node long, size long, place long, component long, chunk int, lead long"
+    return rows.select(*columns).groupBy("block", "i", "j", "long").applyInArrow(choose, schema)
+
+
+def _across(work: WorkTables, open_: DataFrame, owners: DataFrame, percent: int, blocks: int, partners: int) -> DataFrame:
     """Pairs (a, b) of a column in different components that neither places nor bitmaps rule out.
 
     Of each row its ``partners`` most alike ones leave the block. A row of nulls tells that others were left behind. The
     product of a block runs diagonal by diagonal, so a task holds its rows and a bounded number of pairs for each.
+
+    Bitmaps are the bulk of what is exchanged. So places rule rows out before, columns of the same lead meet in the same
+    blocks, as many as their rows need, and a node's bitmap is sent once to each of its blocks.
     """
 
-    def multiply(key: tuple, block: pa.Table) -> pa.Table:
-        column, node, size, place, component, chunk = (block.column(c).to_numpy() for c in ("column", "node", "size", "place", "component", "chunk"))
-        apart = key[1].as_py() != key[2].as_py()
-        order = np.lexsort((node, column))
-        column, node, size, place, component, chunk = (v[order] for v in (column, node, size, place, component, chunk))
-        signatures = block.column("signature").take(pa.array(order)).to_pylist()
-        ends = np.searchsorted(column, column, side="right")
+    def multiply(key: tuple, block: pa.Table, bitmaps: pa.Table) -> pa.Table:
+        block = _in_order(block)
+        node, size = block.column("node").to_numpy(), block.column("size").to_numpy()
+        named = bitmaps.column("node").to_numpy()
+        by_name = np.argsort(named)
+        at = by_name[np.searchsorted(named, node, sorter=by_name)]
+        signatures = bitmaps.column("signature").to_pylist()
         names, unlike, held = np.zeros((0, 2), np.int64), np.zeros(0), [np.zeros((0, 2), np.int64)]
         left_behind = False
 
@@ -348,7 +411,7 @@ def _across(open_: DataFrame, owners: DataFrame, percent: int, blocks: int, part
             pairs = np.concatenate(held)
             held[:] = [np.zeros((0, 2), np.int64)]
             a, b = pairs[:, 0], pairs[:, 1]
-            total, differ = size[a] + size[b], _differences(signatures, a, b)
+            total, differ = size[a] + size[b], _differences(signatures, at[a], at[b])
             kept = 100 * (total - differ) >= percent * (total + differ)
             both = np.concatenate((names, np.stack((node[a[kept]], node[b[kept]]), axis=1)))
             share = np.concatenate((unlike, differ[kept] / total[kept]))
@@ -359,35 +422,29 @@ def _across(open_: DataFrame, owners: DataFrame, percent: int, blocks: int, part
             left_behind |= len(best) < len(names)
             names, unlike = names[best], unlike[best]
 
-        alive, step, waiting = np.arange(len(node)), 1, 0
-        while True:
-            alive = alive[alive + step < ends[alive]]
-            if not len(alive):
-                break
-            a, b = alive, alive + step
-            asked = -(-(size[a] + size[b]) * percent // (100 + percent))
-            some = (component[a] != component[b]) & (size[a] - place[a] >= asked) & (size[b] - place[b] >= asked)
-            if apart:
-                some &= chunk[a] != chunk[b]
-            held.append(np.stack((a[some], b[some]), axis=1))
-            waiting += int(some.sum())
-            if waiting > 500_000:
+        waiting = 0
+        for a, b in _diagonals(block, key[1].as_py() != key[2].as_py(), percent):
+            held.append(np.stack((a, b), axis=1))
+            waiting += len(a)
+            if waiting > HELD_PAIRS:
                 settle()
                 waiting = 0
-            step += 1
         settle()
+        give_back()
         more = [None] if left_behind else []
         return pa.table({"a": pa.array([*names[:, 0].tolist(), *more], pa.int64()), "b": pa.array([*names[:, 1].tolist(), *more], pa.int64())})
 
-    chunks = F.ceil(F.col("rows") / F.lit(CHUNK)).cast("int")
-    chunk = F.pmod(F.xxhash64("node", F.lit(1)), chunks).cast("int")
-    tasks = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least("chunk", j).alias("i"), F.greatest("chunk", j).alias("j")))
-    # Blocks of whole columns, and for a long column a block for each pair of its chunks.
-    block = F.when(F.col("rows") > CHUNK, F.col("column")).otherwise(F.pmod("column", F.lit(blocks)))
-    rows = open_.withColumn("chunk", chunk).withColumn("task", F.explode(tasks)).withColumn("block", block).withColumn("long", F.col("rows") > CHUNK)
-    rows = rows.join(owners.select("node", F.col("wide").alias("signature")), "node")
-    columns = ["block", "task.i", "task.j", "long", "column", "node", "size", "place", "component", "chunk", "signature"]
-    return rows.select(*columns).groupBy("block", "i", "j", "long").applyInArrow(multiply, "a long, b long").distinct()
+    possible = work.write(_possible(open_, percent, blocks), "possible")
+    parts = possible.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("parts"))
+    block = F.when(F.col("long"), F.col("block")).otherwise(F.pmod(F.xxhash64("lead", F.pmod("column", "parts")), F.lit(blocks)))
+    dealt = possible.join(parts, "lead").withColumn("block", block).drop("lead", "parts")
+    key = ["block", "i", "j", "long"]
+    # Aliases tell the columns of the two sides apart.
+    bitmaps = dealt.select(*[F.col(c).alias(c) for c in (*key, "node")]).distinct().join(owners.select("node", F.col("wide").alias("signature")), "node")
+    pairs = dealt.groupBy(*key).cogroup(bitmaps.groupBy(*key)).applyInArrow(multiply, "a long, b long").distinct()
+    pairs = work.write(pairs, "across")
+    work.drop(possible)
+    return pairs
 
 
 def _alike(pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
@@ -507,10 +564,13 @@ def _labelled(work: WorkTables, docs: DataFrame, key: str, text: str, words: int
         F.xxhash64(F.min("key")).alias("owner"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature"), F.max("wide").alias("wide")
     )
     owners = work.write(owners, "owners")
+    # The bitmaps are with the owners from here on.
+    rows = work.write(rows, "rows")
+    work.drop(survey)
     component, tried, number, partners = None, None, 0, 0
     while True:
         open_ = _open_rows(columns, component)
-        found = _across(open_, owners, percent, blocks, partners) if partners else _hub_pairs(open_, owners, percent, number)
+        found = _across(work, open_, owners, percent, blocks, partners) if partners else _hub_pairs(open_, owners, percent, number)
         if tried is not None:
             # Rows of nulls stay.
             found = found.join(tried, ["a", "b"], "left_anti")

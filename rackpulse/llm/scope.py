@@ -77,6 +77,15 @@ def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield from _bounded(batch.slice(half))
 
 
+def give_back() -> None:
+    """The worker's unused memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def in_arrow(run: Callable) -> Callable:
     """``run`` for ``mapInArrow`` with batches of limited rows and bytes, whatever the session's settings are.
 
@@ -90,10 +99,6 @@ def in_arrow(run: Callable) -> Callable:
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(parts(batches))
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # another C library
-            pass
+        give_back()
 
     return bounded

@@ -11,7 +11,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from rackpulse.llm import (
     decontamination,
@@ -540,3 +542,28 @@ def test_near_copies_of_one_column_are_all_linked(spark, monkeypatch):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     assert got == {i: find(i) for i in sets} and len(sizes) > 1
+
+
+def test_join_sends_a_bitmap_once_to_a_block_and_none_of_rows_without_partner(spark, monkeypatch):
+    """Forty sets in dozens of common columns, alike by half only, and sets far too short to be partners of theirs."""
+    monkeypatch.setattr(ngram_join, "FRUITFUL", 2.0)
+    sent, apply, apply_both = [], GroupedData.applyInArrow, PandasCogroupedOps.applyInArrow
+
+    def count(frames):
+        sent.extend(df.filter("signature is not null").count() for df in frames if "signature" in df.columns)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, *a: (count([self._df]), apply(self, *a))[1])
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, *a: (count([self._gd1._df, self._gd2._df]), apply_both(self, *a))[1])
+    common = " ".join(f"c{j}" for j in range(120))
+    rows = [(i, common + " " + " ".join(f"u{i}v{j}" for j in range(60))) for i in range(40)]
+    rows += [(100 + i, " ".join(f"c{j}" for j in range(3 * i, 3 * i + 12)) + f" z{i}") for i in range(30)]
+    # Words more frequent than the common ones, so that these are in the first shingles.
+    often = [f"u{i}v{j}" for i in range(40) for j in range(60)]
+    dice = np.random.default_rng(3)
+    rows += [(200 + i, " ".join(dice.permutation(often))) for i in range(60)]
+    got = ngram_join.shingle_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    linked = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert not linked and all(r.component_id == r.doc_id for r in got)
+    # 4 blocks: at most one bitmap per set and block.
+    assert sent and max(sent) <= 4 * 40
