@@ -464,30 +464,39 @@ def _alike(pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), "left", "right").mapInArrow(in_arrow(compare), "a long, b long")
 
 
-def _wanted(work: WorkTables, docs: DataFrame, owners: DataFrame, pairs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """Shingle sets (node, shingles) of the nodes in ``pairs``, from one document of each.
-
-    A filter of fixed size over the documents' keys keeps most other texts from being hashed again.
-    """
+def _marks(hashes: DataFrame) -> np.ndarray:
+    """Bits of the hashes in the only column of ``hashes``, a filter of fixed size."""
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            bits[batch["owner"].to_numpy(np.int64).astype(np.uint64) % np.uint64(FILTER_BITS)] = True
+            bits[batch.iloc[:, 0].to_numpy(np.int64).astype(np.uint64) % np.uint64(FILTER_BITS)] = True
         packed = np.packbits(bits).reshape(64, -1)
         some = [i for i in range(64) if packed[i].any()]
         yield pd.DataFrame({"block": np.array(some, np.int32), "counts": [packed[i].tobytes() for i in some]})
 
+    return _combined(hashes.mapInPandas(mark, "block int, counts binary"), np.bitwise_or, "uint8", 64, FILTER_BITS // 512)
+
+
+def _marked(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set: all that were marked, and a few others."""
+    at = (hashes.astype(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+
+def _wanted(work: WorkTables, docs: DataFrame, owners: DataFrame, pairs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """Shingle sets (node, shingles) of the nodes in ``pairs``, from one document of each.
+
+    A filter of fixed size over the documents' keys keeps most other texts from being hashed again.
+    """
+
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    marks = owners.join(nodes, "node", "left_semi").select("owner").mapInPandas(mark, "block int, counts binary")
-    packed = _combined(marks, np.bitwise_or, "uint8", 64, FILTER_BITS // 512)
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(owners.join(nodes, "node", "left_semi").select("owner")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bits = Shingler(words), shared.value
         for batch in batches:
-            at = (batch.column(0).to_numpy().astype(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-            marked = batch.column(1).filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            marked = batch.column(1).filter(pa.array(_marked(batch.column(0).to_numpy(), bits)))
             names, sets = [], []
             for _, _, shingles, _ in shingler.column(marked):
                 names.append(node_of(shingles))
@@ -616,7 +625,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Of repeated rows (same key and text) one stays, unless they have no words. Rows that share a key but not the text
     are different documents. Columns of any name stay as they are.
     """
-    name = unused_name("row_key", docs.columns)
+    name, flag = unused_name("row_key", docs.columns), unused_name("marked", docs.columns)
     tagged = docs.withColumn(name, F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash")))
     found = shingle_components(tagged, name, text).withColumnRenamed(name, "row_key")
     with WorkTables(docs.sparkSession) as work:
@@ -627,11 +636,19 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         repeated = verdict.filter((F.col("row_key") == F.col("first")) & (F.col("rows") > 1) & (F.col("n") > 0)).select(F.col("row_key").alias(name))
         repeated = work.write(repeated, "repeated")
         work.keep(dropped, repeated)
-    kept = tagged.join(dropped, name, "left_anti")
+    # Only texts whose key may be among those are moved; a filter of fixed size tells the others.
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(dropped.unionByName(repeated).select(F.xxhash64(name))))
+
+    @F.pandas_udf("boolean")
+    def marked(hashes: pd.Series) -> pd.Series:
+        return pd.Series(_marked(hashes.to_numpy(np.int64), shared.value))
+
+    tagged = tagged.withColumn(flag, marked(F.xxhash64(name)))
+    kept = tagged.filter(F.col(flag)).join(dropped, name, "left_anti")
     if not repeated.isEmpty():
         once = kept.join(repeated, name, "left_semi").dropDuplicates([name])
         kept = kept.join(repeated, name, "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    return tagged.filter(~F.col(flag)).unionByName(kept).select(*docs.columns)
 
 
 _SPLIT = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

@@ -567,3 +567,21 @@ def test_join_sends_a_bitmap_once_to_a_block_and_none_of_rows_without_partner(sp
     assert not linked and all(r.component_id == r.doc_id for r in got)
     # 4 blocks: at most one bitmap per set and block.
     assert sent and max(sent) <= 4 * 40
+
+
+def test_keep_one_moves_only_texts_that_may_go(spark, tmp_path):
+    """With tables too large to broadcast, most texts stay where they are; a row with a null key and a repeated row behave as before."""
+    rows = [(i, " ".join(f"u{i}v{j}" for j in range(9))) for i in range(200)]
+    rows += [(200 + i, rows[i][1]) for i in range(10)] + [(None, "a b c d e f g"), rows[20], rows[20]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.keep_one(docs)
+        found = kept.collect()
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, [*rows[:200], rows[210]]))
+    # The texts that come straight from the table, next to those that are joined.
+    assert plan.startswith("Union")
