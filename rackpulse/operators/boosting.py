@@ -3,7 +3,9 @@
 * A feature value becomes a byte: its place among at most ``bins - 2`` edges, quantiles of the training rows, and a place of its own where
   it is missing. The matrix of
   bytes is written once, in blocks of rows.
-* Each level of all models' current trees takes one job. A task adds up gradients, hessians and rows per (model, node,
+* Of a matrix up to ``TASK_BYTES`` every model gets a task of its own that grows all its trees, in one job for all models: the
+  jobs of single levels would take far longer than their sums. The task adds up the same parts in the same order.
+* Of a larger matrix each level of all models' current trees takes one job. A task adds up gradients, hessians and rows per (model, node,
   feature, bin) over its blocks; the tasks' sums of a node meet by a shuffle, in the order of the tasks, and stay on the
   executors. Of two siblings only the one with fewer rows is added up, the other is the difference to their parent.
 * The best split of a node is picked where its sums are, and the driver gets a row per model and node. Nodes of the last
@@ -36,6 +38,9 @@ ROUNDS, DEPTH, STEP, L2, LEAST_ROWS, BINS = 200, 6, 0.05, 1.0, 20, 255
 CHECKPOINT_ROUNDS = 25
 #: Rows of a block, and blocks a task takes once every core has a task.
 BLOCK_ROWS, TASK_BLOCKS = 65_536, 64
+#: Largest matrix, in bytes (rows times features), that a single task reads to grow a model, and the jobs of levels that cost
+#: no more than dealing the rows to the models' tasks.
+TASK_BYTES, FEW_JOBS = 32 << 20, 8
 #: Smallest hessian of a leaf and smallest gain of a split.
 LEAST_HESSIAN, LEAST_GAIN = 1e-3, 1e-9
 
@@ -255,30 +260,38 @@ class Split:
     fewer: int = 0
 
 
+def _slopes(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and hessians of rows."""
+    p = 1 / (1 + np.exp(-margin))
+    return weight * (p - label), weight * p * (1 - p)
+
+
+def _add(total: np.ndarray, slot: np.ndarray, matrix: np.ndarray, own: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, widths: list[int]) -> None:
+    """Adds the rows ``own`` of a block, at the nodes ``slot``, to the sums (3, node, bins of all features side by side)."""
+    base, start = slot.astype(np.int64), 0
+    for f, width in enumerate(widths):
+        cell = base * width + matrix[f, own]
+        for i, values in enumerate((gradient, hessian, None)):
+            total[i, :, start : start + width] += np.bincount(cell, values, minlength=total.shape[1] * width).reshape(-1, width)
+        start += width
+
+
 def _sums(part: int, blocks: Iterator[tuple], trees: list[Tree], wanted: list[tuple[int, int]], level: int, widths: list[int]) -> Iterator[tuple]:
     """Rows ((model, node), (part, sums)) of a task: gradients, hessians and rows, of all features' bins side by side."""
     slots = np.full((len(trees), len(trees[0].feature)), -1, np.int32)
     for slot, (m, node) in enumerate(wanted):
         slots[m, node] = slot
-    starts = np.concatenate(([0], np.cumsum(widths)))
-    total = np.zeros((3, len(wanted), starts[-1]))
+    total = np.zeros((3, len(wanted), sum(widths)))
     for matrix, label, weights, margins in blocks:
         for m, tree in enumerate(trees):
             if slots[m].max() < 0:
                 continue
             slot = slots[m][tree.places(matrix, level)]
             own = np.flatnonzero((slot >= 0) & (weights[m] > 0))
-            if not len(own):
-                continue
-            p = 1 / (1 + np.exp(-margins[m, own]))
-            w = weights[m, own]
-            gradient, hessian = w * (p - label[own]), w * p * (1 - p)
-            first, last = int(slots[m][slots[m] >= 0].min()), int(slots[m].max()) + 1
-            base = slot[own].astype(np.int64) - first
-            for f, width in enumerate(widths):
-                cell = base * width + matrix[f, own]
-                for i, values in enumerate((gradient, hessian, None)):
-                    total[i, first:last, starts[f] : starts[f + 1]] += np.bincount(cell, values, minlength=(last - first) * width).reshape(-1, width)
+            if len(own):
+                gradient, hessian = _slopes(margins[m, own], label[own], weights[m, own])
+                first, last = int(slots[m][slots[m] >= 0].min()), int(slots[m].max()) + 1
+                _add(total[:, first:last], slot[own] - first, matrix, own, gradient, hessian, widths)
     for slot, key in enumerate(wanted):
         if total[2, slot].any():
             yield key, (part, total[:, slot].copy())
@@ -340,6 +353,32 @@ def _best_split(sums: np.ndarray, l2: float, least_rows: int) -> tuple[float, in
     return float(gain.flat[at]), at // gain.shape[1], at % gain.shape[1]
 
 
+class _Block:
+    """A block in the task of its model: the rows with weight, their margins, slopes and nodes of the current tree."""
+
+    def __init__(self, matrix: np.ndarray, label: np.ndarray, weight: np.ndarray, margin: float):
+        self.matrix, self.label, self.weight, self.margin = matrix, label, weight, np.full(len(label), margin)
+
+    def begin(self) -> None:
+        self.at = np.zeros(len(self.label), np.int32)
+        self.gradient, self.hessian = _slopes(self.margin, self.label, self.weight)
+
+    def add(self, total: np.ndarray, slots: np.ndarray, widths: list[int]) -> None:
+        slot = slots[self.at]
+        own = np.flatnonzero(slot >= 0)
+        if len(own):
+            _add(total, slot[own], self.matrix, own, self.gradient[own], self.hessian[own], widths)
+
+    def descend(self, tree: Tree) -> None:
+        feature = tree.feature[self.at]
+        inner = np.flatnonzero(feature >= 0)
+        at = self.at[inner]
+        self.at[inner] = 2 * at + 1 + (self.matrix[feature[inner], inner] > tree.bin[at])
+
+    def end(self, tree: Tree) -> None:
+        self.margin += tree.value[self.at]
+
+
 class HistogramTrees:
     """Estimator with the published settings; nodes grow level by level."""
 
@@ -377,15 +416,85 @@ class HistogramTrees:
             share = min(max(share, 1e-6), 1 - 1e-6)
             odds[m] = np.log(share / (1 - share))
         widths = [len(own) + 2 for own in edges]
-        tasks = max(spark.sparkContext.defaultParallelism, (packed.agg(F.sum("n")).first()[0] or 0) // (TASK_BLOCKS * BLOCK_ROWS))
+        size = packed.agg(F.sum("n")).first()[0] or 0
+        tasks = max(spark.sparkContext.defaultParallelism, size // (TASK_BLOCKS * BLOCK_ROWS))
         blocks = packed.rdd if packed.rdd.getNumPartitions() <= tasks else packed.rdd.coalesce(tasks)
+        small = size * len(edges) <= TASK_BYTES and self.rounds * (self.depth + 1) > FEW_JOBS
+        grown = (self._grow_in_tasks if small else self._grow_by_levels)(blocks, odds, alive, widths)
+        return [BoostedTrees(edges, grown[m], float(odds[m]), self.depth) for m in range(models)]
+
+    def _grow_in_tasks(self, blocks, odds: np.ndarray, alive: np.ndarray, widths: list[int]) -> list[list[Tree]]:
+        """The trees of all models, each grown by a task that has the model's rows in the parts they come in."""
+        place = {m: i for i, m in enumerate(np.flatnonzero(alive).tolist())}
+
+        def own(part: int, rows: Iterator) -> Iterator[tuple]:
+            for number, row in enumerate(rows):
+                matrix, label, weights, _ = _unpack(row)
+                for m in place:
+                    mine = np.flatnonzero(weights[m] > 0)
+                    if len(mine):
+                        yield m, (part, number, matrix[:, mine], label[mine], weights[m, mine])
+
+        def grow(rows: Iterator[tuple]) -> Iterator[tuple[int, list[Tree]]]:
+            held: dict[int, list[tuple]] = {}
+            for m, block in rows:
+                held.setdefault(m, []).append(block)
+            for m, found in held.items():
+                found.sort(key=lambda block: block[:2])
+                parts: dict[int, list[_Block]] = {}
+                for part, _, *block in found:
+                    parts.setdefault(part, []).append(_Block(*block, odds[m]))
+                yield m, self._grow_here(parts, widths)
+
+        grown = dict(blocks.mapPartitionsWithIndex(own).partitionBy(len(place), place.get).mapPartitions(grow).collect()) if place else {}
+        return [grown.get(m, []) for m in range(len(alive))]
+
+    def _grow_here(self, parts: dict[int, list[_Block]], widths: list[int]) -> list[Tree]:
+        """The trees of one model; a part's sums are added up on their own, as a task of :meth:`_grow_by_levels` does it."""
+        blocks = [block for own in parts.values() for block in own]
+
+        def level(known: list[tuple] | None, trees: list[Tree], wanted: list[tuple[int, int]], level: int) -> tuple[list[Split], list[tuple]]:
+            last, own = level == self.depth, widths[:1] if level == self.depth else widths
+            slots = np.full(len(trees[0].feature), -1, np.int32)
+            for slot, (_, node) in enumerate(wanted):
+                slots[node] = slot
+            rows = [((0, split.fewer), (-1, sums[:, : sum(own)])) for split, sums in known or [] if sums is not None]
+            for block in blocks:
+                block.descend(trees[0]) if level else block.begin()
+            for part, held in parts.items():
+                total = np.zeros((3, len(wanted), sum(own)))
+                for block in held:
+                    block.add(total, slots, own)
+                rows += [(key, (part, total[:, slot])) for slot, key in enumerate(wanted) if total[2, slot].any()]
+            known = list(_met(iter(rows), own, last, self.l2, self.least_rows))
+            return [split for split, _ in known], known
+
+        grown: list[Tree] = []
+        while len(grown) < self.rounds and (not grown or grown[-1].feature[0] >= 0):
+            (tree,) = self._round(level, np.ones(1, bool))
+            for block in blocks:
+                block.end(tree)
+            grown.append(tree)
+        return grown
+
+    def _grow_by_levels(self, blocks, odds: np.ndarray, alive: np.ndarray, widths: list[int]) -> list[list[Tree]]:
+        """The trees of all models, a job for each level of all models' current trees."""
+        alive, models = alive.copy(), len(alive)
+
+        def level(known, trees: list[Tree], wanted: list[tuple[int, int]], level: int) -> tuple:
+            nodes = self._level(state, known, trees, wanted, level, widths)
+            splits = nodes.keys().collect()
+            if known is not None:
+                known.unpersist()
+            return splits, nodes
+
         state = blocks.map(_unpack).map(lambda b: (*b[:3], b[3] + odds[:, None])).persist(StorageLevel.MEMORY_AND_DISK)
         grown: list[list[Tree]] = [[] for _ in range(models)]
         old = None
         for number in range(self.rounds):
             if not alive.any():
                 break
-            trees = self._round(state, alive, widths)
+            trees = self._round(level, alive)
             if old is not None:
                 old.unpersist()
             for m in np.flatnonzero(alive):
@@ -398,9 +507,9 @@ class HistogramTrees:
         for held in (old, state):
             if held is not None:
                 held.unpersist()
-        return [BoostedTrees(edges, grown[m], float(odds[m]), self.depth) for m in range(models)]
+        return grown
 
-    def _round(self, state, alive: np.ndarray, widths: list[int]) -> list[Tree]:
+    def _round(self, grow_level, alive: np.ndarray) -> list[Tree]:
         """The next tree of every model that is alive; the others get a tree of one empty leaf."""
         trees = [Tree.leaf(self.depth) for _ in alive]
         wanted = [(m, 0) for m in np.flatnonzero(alive).tolist()]
@@ -408,11 +517,8 @@ class HistogramTrees:
         for level in range(self.depth + 1):
             if not wanted:
                 break
-            nodes = self._level(state, known, trees, wanted, level, widths)
-            splits = nodes.keys().collect()
-            if known is not None:
-                known.unpersist()
-            known, wanted = nodes, []
+            splits, known = grow_level(known, trees, wanted, level)
+            wanted = []
             for split in splits:
                 m, node = split.model, split.node
                 trees[m].value[node] = -self.step * split.gradient / (split.hessian + self.l2 + 1e-300)
@@ -421,7 +527,7 @@ class HistogramTrees:
                     trees[m].feature[node], trees[m].bin[node] = split.feature, split.bin
                     wanted.append((m, split.fewer))
             wanted.sort()
-        if known is not None:
+        if hasattr(known, "unpersist"):
             known.unpersist()
         return trees
 

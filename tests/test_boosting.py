@@ -119,6 +119,33 @@ def test_driver_gets_a_row_per_node_however_many_features_bins_and_tasks(spark,
     assert len(received) == 4 and sum(received) < 10_000
 
 
+def test_models_of_small_tables_take_one_job_and_get_the_trees_of_level_jobs(spark, data, monkeypatch):
+    x, y = data[0].copy(), data[1]
+    x[::7, 0] = np.nan
+    weights = np.ones((600, 4))
+    weights[400:, 1] = 0
+    weights[y == 1, 2] = 2.5
+    weights[y == 0, 3] = 0
+    # Blocks of a few dozen rows, several in a part.
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 50)
+    rows = table(spark, x, y, weights).repartition(5).persist()
+    rows.count()
+    received = []
+    collect = RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: received.append(self) or collect(self))
+    together = HistogramTrees(rounds=12, depth=4, least_rows=5, step=0.9).fit_side_by_side(rows)
+    assert len(received) == 1
+    monkeypatch.setattr(boosting, "TASK_BYTES", 0)
+    apart = HistogramTrees(rounds=12, depth=4, least_rows=5, step=0.9).fit_side_by_side(rows)
+    rows.unpersist()
+    assert len(received) > 12
+    for one, other in zip(together, apart, strict=True):
+        assert len(one.trees) == len(other.trees) and one.base == other.base
+        for a, b in zip(one.trees, other.trees, strict=True):
+            assert all((getattr(a, part) == getattr(b, part)).all() for part in ("feature", "bin", "value", "cover"))
+    assert len(together[0].trees) == 12 and not together[3].trees
+
+
 def test_missing_values_one_class_and_no_rows(spark, data):
     x, y = data[0].copy(), data[1]
     x[::7, 0] = np.nan
