@@ -41,6 +41,8 @@ BLOCK_ROWS, TASK_BLOCKS = 65_536, 64
 #: Largest matrix, in bytes (rows times features), that a single task reads to grow a model, and the jobs of levels that cost
 #: no more than dealing the rows to the models' tasks.
 TASK_BYTES, FEW_JOBS = 32 << 20, 8
+#: Leaves whose shares are computed together.
+PATHS = 512
 #: Smallest hessian of a leaf and smallest gain of a split.
 LEAST_HESSIAN, LEAST_GAIN = 1e-3, 1e-9
 
@@ -96,39 +98,57 @@ class Path:
     mean: float
 
 
-def _shapley_shares(kept: np.ndarray, value: float) -> np.ndarray:
-    """Shapley values of a product of factors: a feature that is known gives 0 or 1, one that is not gives ``kept``."""
-    n = len(kept)
+def _shapley_shares(kept: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Shapley values of products of factors: a feature that is known gives 0 or 1, one that is not gives ``kept``.
+
+    ``kept`` has a row per product; the result (product, pattern, feature) has all their patterns.
+    """
+    products, n = kept.shape
     weights = np.array([factorial(s) * factorial(n - s - 1) / factorial(n) for s in range(n)])
-    out = np.zeros((1 << n, n))
-    for pattern in range(1 << n):
-        inside = np.array([pattern >> i & 1 for i in range(n)], float)
-        for i in range(n):
-            # Coefficients: the product over the other features, by how many of them are known.
-            worth = np.ones(1)
-            for k in range(n):
-                if k != i:
-                    worth = np.concatenate((worth * kept[k], [0.0])) + np.concatenate(([0.0], worth * inside[k]))
-            out[pattern, i] = value * (inside[i] - kept[i]) * (worth * weights).sum()
+    inside = (np.arange(1 << n)[:, None] >> np.arange(n) & 1).astype(float)
+    out = np.zeros((products, 1 << n, n))
+    for i in range(n):
+        # Coefficients: the product over the other features, by how many of them are known.
+        worth = np.ones((products, 1 << n, 1))
+        for k in range(n):
+            if k != i:
+                grown = np.zeros((products, 1 << n, worth.shape[2] + 1))
+                grown[:, :, :-1] = worth * kept[:, k, None, None]
+                grown[:, :, 1:] += worth * inside[:, k, None]
+                worth = grown
+        out[:, :, i] = value[:, None] * (inside[:, i] - kept[:, i, None]) * (worth * weights).sum(axis=2)
     return out
 
 
-def leaf_paths(tree: Tree) -> list[Path]:
+def leaf_paths(trees: Sequence[Tree]) -> list[Path]:
+    """The leaves of all trees; those with equally many features get their shares together, ``PATHS`` at a time."""
     found: list[Path] = []
+    factors: list[list[float]] = []
+    values: list[float] = []
 
-    def walk(node: int, limits: dict[int, tuple[int, int, float]]) -> None:
+    def walk(tree: Tree, node: int, limits: dict[int, tuple[int, int, float]]) -> None:
         feature = int(tree.feature[node])
         if feature < 0:
-            kept = np.array([k for _, _, k in limits.values()])
+            kept = [k for _, _, k in limits.values()]
             value = float(tree.value[node])
-            found.append(Path(list(limits), [a for a, _, _ in limits.values()], [b for _, b, _ in limits.values()], _shapley_shares(kept, value), value * float(kept.prod())))
+            factors.append(kept)
+            values.append(value)
+            found.append(Path(list(limits), [a for a, _, _ in limits.values()], [b for _, b, _ in limits.values()], np.zeros(0), value * float(np.prod(kept))))
             return
         low, high, kept = limits.get(feature, (-1, 255, 1.0))
         at = int(tree.bin[node])
         for child, bounds in ((2 * node + 1, (low, min(high, at))), (2 * node + 2, (max(low, at), high))):
-            walk(child, limits | {feature: (*bounds, kept * float(tree.cover[child] / tree.cover[node]))})
-
-    walk(0, {})
+            walk(tree, child, limits | {feature: (*bounds, kept * float(tree.cover[child] / tree.cover[node]))})
+
+    for tree in trees:
+        walk(tree, 0, {})
+    lengths = np.array([len(kept) for kept in factors])
+    for n in np.unique(lengths):
+        same = np.flatnonzero(lengths == n)
+        for at in np.array_split(same, -(-len(same) // PATHS)):
+            shares = _shapley_shares(np.array([factors[i] for i in at]).reshape(len(at), n), np.array([values[i] for i in at]))
+            for i, own in zip(at, shares, strict=True):
+                found[i].shares = own.copy()
     return found
 
 
@@ -150,7 +170,7 @@ class BoostedTrees:
 
     def paths(self) -> list[Path]:
         """The table of all trees' leaves."""
-        return [path for tree in self.trees for path in leaf_paths(tree)]
+        return leaf_paths(self.trees)
 
     def attribution(self, x: np.ndarray, paths: list[Path] | None = None) -> np.ndarray:
         """Shapley values of the features for the margin, a row per row of ``x``; with :meth:`expected` they add up to it.

@@ -234,6 +234,37 @@ def test_attribution_equals_shapley_values_of_all_subsets(spark, data):
     assert got.sum(axis=1) + model.expected() == pytest.approx(model.margin(rows), abs=1e-9)
 
 
+def test_shares_of_all_trees_are_computed_together(monkeypatch):
+    rng = np.random.default_rng(5)
+
+    def grown(tree, node, level, cover):
+        tree.cover[node], tree.value[node] = cover, rng.normal()
+        if level < 4:
+            tree.feature[node], tree.bin[node] = rng.integers(5), rng.integers(1, 30)
+            share = rng.uniform(0.1, 0.9)
+            grown(tree, 2 * node + 1, level + 1, cover * share)
+            grown(tree, 2 * node + 2, level + 1, cover * (1 - share))
+        return tree
+
+    trees = [grown(boosting.Tree.leaf(4), 0, 0, 100.0) for _ in range(40)] + [boosting.Tree.leaf(4)]
+    calls = []
+    shares = boosting._shapley_shares
+    monkeypatch.setattr(boosting, "_shapley_shares", lambda *given: calls.append(given) or shares(*given))
+    paths = BoostedTrees([], trees, 0.0, 4).paths()
+    assert len(paths) == 641 and len(calls) <= 7
+    for kept, value in ((kept, value) for group in calls for kept, value in zip(*group, strict=True)):
+        n = len(kept)
+        got = shares(kept[None], np.array([value]))[0]
+        for pattern in range(1 << n):
+            worth = lambda known, p=pattern: value * np.prod([float(p >> k & 1) if k in known else kept[k] for k in range(n)])  # noqa: B023, E731
+            for i in range(n):
+                others = [k for k in range(n) if k != i]
+                want = sum(factorial(m) * factorial(n - m - 1) / factorial(n) * (worth({*s, i}) - worth(set(s))) for m in range(n) for s in combinations(others, m))
+                assert got[pattern, i] == pytest.approx(want, abs=1e-12)
+        if n == 4:
+            break
+
+
 def test_contributions_of_full_trees_add_up(spark, data):
     x, y = data
     rows = spark.createDataFrame([(i, f"node-{i:04d}", *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))], f"window_end_tick long, node_id string, a double, b double, c double, {LABEL} int")
