@@ -228,9 +228,12 @@ def permutation_importance(
     """Drop in accuracy and in ROC AUC when one feature is shuffled, averaged over the repeats.
 
     Rows are dealt by hash into random blocks of about a thousand, which is the only exchange of feature values; a
-    shuffle rotates the feature inside its block by a random distance. All shuffles are scored in one batch.
+    shuffle rotates the feature inside its block by a random distance. All shuffles are scored in one batch. Of few blocks,
+    copies share out the shuffles, so that all tasks have some to score.
     """
     blocks = max(1, test.count() // SHUFFLE_BLOCK)
+    partitions = int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = min(max(1, 2 * partitions // blocks), len(model.features) * repeats + 1)
     deal = F.xxhash64(F.lit(seed), *keys)
     dealt = test.select(
         F.pmod(deal, F.lit(blocks)).alias("block"),
@@ -250,9 +253,11 @@ def permutation_importance(
         return F.struct(row["label"].alias("label"), x.alias("x"))
 
     swapped = (
-        dealt.groupBy("block")
+        dealt.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        .repartition(partitions, "block", "copy")
+        .groupBy("block", "copy")
         .agg(F.array_sort(F.collect_list("row")).alias("rows"))
-        .withColumn("s", F.explode(F.array(*shuffles)))
+        .withColumn("s", F.explode(F.get(F.array(*[F.array(*shuffles[own::copies]) for own in range(copies)]), F.col("copy"))))
         .withColumn("shift", shift.cast("int"))
         .select(F.col("s.f").alias("f"), F.col("s.r").alias("r"), F.inline(F.transform("rows", rotated)))
         .withColumn("features", array_to_vector("x"))

@@ -71,6 +71,27 @@ def test_importance_and_attribution_find_the_signal(dataset, model):
     assert overall[0].feature == "signal" and overall[-1].mean_abs_contribution == 0
 
 
+def test_shuffles_of_one_block_are_scored_by_several_tasks(spark, dataset, model, monkeypatch):
+    test = time_based_split(dataset)[1].cache()
+    tasks, scored = [], risk.RiskModel.raw_of_vector
+
+    def spy(self, df, column="raw_score"):
+        tasks.append(df.select(F.spark_partition_id().alias("p")).distinct().count())
+        return scored(self, df, column)
+
+    monkeypatch.setattr(risk.RiskModel, "raw_of_vector", spy)
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("1", "4"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append({r.feature: (r.importance, r.auc_drop) for r in risk.permutation_importance(model, test).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    test.unpersist()
+    assert tasks[0] == 1 and tasks[1] > 1
+    assert set(found[0]) == set(FEATURES) and all(found[0][f] == pytest.approx(found[1][f], abs=1e-12) for f in FEATURES)
+
+
 def test_comparison_names_one_winner(dataset):
     estimators = {"trees": risk.boosted_trees(**QUICK), "linear": risk.logistic(maxIter=10)}
     rows = risk.compare_models(dataset, FEATURES, estimators, 2).collect()
