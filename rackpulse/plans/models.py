@@ -6,6 +6,8 @@ Model fits have no SQL counterpart; the derived closed forms (hazard curve on gi
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +31,15 @@ FEATURES = list(V1_FEATURES)
 COX_FEATURES = ["risk", "l_discount", "l_tax"]
 
 
-def stored_v1(spark: SparkSession, sf: str) -> DataFrame:
+def windows_v1(spark: SparkSession, sf: str) -> Callable[[], DataFrame]:
+    """All nodes of every window, written at the first call, for a query that learns from some windows and scores another."""
+    return cache(lambda: materialise(dataset_v1(spark, sf), "windows"))
+
+
+def stored_v1(spark: SparkSession, sf: str, windows: Callable[[], DataFrame] | None = None) -> DataFrame:
     """Training rows, written once: all nodes of every window that the events still reach."""
-    return materialise(with_known_labels(dataset_v1(spark, sf), enriched_of(spark, sf), HOPS), "v1")
+    rows = windows() if windows else dataset_v1(spark, sf)
+    return materialise(with_known_labels(rows, enriched_of(spark, sf), HOPS), "v1")
 
 
 def model_split_balance(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,9 +64,10 @@ def risk_calibrated(spark: SparkSession, sf: str) -> DataFrame:
     return risk.E.fold_summary(risk.fold_metrics(scored))
 
 
-def newest_window(spark: SparkSession, sf: str) -> DataFrame:
+def newest_window(spark: SparkSession, sf: str, windows: Callable[[], DataFrame] | None = None) -> DataFrame:
     """Features of the newest window, whose outcome is not known yet: the one to score."""
-    return materialise(tables.latest_window(dataset_v1(spark, sf)).drop(LABEL), "newest")
+    rows = windows() if windows else dataset_v1(spark, sf)
+    return materialise(tables.latest_window(rows).drop(LABEL), "newest")
 
 
 def scored_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,8 +83,9 @@ def top_at_risk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def risk_attribution(spark: SparkSession, sf: str) -> DataFrame:
-    dataset = stored_v1(spark, sf)
-    return risk.explain_rows(_model(dataset), newest_window(spark, sf), dataset)
+    windows = windows_v1(spark, sf)
+    dataset = stored_v1(spark, sf, windows)
+    return risk.explain_rows(_model(dataset), newest_window(spark, sf, windows), dataset)
 
 
 def global_attribution(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,8 +105,9 @@ def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 def batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """Failure risk and anomaly score per node of the newest window."""
-    dataset = stored_v1(spark, sf)
-    latest = newest_window(spark, sf)
+    windows = windows_v1(spark, sf)
+    dataset = stored_v1(spark, sf, windows)
+    latest = newest_window(spark, sf, windows)
     failure = _model(dataset).score(latest, "failure_risk_24h").select("node_id", "failure_risk_24h")
     detector = anomaly.train_anomaly_detector(dataset, FEATURES)
     odd = anomaly.anomaly_scores(detector, latest.select("node_id", *FEATURES)).select("node_id", "anomaly_score")

@@ -209,6 +209,23 @@ def test_registered_model_queries_use_the_operators_defaults(monkeypatch):
     assert list(parts["survival"].train_survival.call_args.args[1]) == models.FEATURES
 
 
+@pytest.mark.parametrize("query, rows", [("risk_attribution", 15 * 3), ("batch_scoring", 15)])
+def test_windows_to_learn_from_and_to_score_are_built_once(spark, dataset, monkeypatch, query, rows):
+    from rackpulse.plans import models
+
+    built = []
+    top = spark.createDataFrame([(30 * 72 + models.HOPS.horizon,)], "tick long")
+    monkeypatch.setattr(models, "dataset_v1", lambda *_: built.append(1) or dataset)
+    monkeypatch.setattr(models, "enriched_of", lambda *_: top)
+    monkeypatch.setattr(models, "FEATURES", FEATURES)
+    monkeypatch.setattr(models.risk, "boosted_trees", lambda: boosting.HistogramTrees(**QUICK))
+    assert getattr(models, query)(spark, "sf").count() == rows and len(built) == 1
+    windows = models.windows_v1(spark, "sf")
+    for part in (models.stored_v1, models.newest_window):
+        assert sorted(part(spark, "sf", windows).collect()) == sorted(part(spark, "sf").collect())
+    assert models.stored_v1(spark, "sf", windows).count() == 31 * 15
+
+
 def test_trees_draw_different_rows_and_all_of_a_short_table(spark):
     rows = spark.range(100).select(F.col("id").alias("k"), F.array(F.col("id").cast("double")).alias("x"))
     assert {r["count"] for r in anomaly.subsamples(rows, ["k"], 5, 1).groupBy("tree").count().collect()} == {100}
