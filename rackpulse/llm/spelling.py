@@ -7,6 +7,8 @@
 * A half that many words share would pair all of them. Words under such a key are split by the other half with one code
   point taken out, at the same place for a replacement: what still meets there differs in that code point only.
 * Pairs are verified by their edit distance.
+* Tables that grow with the words are joined by a sort. Spark takes a table for as large as its file, so chunks and places
+  exploded from a small file of words would be broadcast, many times its size, through the driver.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ LEAST_LENGTH, LEAST_COUNT, FORM_FACTOR = 7, 2, 10
 DAMAGED = 31
 #: Words that share a chunk before they are split by the rest of the word.
 GROUP = 32
+#: Crowded chunks that are broadcast.
+BROADCAST_ROWS = 100_000
 #: Code points that are read at a time, and distinct words that a task holds before it sends their counts on.
 SLICE, HELD = 1 << 20, 500_000
 _RUN = re.compile("[a-zÀ-ÿ]+")
@@ -121,7 +125,7 @@ _KEY = ["length", "half", "chunk"]
 def _met(short: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     """Pairs (a, b) of words under one key; two of one length once."""
     x, y = short.select(*on, F.col("word").alias("a")), other.select(*on, "longer", F.col("word").alias("b"))
-    return x.join(y, on).filter("longer or a < b").select("a", "b")
+    return x.join(y.hint("merge"), on).filter("longer or a < b").select("a", "b")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -130,6 +134,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     crowded = keys.groupBy(*_KEY).agg(F.count("*").alias("members")).filter(F.col("members") > GROUP).select(*_KEY)
     with WorkTables(words.sparkSession) as work:
         crowded = work.write(crowded, "crowded-chunks")
+        crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded.hint("merge")
         few, many = keys.join(crowded, _KEY, "left_anti"), keys.join(crowded, _KEY, "left_semi")
         plain = _met(few.filter("not longer"), few, _KEY)
         place, cut = F.col("place"), F.length("rest")
@@ -151,7 +156,7 @@ def _roots(forms: DataFrame) -> DataFrame:
         now = work.write(forms.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "roots")
         while not now.filter("moved").isEmpty():
             above = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-            jumped = now.select("word", "root").join(above, "root", "left")
+            jumped = now.select("word", "root").join(above.hint("merge"), "root", "left")
             jumped = jumped.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
             before, now = now, work.write(jumped, "roots")
             work.drop(before)
@@ -171,10 +176,10 @@ def spelling_variants(docs: DataFrame, key: str = "doc_id", text: str = "text",
         words = work.write(count_words(docs, key, text).filter(F.col("n") >= LEAST_COUNT), "words")
         pairs = near_pairs(words.select("word"))
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b")
+        near = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("n_b")).hint("merge"), "b")
         first = F.min(F.struct((-F.col("n_b")).alias("less"), F.col("b").alias("form")))
         best = near.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), first.alias("first"))
-        told = words.join(best, "word", "left")
+        told = words.join(best.hint("merge"), "word", "left")
         enough = -F.col("first.less") >= F.lit(factor) * F.col("n")
         told = told.select(
             "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
@@ -183,7 +188,7 @@ def spelling_variants(docs: DataFrame, key: str = "doc_id", text: str = "text",
         told = work.write(told, "told")
         work.keep(told)
     roots = _roots(told.filter("form is not null"))
-    return told.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return told.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 #: The damage number by the polynomial of crc32, bit by bit, over the UTF-8 bytes of letters up to U+00FF.

@@ -246,6 +246,31 @@ def test_crowded_chunks_are_split(spark):
     assert in_order(variants_of(spark, rows)) == in_order(plain_variants(rows))
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_words_are_not_broadcast_however_small_their_file(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(spelling, "BROADCAST_ROWS", limit)
+    plans = []
+    write = spelling.WorkTables.write
+
+    def spy(self, df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, label)
+
+    monkeypatch.setattr(spelling.WorkTables, "write", spy)
+    dice = random.Random(6)
+    words = ["prefix" + "".join(dice.choice("abcd") for _ in range(5)) for _ in range(150)]
+    rows = [(i, " ".join(words + ["abcdefgh"] * i), "en", "s", 0) for i in range(1, 12)]
+    docs = spark.createDataFrame(rows, DOCS)
+    result = spelling.spelling_variants(docs)
+    assert in_order(tuple(r) for r in result.collect()) == in_order(plain_variants(rows))
+    joins = [line for plan in [*plans, result._jdf.queryExecution().executedPlan().toString()] for line in plan.splitlines() if "Join" in line]
+    assert sum("SortMergeJoin" in line for line in joins) >= 6
+    # Only the list of crowded chunks, whose rows are counted.
+    assert all("LeftAnti" in line or "LeftSemi" in line for line in joins if "Broadcast" in line)
+    assert limit is None or not any("Broadcast" in line for line in joins)
+
+
 def test_forms_are_followed_to_the_root(spark):
     text = " ".join(["abcdefgh"] * 2 + ["abcdefgi"] * 30 + ["abcdefii"] * 400)
     got = {r[0]: r for r in variants_of(spark, [(4, text, "en", "s", 0)])}
